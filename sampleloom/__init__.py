@@ -1,3 +1,10 @@
 """sampleloom: Spark-first operators for cohort tables and the text corpora built from them."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# functions that run in Python workers travel by value, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
