@@ -4,7 +4,7 @@ The facts of a text are its identifiers (letters followed by digits) and numbers
 units. A pair is checked for, in this order:
   empty          no letter or digit, or only a stand-in for nothing
   copy           nothing but paraphrased_question or filled_question, with or without a lead-in
-  refusal        a phrase of refusal is there and no fact of gt_answer that the questions don't name
+  refusal        a phrase of refusal is there and no figure of gt_answer that the questions don't name
   other_language the words are of another language or script, at least half of the facts being there
   truncated      facts of gt_answer are missing, or the text breaks off (unclosed bracket, ellipsis, comma or a joining
                  word at its end)
@@ -69,8 +69,9 @@ def with_features(df: DataFrame, question: str, filled: str, answer: str, truth:
     words = plain_words(a)
     f = df.withColumn("_w", words).withColumn("_q", plain_words(F.col(question))).withColumn("_p", plain_words(F.col(filled)))
     f = f.withColumn("_g", facts(F.col(truth))).withColumn("_m", F.array_except("_g", facts(a))).withColumn("_missing", F.size("_m"))
-    # what the answer adds to the questions; looked at only where facts are missing
-    f = f.withColumn("_added", F.when(F.col("_missing") > 0, F.size(F.array_except(F.array_except("_g", "_m"), facts(F.concat_ws(" ", F.col(question), F.col(filled)))))).otherwise(F.size("_g")))
+    # figures that the answer has and the questions don't; looked at only where facts are missing
+    added = F.filter(F.array_except(F.array_except("_g", "_m"), facts(F.concat_ws(" ", F.col(question), F.col(filled)))), lambda x: F.rlike(x, F.lit("^[0-9]")))
+    f = f.withColumn("_added", F.when(F.col("_missing") > 0, F.size(added)).otherwise(F.size("_g")))
     return f.withColumn("_facts", F.size("_g")).withColumn("_text", F.coalesce(a, F.lit("")))
 
 
