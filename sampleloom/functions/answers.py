@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 NEGATION = r"\b(?:no|not|never|none|without|lacks?|absent|negative|cannot|isn't|doesn't|unlikely)\b"
 
@@ -80,7 +81,7 @@ def overclaims(text: Column) -> Column:
     return F.rlike(F.lower(text), F.lit(r"\b(?:definitely|certainly|undoubtedly|proves?|guarantees?|without (?:any )?doubt|always)\b"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def polarity(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """pos, neg or undetermined: a leading verdict, else markers with a negation up to 60 characters before them."""
     lead = re.compile(r"^\W*(yes|no)\b", re.I)
@@ -103,7 +104,7 @@ def polarity(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(one, na_action=None)
 
 
-@F.pandas_udf("struct<status:string,question:string,answer:string,anomaly:string>")
+@F.pandas_udf(StructType([StructField(n, StringType()) for n in ("status", "question", "answer", "anomaly")]))
 def parse_completion(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """A model's reply "QUESTION: ... ANSWER: ...": skipped, ok, or an error with its anomaly; labels may span lines."""
     label = re.compile(r"^[\W_]*(question|answer)[\W_]*:\s*", re.I)
@@ -135,7 +136,7 @@ def parse_completion(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 _NUMBERS = {"none": "0", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def vqa_normalised(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Answers as visual question benchmarks compare them: punctuation, number words, articles."""
 
@@ -149,7 +150,7 @@ def vqa_normalised(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(one, na_action=None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def last_choice(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """A multiple-choice letter: in brackets, else between spaces; the last one said counts; null for none."""
 

@@ -1 +1,254 @@
-"""."""
+"""Queries of the scans (S) and sinks (K): what is read here was written by the query into the shared folder before."""
+
+from __future__ import annotations
+
+import json
+import uuid
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
+from sampleloom.plans.common import DE, EMB, EXPR, de, emb, expr
+from sampleloom.registry import query
+from sampleloom.session import shared_dir, table
+from sampleloom.sources import files, sinks
+
+
+def _folder(s) -> str:
+    return f"{shared_dir(s)}/query-{uuid.uuid4().hex[:12]}"
+
+
+def _write_text(s, folder: str, name: str, text: str) -> str:
+    """A small text file in the shared folder, written through Spark's file system."""
+    path = s._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    out = path.getFileSystem(s._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return f"{folder}/{name}"
+
+
+@query("s02_shape", f"WITH {EMB} SELECT (max(gene) + 1)::INTEGER AS n_genes, (max(sample_index) + 1)::BIGINT AS n_samples FROM emb")
+def s02(s, d):
+    return emb(s, d).agg((F.max("gene") + 1).alias("n_genes"), (F.max("sample_index") + 1).alias("n_samples"))
+
+
+@query("s03_sample_field", "SELECT sample_index, geo_accession, NULL::VARCHAR AS title FROM per_sample_de")
+def s03(s, d):
+    t = table(s, d, "per_sample_de")
+    return t.select("sample_index", files.column_or_null(t, "geo_accession").alias("geo_accession"), files.column_or_null(t, "title").alias("title"))
+
+
+@query("s04_gene_field", "SELECT DISTINCT gene FROM coexpression_edges")
+def s04(s, d):
+    t = table(s, d, "coexpression_edges")
+    return t.select(files.column_or_null(t, "gene").alias("gene")).distinct()
+
+
+@query("s05_first_present", "SELECT sample_index, series_id AS field FROM per_sample_de")
+def s05(s, d):
+    t = table(s, d, "per_sample_de")
+    return t.select("sample_index", files.first_present(t, "series", "gse", "series_id").alias("field"))
+
+
+@query("s06_symbols", "SELECT DISTINCT partner AS symbol FROM coexpression_edges WHERE partner IS NOT NULL")
+def s06(s, d):
+    t = table(s, d, "coexpression_edges")
+    return t.select(files.first_present(t, "symbol", "gene_symbol", "partner", required=True).alias("symbol")).where("symbol is not null").distinct()
+
+
+@query("s07_sample_scan", f"WITH {EXPR} SELECT sample_index // 2048 AS chunk, count(*) AS n, sum(n)::BIGINT AS total FROM expr GROUP BY 1")
+def s07(s, d):
+    return expr(s, d).groupBy(F.floor(F.col("sample_index") / 2048).alias("chunk")).agg(F.count("*").alias("n"), F.sum("n").alias("total"))
+
+
+@query("s08_gene_scan", f"WITH {EXPR} SELECT gene // 512 AS chunk, count(*) AS n, sum(n)::BIGINT AS total FROM expr GROUP BY 1")
+def s08(s, d):
+    return expr(s, d).groupBy(F.floor(F.col("gene") / 512).alias("chunk")).agg(F.count("*").alias("n"), F.sum("n").alias("total"))
+
+
+@query("s09_random_access", "WITH w AS (SELECT unnest([70, 3, 41, 3]) AS vec_id, unnest(range(4)) AS pos) SELECT pos, vec_id, label FROM w JOIN embeddings USING (vec_id)")
+def s09(s, d):
+    w = s.createDataFrame([(k, v) for k, v in enumerate((70, 3, 41, 3))], "pos long, vec_id long")
+    return w.join(table(s, d, "embeddings"), "vec_id").select("pos", "vec_id", "label")
+
+
+@query("s11_slice_scan", "SELECT sample_index, coalesce(reason, '') AS reason FROM per_sample_de")
+def s11(s, d):
+    return table(s, d, "per_sample_de").select("sample_index", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+@query("s12_sorted_field", f"WITH {DE} SELECT sample_index, geo_accession FROM de WHERE sample_index IN (SELECT sample_index FROM sample_labels WHERE is_cvd_pool)")
+def s12(s, d):
+    return de(s, d).join(table(s, d, "sample_labels").where("is_cvd_pool"), "sample_index", "left_semi").select("sample_index", "geo_accession")
+
+
+@query("s13_matrix_scan", f"WITH {EMB} SELECT gene, count(*) AS n, round(min(v), 8) AS least FROM emb GROUP BY 1")
+def s13(s, d):
+    return emb(s, d).groupBy("gene").agg(F.count("*").alias("n"), F.round(F.min("v"), 8).alias("least"))
+
+
+@query("s14_projection", "SELECT geo_accession, status FROM per_sample_de")
+def s14(s, d):
+    return files.expect_columns(table(s, d, "per_sample_de"), "geo_accession", "status").select("geo_accession", "status")
+
+
+@query("s15_csv_columns", "SELECT n_nationkey, n_name FROM nation")
+def s15(s, d):
+    sinks_path = _folder(s)
+    table(s, d, "nation").write.option("header", True).csv(sinks_path)
+    return files.read_csv(s, sinks_path, "n_nationkey int, n_name string, n_regionkey int", ["n_nationkey", "n_name"])
+
+
+@query("s16_csv_preamble", "SELECT r_regionkey, r_name FROM region")
+def s16(s, d):
+    rows = table(s, d, "region").orderBy("r_regionkey").collect()  # five rows
+    text = "# made for a test\n# two lines\nr_regionkey,r_name\n" + "".join(f"{r[0]},{r[1]}\n" for r in rows)
+    return files.read_csv(s, _write_text(s, _folder(s), "region.csv", text), "r_regionkey int, r_name string", comment="#")
+
+
+_MAP = "hsa:1\tCDS\t1:2\tABC1, XY2; a gene\nhsa:2\tCDS\t1:9\tunmapped thing\nhsa:3\tRNA\t2:1\tQQ7; other\n"
+
+
+@query("s17_symbol_map", "SELECT * FROM (VALUES ('hsa:1', 'ABC1', 'XY2'), ('hsa:2', NULL, NULL), ('hsa:3', 'QQ7', '')) v(id, symbol, aliases)")
+def s17(s, d):
+    m = files.read_symbol_map(s, _write_text(s, _folder(s), "map.tsv", _MAP))
+    return m.select("id", "symbol", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query("s18_links", "SELECT * FROM (VALUES ('hsa:1', 'path:5'), ('hsa:3', 'path:6')) v(source, target)")
+def s18(s, d):
+    return files.read_links(s, _write_text(s, _folder(s), "links.tsv", "hsa:1\tpath:5\nmmu:2\tpath:5\nhsa:3\tpath:6\n"), "hsa:")
+
+
+@query("s19_json_document", "SELECT r_name AS name, r_regionkey AS id FROM region")
+def s19(s, d):
+    rows = [{"name": r["r_name"], "id": r["r_regionkey"]} for r in table(s, d, "region").collect()]  # five rows
+    doc = files.read_json_document(s, _write_text(s, _folder(s), "doc.json", json.dumps({"regions": rows}, indent=2)), "regions array<struct<name:string,id:int>>")
+    return doc.select(F.explode("regions").alias("r")).select("r.name", "r.id")
+
+
+@query("s20_jsonl", "SELECT line_no, id, status FROM generation_results")
+def s20(s, d):
+    path = _folder(s)
+    table(s, d, "generation_results").select("line_no", "id", "status").write.json(path)
+    return files.read_jsonl(s, path, "line_no long, id string, status string")
+
+
+@query("s21_jsonl_cut_off", "SELECT 1::BIGINT AS k, 'a' AS v UNION ALL SELECT 2, 'b'")
+def s21(s, d):
+    return files.read_jsonl(s, _write_text(s, _folder(s), "log.jsonl", '{"k":1,"v":"a"}\n{"k":2,"v":"b"}\n{"k":3,"v":'), "k long, v string", strict=False)
+
+
+@query("s22_several_jsonl", "SELECT s_suppkey, s_name FROM supplier")
+def s22(s, d):
+    one, two = _folder(s), _folder(s)
+    t = table(s, d, "supplier").select("s_suppkey", "s_name")
+    t.where("s_suppkey % 2 = 0").write.json(one)
+    t.where("s_suppkey % 2 <> 0").write.json(two)
+    return files.read_jsonl(s, [one, two], "s_suppkey long, s_name string")
+
+
+@query("s23_templates", "SELECT * FROM (VALUES ('ask', 0, 'What is {x}?'), ('ask', 1, 'Name {x}.'), ('rate', 0, 'How large is {x}?')) v(category, template_index, text)")
+def s23(s, d):
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:  # read on the driver at once; a dictionary of a few lines
+        path = Path(folder) / "t.json"
+        path.write_text(json.dumps({"ask": ["What is {x}?", "Name {x}."], "rate": ["How large is {x}?"]}))
+        return files.read_templates(s, str(path))
+
+
+@query("s24_long_bundle", f"WITH {DE} SELECT sample_index, unnest(range(len(top_up_genes)))::INTEGER AS place, unnest(top_up_genes) AS gene, round(unnest(top_up_z)::DOUBLE, 6) AS z FROM de")
+def s24(s, d):
+    x = de(s, d).select("sample_index", F.posexplode(F.arrays_zip("top_up_genes", "top_up_z")).alias("place", "p"))
+    return x.select("sample_index", "place", F.col("p.top_up_genes").alias("gene"), F.round(F.col("p.top_up_z").cast("double"), 6).alias("z"))
+
+
+@query("s26_embedding_columns", "SELECT vec_id, len(embedding)::INTEGER AS width, round(embedding[64]::DOUBLE, 6) AS last FROM embeddings")
+def s26(s, d):
+    wide = table(s, d, "embeddings").select("vec_id", *(F.col("embedding")[k].alias(f"e{k:04d}") for k in range(64)))
+    x = files.embedding_array(wide)
+    return x.select("vec_id", F.size("features").alias("width"), F.round(F.element_at("features", 64).cast("double"), 6).alias("last"))
+
+
+@query("s28_result_documents", "SELECT run_id, fold, roc_auc FROM (SELECT DISTINCT run_id, fold, roc_auc FROM fold_result) WHERE roc_auc IS NOT NULL AND NOT isnan(roc_auc)")
+def s28(s, d):
+    path = _folder(s)
+    f = table(s, d, "fold_result").where("roc_auc is not null and not isnan(roc_auc)").select("run_id", "fold", "roc_auc").distinct()
+    f.groupBy("run_id").agg(F.collect_list(F.struct("fold", "roc_auc")).alias("folds")).write.partitionBy("run_id").json(path)  # five folds a run
+    return s.read.schema("folds array<struct<fold:int,roc_auc:double>>, run_id long").json(path).select("run_id", F.explode("folds").alias("f")).select("run_id", "f.fold", "f.roc_auc")
+
+
+@query("s29_log_scrape", "SELECT * FROM (VALUES (1.5::DOUBLE), (0.25::DOUBLE)) v(loss)")
+def s29(s, d):
+    return files.scrape_log(s, _write_text(s, _folder(s), "run.log", "start\n{'loss': 1.5, 'lr': 0.1}\nx {'loss': 2.5e-1}\n"), "loss")
+
+
+@query("s30_trainer_history", "SELECT * FROM (VALUES (1::BIGINT, 0.9::DOUBLE), (2::BIGINT, 0.5::DOUBLE)) v(step, loss)")
+def s30(s, d):
+    doc = {"log_history": [{"step": 1, "loss": 0.9}, {"step": 2, "loss": 0.5}, {"step": 2, "eval": 1}]}
+    return files.trainer_history(s, _write_text(s, _folder(s), "state.json", json.dumps(doc, indent=1)))
+
+
+# sinks ------------------------------------------------------------------------------------------------------------
+
+
+@query("k01_k03_parquet", "SELECT sample_index, geo_accession, mean_abs_z::DOUBLE AS mean_abs_z FROM per_sample_de")
+def k01(s, d):
+    path = _folder(s)
+    t = table(s, d, "per_sample_de").select("sample_index", "geo_accession", F.col("mean_abs_z").cast("double").alias("mean_abs_z"))
+    sinks.write_with_schema(t, path, "sample_index bigint, geo_accession string, mean_abs_z double")
+    return s.read.parquet(path)
+
+
+@query("k04_csv", "SELECT c_custkey, c_mktsegment FROM customer")
+def k04(s, d):
+    path = _folder(s)
+    table(s, d, "customer").select("c_custkey", "c_mktsegment").write.option("header", True).csv(path)
+    return files.read_csv(s, path, "c_custkey long, c_mktsegment string")
+
+
+@query("k07_append_once", "SELECT id, min(line_no) AS line_no FROM generation_results GROUP BY 1")
+def k07(s, d):
+    path, schema = _folder(s), "id string, line_no long"
+    rows = table(s, d, "generation_results").groupBy("id").agg(F.min("line_no").alias("line_no"))
+    sinks.append_new(rows.where("line_no % 2 = 0"), path, "id", schema)
+    sinks.append_new(rows, path, "id", schema)
+    sinks.append_new(rows, path, "id", schema)
+    return s.read.schema(schema).json(path)
+
+
+@query("k10_write_states", "WITH o AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'changed' ELSE md5(text) END AS h FROM documents) SELECT n.doc_id, CASE WHEN o.h IS NULL THEN 'new' WHEN o.h = n.h THEN 'identical' ELSE 'mismatch' END AS state FROM n LEFT JOIN o USING (doc_id)")
+def k10(s, d):
+    t = table(s, d, "documents").select("doc_id", F.md5("text").alias("h"))
+    new = t.withColumn("h", F.when(F.col("doc_id") % 5 == 0, "changed").otherwise(F.col("h")))
+    return sinks.classify_write(new, t.where("doc_id % 3 <> 0"), "doc_id", "h").select("doc_id", "state")
+
+
+@query("k12_conversation_json", "SELECT line_no, json_extract_string(json, '$.conversations[1].value') AS answer, json_extract_string(json, '$.image') AS image FROM (SELECT line_no, json_object('image', image, 'conversations', [json_object('value', filled_question), json_object('value', gt_answer)]) AS json FROM generation_results)")
+def k12(s, d):
+    j = sinks.conversations_json(table(s, d, "generation_results"), "line_no", "filled_question", "gt_answer", "image")
+    return j.select("line_no", F.get_json_object("json", "$.conversations[1].value").alias("answer"), F.get_json_object("json", "$.image").alias("image"))
+
+
+@query("k13_leaderboards", "SELECT 'v1_' || line_no AS question_id, paraphrased_answer AS answer FROM generation_results UNION ALL SELECT line_no::VARCHAR, lower(rtrim(regexp_replace(paraphrased_answer, '[.]+$', ''))) FROM generation_results")
+def k13(s, d):
+    g = table(s, d, "generation_results")
+    return sinks.leaderboard_answers(g, "line_no", "paraphrased_answer", "prefixed").unionByName(sinks.leaderboard_answers(g, "line_no", "paraphrased_answer", "gqa"))
+
+
+@query("k13_submission", "SELECT i.item_id, coalesce(d.text, '') AS text FROM eval_item i LEFT JOIN documents d ON d.doc_id = i.item_id")
+def k13s(s, d):
+    return sinks.submission(table(s, d, "eval_item"), table(s, d, "documents").select(F.col("doc_id").alias("item_id"), "text"), "item_id", "text")
+
+
+@query("k14_markdown", "SELECT '| ' || n_nationkey || ' | ' || n_name || ' |' AS row FROM nation")
+def k14(s, d):
+    return sinks.markdown_table(table(s, d, "nation"), ["n_nationkey", "n_name"])
+
+
+@query("k15_plot_series", "SELECT floor(l_quantity / 5)::INTEGER AS bin, count(*) AS n, round(avg(l_discount), 6) AS mean_discount FROM lineitem GROUP BY 1")
+def k15(s, d):
+    return table(s, d, "lineitem").groupBy(F.floor(F.col("l_quantity") / 5).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("l_discount"), 6).alias("mean_discount"))
+
+
