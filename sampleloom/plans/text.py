@@ -88,7 +88,7 @@ def x14(s, d):
     return x.join(x.groupBy("gene").agg(F.avg("v").alias("m")), "gene").select("sample_index", "gene", F.round((F.col("v") - F.col("m")) / F.log(F.lit(2.0)), 4).alias("log2fc"))
 
 
-@query("x18_capped_z", f"WITH {DE} SELECT sample_index, CASE WHEN max_abs_z > 12 THEN '> 12' ELSE printf('%.2f', max_abs_z::DOUBLE) END AS z FROM de WHERE max_abs_z IS NOT NULL")
+@query("x18_capped_z", f"WITH {DE} SELECT sample_index, CASE WHEN max_abs_z > 12 THEN '> 12' ELSE printf('%.2f', round(max_abs_z::DOUBLE, 2)) END AS z FROM de WHERE max_abs_z IS NOT NULL")
 def x18(s, d):
     return de(s, d).where("max_abs_z is not null").select("sample_index", an.capped_z(F.col("max_abs_z").cast("double"), 12.0).alias("z"))
 

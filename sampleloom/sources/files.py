@@ -110,7 +110,8 @@ def embedding_array(df: DataFrame, stem: str = "e", out: str = "features") -> Da
 def scrape_log(spark: SparkSession, path: str, field: str) -> DataFrame:
     """Numbers of "'field': value" in a text log, by line."""
     lines = spark.read.text(path)
-    return lines.select(F.explode(F.regexp_extract_all("value", F.lit(rf"'{field}':\s*(-?[0-9.eE+-]+)"), F.lit(1))).cast("double").alias(field))
+    found = lines.select(F.explode(F.regexp_extract_all("value", F.lit(rf"'{field}':\s*(-?[0-9.eE+-]+)"), F.lit(1))).alias(field))
+    return found.select(F.col(field).cast("double").alias(field))
 
 
 def trainer_history(spark: SparkSession, path: str) -> DataFrame:
