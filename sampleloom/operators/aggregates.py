@@ -80,10 +80,15 @@ def collapse_rare(df: DataFrame, label: str, least: int, other: str = "__other__
     return named.join(frequent, F.col(label) == F.col("_f"), "left").withColumn(label, F.coalesce("_f", F.lit(other))).drop("_f")
 
 
+def safe_corr(x: str, y: str) -> Column:
+    """Pearson correlation; null (not an error) where a variance is 0."""
+    return F.covar_pop(x, y) / F.nullif(F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)), F.lit(0.0))
+
+
 def correlation_r2(df: DataFrame, item: str, x: str, y: str) -> DataFrame:
     """Squared Pearson correlation per item; null where a variance is 0."""
     zero = (F.var_pop(x) < 1e-12) | (F.var_pop(y) < 1e-12)
-    return df.groupBy(item).agg(F.when(zero, None).otherwise(F.pow(F.corr(x, y), 2)).alias("r2"))
+    return df.groupBy(item).agg(F.when(~zero, F.pow(safe_corr(x, y), 2)).alias("r2"))
 
 
 def eta_squared(df: DataFrame, item: str, group: str, x: str) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sampleloom.operators.aggregates import safe_corr
+
 
 def tpm(counts: DataFrame, lengths: DataFrame) -> DataFrame:
     """counts (sample_index, gene, n) with tpm: rate n / length in kb (1 where unknown), per million of the sample."""
@@ -74,6 +76,6 @@ def pearson_top(values: DataFrame, k: int, block: int = 512) -> DataFrame:
 def pearson_pairs(values: DataFrame, pairs: DataFrame) -> DataFrame:
     """(gene, partner, r) of given pairs, recomputed from the values."""
     x = pairs.join(values.select("gene", "sample_index", "v"), "gene").join(values.select(F.col("gene").alias("partner"), "sample_index", F.col("v").alias("w")), ["partner", "sample_index"])
-    return x.groupBy("gene", "partner").agg(F.corr("v", "w").alias("r"))
+    return x.groupBy("gene", "partner").agg(safe_corr("v", "w").alias("r"))
 
 
