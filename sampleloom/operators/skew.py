@@ -40,14 +40,19 @@ class LoadPlan:
     light: list[int] = field(default_factory=lambda: [0] * BUCKETS)
 
 
-def heavy_loads(df: DataFrame, keys: list[str], shard_rows: int) -> tuple[dict[int, int], list[int]]:
-    """Rows of each key with more than shard_rows rows, and of each bucket without these."""
-    h = key_hash(*keys)
-    counts = {r[0]: r[1] for r in df.groupBy(F.pmod(h, F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n")).collect()}
-    buckets = [counts.get(b, 0) for b in range(BUCKETS)]
-    over = [b for b, n in enumerate(buckets) if n > shard_rows]
+def bucket_loads(df: DataFrame, keys: list[str]) -> list[int]:
+    """Rows of each hash bucket of the key: one pass, BUCKETS rows to the driver."""
+    counts = {r["b"]: r["n"] for r in df.groupBy(F.pmod(key_hash(*keys), F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n")).collect()}
+    return [counts.get(b, 0) for b in range(BUCKETS)]
+
+
+def heavy_loads(df: DataFrame, keys: list[str], buckets: list[int], shard_rows: int) -> tuple[dict[int, int], list[int]]:
+    """Rows of each key with more than shard_rows rows, and of each bucket without these; keys are counted only in
+    buckets above shard_rows."""
+    over, buckets = [b for b, n in enumerate(buckets) if n > shard_rows], list(buckets)
     if not over:
         return {}, buckets
+    h = key_hash(*keys)
     per_key = df.where(F.pmod(h, F.lit(BUCKETS)).isin(over)).groupBy(h.alias("h")).agg(F.count("*").alias("n")).where(F.col("n") > shard_rows)
     heavy = {r["h"]: r["n"] for r in per_key.orderBy(F.desc("n")).limit(MAX_HEAVY).collect()}
     for h_, n in heavy.items():
@@ -58,14 +63,14 @@ def heavy_loads(df: DataFrame, keys: list[str], shard_rows: int) -> tuple[dict[i
 def plan_load(df: DataFrame, keys: list[str], tasks: int | None = None, shard_rows: int | None = None) -> LoadPlan:
     """Bin-pack the keys of df onto tasks (default: the session's shuffle partitions), no shard above shard_rows rows.
 
-    The default of shard_rows is a quarter of a task's fair share, at least 1000 rows.
+    The default of shard_rows is a quarter of a task's fair share, at least 1000 rows and at least an even bucket's share.
     """
     spark = df.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = bucket_loads(df, keys)
     if shard_rows is None:
-        total = df.count()
-        shard_rows = max(1000, math.ceil(total / (4 * tasks)))
-    heavy, buckets = heavy_loads(df, keys, shard_rows)
+        shard_rows = max(1000, math.ceil(sum(buckets) / (4 * tasks)), 2 * math.ceil(sum(buckets) / BUCKETS))
+    heavy, buckets = heavy_loads(df, keys, buckets, shard_rows)
     parts = []
     for h, n in heavy.items():
         shards = math.ceil(n / shard_rows)
@@ -129,6 +134,19 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, how: st
     return a.drop(task).join(b, [key, shard], how).drop(shard)
 
 
+def join_dimension(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows JOIN small, where small has a row or a few per key: it is broadcast if it is found to have at most
+    MAX_HEAVY rows, else joined by fragments; either way no key of rows is gathered in one task."""
+    from sampleloom.session import cut
+
+    small = cut(small)
+    if small.count() <= MAX_HEAVY:
+        return rows.join(F.broadcast(small), keys, how)
+    packed = fresh_name("key", [*rows.columns, *small.columns])
+    whole = lambda df: df.withColumn(packed, F.to_json(F.struct(*keys)))
+    return fragment_replicate_join(whole(rows), whole(small).drop(*keys), packed, how).drop(packed)
+
+
 def sharded_aggregate(df: DataFrame, keys: list[str], by: list[str], partial: dict[str, Column], final: dict[str, Column], plan: LoadPlan | None = None, per_item: dict[str, Column] | None = None) -> DataFrame:
     """Per-key results in two steps: `partial` within a shard, `final` over the shards (it names the partial columns).
 

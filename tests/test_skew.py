@@ -48,3 +48,13 @@ def test_series_figures(spark):
     assert series.large_series(df.limit(0)).count() == 0
     above = {(r["series_id"], r["sample_index"]): r["above_series"] for r in series.sample_against_series(df).collect()}
     assert above["GSE3", 5002] == 0 and above["GSE2", 4000] is None
+
+
+def test_join_with_a_dimension(spark, monkeypatch):
+    left = spark.createDataFrame([(1, "a", k) for k in range(3000)] + [(2, "b", 1), (None, "a", 2)], "b int, c string, x long")
+    small = spark.createDataFrame([(1, "a", 7), (2, "b", 8), (3, "z", 9)], "b int, c string, y int")
+    want = left.join(small, ["b", "c"])
+    for most in (100_000, 1):
+        monkeypatch.setattr(skew, "MAX_HEAVY", most)
+        got = skew.join_dimension(left, small, ["b", "c"]).select(*want.columns)
+        assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
