@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from sampleloom.functions.text import clean_lower
 from sampleloom.llm.hash_budget import boundaries, bucket, hash63
+from sampleloom.operators.skew import join_dimension
 
 
 def _documents(docs: DataFrame, doc: str, source: str, size: str) -> DataFrame:
@@ -46,7 +47,7 @@ def mix_selection(docs: DataFrame, mixes: DataFrame, doc: str = "doc_id", source
     plan = mix_plan(docs, mixes, doc, source, size)
     ends = boundaries(rows, plan.where("rest > 0").select("mix_id", "src", F.col("rest").alias("budget")), ["src"], ["mix_id"])
     plan = plan.select("mix_id", "src", "copies").join(ends, ["mix_id", "src"], "left").withColumn("b", F.coalesce("b", F.lit(-1)))
-    used = rows.withColumn("bucket", bucket(F.col("h"))).join(plan, "src").where((F.col("copies") > 0) | (F.col("bucket") <= F.col("b")))
+    used = join_dimension(rows.withColumn("bucket", bucket(F.col("h"))), plan, ["src"]).where((F.col("copies") > 0) | (F.col("bucket") <= F.col("b")))
     sure = used.where("bucket <> b").select("mix_id", "doc", "src", "weight", (F.col("copies") + (F.col("bucket") < F.col("b")).cast("int")).alias("times"))
     upto = Window.partitionBy("mix_id", "src").orderBy("h", "doc").rowsBetween(Window.unboundedPreceding, 0)  # one bucket of 4096
     edge = used.where("bucket = b").withColumn("sum", F.col("before") + F.sum("weight").over(upto))

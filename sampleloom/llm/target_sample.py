@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sampleloom.functions.text import simple_words
-from sampleloom.llm.hash_budget import BUCKETS, boundaries, bucket, hash63
+from sampleloom.llm.hash_budget import boundaries, bucket, hash63
+from sampleloom.operators.skew import join_dimension
 
 
 def _targets(targets: DataFrame, batch: str, category: str) -> DataFrame:
@@ -46,7 +47,7 @@ def draw(rows: DataFrame, targets: DataFrame, batch: str, category: str, keys: l
     ids = [f"k{i}" for i in range(len(keys))]
     have = _candidates(rows, batch, category, keys, seed)
     ends = boundaries(have.withColumn("weight", F.lit(1)), goal.select("batch", "cat", F.col("draw").alias("budget")), ["batch", "cat"], [])
-    first = have.join(ends.select("batch", "cat", F.col("b").alias("end")), ["batch", "cat"]).where(bucket(F.col("h")) <= F.col("end")).drop("end")
+    first = join_dimension(have, ends.select("batch", "cat", F.col("b").alias("end")), ["batch", "cat"]).where(bucket(F.col("h")) <= F.col("end")).drop("end")
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("batch", "cat").orderBy("h", *ids)))
     ranked = ranked.join(goal, ["batch", "cat"]).where("rank <= draw and (target > 0 or rank <= least)")
     # a target of 0 seats only its floor
@@ -61,5 +62,3 @@ def draw_report(rows: DataFrame, targets: DataFrame, batch: str, category: str,
     drawn = draw(rows, targets, batch, category, keys, seed).groupBy(batch, category).agg(F.count("*").alias("drawn"))
     return target_report(rows, targets, batch, category, keys).join(drawn, [batch, category], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
 
-
-__all__ = ["BUCKETS", "draw", "draw_report", "target_report"]
