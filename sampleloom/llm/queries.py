@@ -148,7 +148,7 @@ _PLAN = r"""goal AS (
   SELECT batch_id, trim(regexp_replace(lower(tissue_coarse), '[^a-z0-9]+', ' ', 'g')) AS cat, max(tissue_coarse) AS tissue_coarse, max(greatest(coalesce(target, 0), 0)) AS target,
     max(greatest(coalesce(min_rows, 0), 0)) AS min_rows, max(greatest(coalesce(draw_size, 0), 0)) AS draw_size FROM plan_target WHERE batch_id IS NOT NULL AND tissue_coarse IS NOT NULL GROUP BY 1, 2),
 cand AS (SELECT DISTINCT batch_id, trim(regexp_replace(lower(tissue_coarse), '[^a-z0-9]+', ' ', 'g')) AS cat, patient, template_index FROM generation_plan
-  WHERE batch_id IS NOT NULL AND tissue_coarse IS NOT NULL AND patient IS NOT NULL AND template_index IS NOT NULL),
+  WHERE batch_id IS NOT NULL AND tissue_coarse IS NOT NULL AND patient IS NOT NULL),
 have AS (SELECT batch_id, cat, count(*) AS available FROM cand GROUP BY 1, 2),
 report AS (SELECT batch_id, cat, tissue_coarse, target, min_rows, coalesce(available, 0) AS available, greatest(greatest(target, min_rows) - coalesce(available, 0), 0) AS shortfall FROM goal LEFT JOIN have USING (batch_id, cat)),
 ranked AS (

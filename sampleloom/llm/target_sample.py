@@ -5,7 +5,8 @@ smallest priorities of the batch up to the draw size; seats that an exhausted ca
 priorities by themselves. Only the candidates of least hash are ranked: hash-bucket counts find, for each category, the
 bucket in which its draw size is reached, so a category with a third of all rows leaves about draw-size rows.
 
-Candidates are distinct (batch, category, candidate keys); a null key or category makes a row no candidate. Categories
+Candidates are distinct (batch, category, candidate keys); a null batch, category or first key makes a row
+no candidate, other keys may be null. Categories
 are compared as simple words. Categories without a target are not drawn; targets without candidates are reported with 0.
 A null or negative target counts as 0, a null min_rows as 0, a null draw size as 0. Repeated target rows count once.
 """
@@ -29,7 +30,7 @@ def _targets(targets: DataFrame, batch: str, category: str) -> DataFrame:
 def _candidates(rows: DataFrame, batch: str, category: str, keys: list[str], seed: str) -> DataFrame:
     named = rows.select(F.col(batch).alias("batch"), simple_words(F.col(category)).alias("cat"), *(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)))
     ids = [f"k{i}" for i in range(len(keys))]
-    return named.dropna().dropDuplicates(["batch", "cat", *ids]).withColumn("h", hash63("batch", "cat", *ids, seed=seed))
+    return named.dropna(subset=["batch", "cat", "k0"]).dropDuplicates(["batch", "cat", *ids]).withColumn("h", hash63("batch", "cat", *ids, seed=seed))
 
 
 def target_report(rows: DataFrame, targets: DataFrame, batch: str, category: str, keys: list[str]) -> DataFrame:

@@ -135,7 +135,7 @@ def test_draw(spark):
     p, t = spark.createDataFrame(plan, PLAN).selectExpr("*", "1 as h", "2 as cat"), spark.createDataFrame(targets, TARGET)
     args = (p, t, "batch_id", "tissue_coarse", ["patient", "template_index"])
     report = {(r["batch_id"], r["tissue_coarse"]): r for r in target_sample.draw_report(*args).collect()}
-    assert {k: (r["available"], r["shortfall"], r["drawn"]) for k, r in report.items()} == {(1, "heart"): (200, 0, 34), (1, "lung"): (5, 7, 5), (1, "skin"): (1, 3, 1), (1, "liver"): (0, 4, 0), (2, "heart"): (1, 0, 1), (3, "heart"): (0, 0, 0)}
+    assert {k: (r["available"], r["shortfall"], r["drawn"]) for k, r in report.items()} == {(1, "heart"): (201, 0, 34), (1, "lung"): (5, 7, 5), (1, "skin"): (1, 3, 1), (1, "liver"): (0, 4, 0), (2, "heart"): (1, 0, 1), (3, "heart"): (0, 0, 0)}
     drawn = target_sample.draw(*args).collect()
     assert len({(r["batch_id"], r["tissue_coarse"], r["patient"], r["template_index"]) for r in drawn}) == len(drawn) == 41
     assert target_sample.draw(p.limit(0), *args[1:]).count() == 0 and target_sample.draw_report(p, t.limit(0), *args[2:]).count() == 0
