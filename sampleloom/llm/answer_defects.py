@@ -45,7 +45,7 @@ OTHERS = (
 _UNITS = r"log(?:1p(?:\s*[\(\[]?\s*tpm\s*[\)\]]?)?|2|10)"
 _FACT = r"[a-z]+[0-9]+(?:-as[0-9]+)?|[0-9]+(?:[.][0-9]+)?"
 #: Invisible characters and apostrophes, which are left out of words.
-_LEFT_OUT = "​‌‍⁠﻿­'’`"
+_LEFT_OUT = "\u200b\u200c\u200d\u2060\ufeff\u00ad'’`"
 _OTHER_SCRIPT = r"[\p{L}&&[^\p{IsLatin}]]"
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 BLOCK_WORDS = 2_000_000
 #: Most document words embedded at once in a worker.
 CHUNK_WORDS = 400_000
-_INVISIBLE = re.compile("[​-‍⁠﻿­]")
+_INVISIBLE = re.compile("[\u200b-\u200d\u2060\ufeff\u00ad]")
 _WORD = re.compile(r"[^\W_]+")
 
 

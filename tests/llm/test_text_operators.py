@@ -20,7 +20,7 @@ Q, G = "How high is ABCD1 in GSM7?", "ABCD1 reads 4.5021 (log1p(TPM)) in GSM7, r
 @pytest.mark.parametrize(
     "answer, want",
     [
-        (None, "empty"), ("", "empty"), (" ​\t", "empty"), ("N/A", "empty"), ("(empty)", "empty"), ("Answer: \n", "empty"),
+        (None, "empty"), ("", "empty"), (" \u200b\t", "empty"), ("N/A", "empty"), ("(empty)", "empty"), ("Answer: \n", "empty"),
         ("ABCD1 in GSM7 is at 4.5021, rank 12", None), ("abcd1: 4.5021 (gsm7, 12)", None), ("How high is ABCD1 in GSM7? ABCD1 has 4.5021, rank 12 in GSM7.", None),
         ("Sorry for the short text. ABCD1 has 4.5021 in GSM7, rank 12.", None),
         ("ABCD1 reads 4.50", "truncated"), ("ABCD1 in GSM7 is at 4.5021, ra", "truncated"), ("ABCD1 in GSM7 is at 4.5021, rank 12 (lo", "truncated"),
@@ -73,7 +73,7 @@ def test_leakage_against_brute_force(spark):
             part = (items[rng.randrange(30)][1] or "").split()
             a = rng.randrange(max(1, len(part) - 11))
             cut = part[a : a + rng.choice([10, 11, 12, 13, 30])]
-            w[len(w) // 2 : len(w) // 2] = [x.upper() + rng.choice(["", ",", "​"]) for x in cut]
+            w[len(w) // 2 : len(w) // 2] = [x.upper() + rng.choice(["", ",", "\u200b"]) for x in cut]
         docs.append((k, " ".join(w)))
     d = spark.createDataFrame(docs, "doc_id long, text string")
     i = spark.createDataFrame(items, "item_id long, text string")
