@@ -51,7 +51,7 @@ pp AS (SELECT g, p, count(*) AS k FROM x WHERE p IS NOT NULL GROUP BY 1, 2)"""
 
 
 def _labelled(s, d):
-    x = lab(s, d).join(de(s, d).select("sample_index", F.col("max_abs_z").cast("double").alias("v")), "sample_index", "left")
+    x = lab(s, d).join(de(s, d, "max_abs_z").select("sample_index", F.col("max_abs_z").cast("double").alias("v")), "sample_index", "left")
     return x.select("sample_index", F.col("disease_category").alias("g"), F.col("has_resolved_patient").alias("r"), F.upper(F.trim("series_id")).alias("series"), F.upper(F.trim("patient_key")).alias("p"), "v")
 
 
@@ -184,7 +184,7 @@ def a23u(s, d):
 r AS (SELECT n, n / total AS share, sum(n) OVER (ORDER BY n DESC ROWS UNBOUNDED PRECEDING) / total AS cum, row_number() OVER (ORDER BY n DESC) AS r, groups, total FROM c, t)
 SELECT groups, total, count_if(cum < 0.5) + 1 AS n_50, count_if(cum < 0.8) + 1 AS n_80, round(sum(share * share), 8) AS hhi, round(1 / sum(share * share), 4) AS effective_n, round((groups + 1 - 2 * sum(r * share)) / groups, 6) AS gini, count_if(n = 1) AS singletons, round(max(share), 8) AS top_share FROM r GROUP BY groups, total""")
 def a24(s, d):
-    c = de(s, d).where("series_id is not null").groupBy(F.upper(F.trim("series_id")).alias("g")).agg(F.count("*").alias("n"))
+    c = de(s, d, "series_id").where("series_id is not null").groupBy(F.upper(F.trim("series_id")).alias("g")).agg(F.count("*").alias("n"))
     return op.concentration(c)
 
 
@@ -253,7 +253,7 @@ def a33(s, d):
 
 @query("a34_repetition", f"WITH {DE}, g AS (SELECT unnest(top_up_genes) AS gene FROM de), c AS (SELECT gene, count(*) AS n FROM g GROUP BY 1), t AS (SELECT n FROM c ORDER BY n DESC, gene LIMIT 20) SELECT (SELECT count(*) FROM g) AS slots, (SELECT count(*) FROM c) AS n_distinct, round((SELECT sum(n) FROM t) / (SELECT count(*) FROM g), 8) AS top20_share")
 def a34(s, d):
-    c = de(s, d).select(F.explode("top_up_genes").alias("gene")).groupBy("gene").agg(F.count("*").alias("n"))
+    c = de(s, d, "top_up_genes").select(F.explode("top_up_genes").alias("gene")).groupBy("gene").agg(F.count("*").alias("n"))
     top = c.orderBy(F.desc("n"), "gene").limit(20).agg(F.sum("n").alias("t"))
     return c.agg(F.sum("n").alias("slots"), F.count("*").alias("n_distinct")).crossJoin(top).select("slots", "n_distinct", F.round(F.col("t") / F.col("slots"), 8).alias("top20_share"))
 
@@ -362,14 +362,14 @@ def a50(s, d):
 
 @query("a51_release_guard", f"WITH {DE}, {LAB}, m AS (SELECT count(*) AS n FROM de WHERE sample_index NOT IN (SELECT sample_index FROM lab)) SELECT (SELECT count(*) FROM de) AS n_left, (SELECT count(*) FROM lab) AS n_right, m.n AS n_missing, m.n <= 0.001 * (SELECT count(*) FROM de) AS passes FROM m")
 def a51(s, d):
-    x, y = de(s, d).select("sample_index"), lab(s, d).select("sample_index")
+    x, y = de(s, d, "status").select("sample_index"), lab(s, d).select("sample_index")
     m = x.join(y, "sample_index", "left_anti").agg(F.count("*").alias("n_missing"))
     return x.agg(F.count("*").alias("n_left")).crossJoin(y.agg(F.count("*").alias("n_right"))).crossJoin(m).withColumn("passes", F.col("n_missing") <= F.lit(0.001) * F.col("n_left"))
 
 
 @query("a52_class_by_holdout", f"WITH {DE}, {LAB} SELECT in_holdout, is_cvd_disease, count(*) AS n FROM de JOIN lab USING (sample_index) GROUP BY 1, 2")
 def a52(s, d):
-    return de(s, d).select("sample_index", "in_holdout").join(lab(s, d), "sample_index").groupBy("in_holdout", "is_cvd_disease").agg(F.count("*").alias("n"))
+    return de(s, d, "in_holdout").join(lab(s, d), "sample_index").groupBy("in_holdout", "is_cvd_disease").agg(F.count("*").alias("n"))
 
 
 _M = ["mean_abs_z", "max_abs_z", "n_genes_compared"]

@@ -27,10 +27,11 @@ def emb(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings").select(F.col("vec_id").alias("sample_index"), "label", F.posexplode("embedding").alias("gene", "v")).withColumn("v", F.col("v").cast("double"))
 
 
-def de(s: SparkSession, d: str) -> DataFrame:
-    """max_by keeps one row per sample without sorting the samples."""
+def de(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The latest row of each sample, with the given columns (all by default); only these are shuffled."""
     t = table(s, d, "per_sample_de")
-    return t.groupBy("sample_index").agg(F.max_by(F.struct(*[c for c in t.columns if c != "sample_index"]), F.struct("ingested_at", F.negative(F.xxhash64("series_id")))).alias("r")).select("sample_index", "r.*")
+    keep = columns or [c for c in t.columns if c != "sample_index"]
+    return t.groupBy("sample_index").agg(F.max_by(F.struct(*keep), F.struct("ingested_at", F.negative(F.xxhash64("series_id")))).alias("r")).select("sample_index", "r.*")
 
 
 def lab(s: SparkSession, d: str) -> DataFrame:
@@ -38,5 +39,5 @@ def lab(s: SparkSession, d: str) -> DataFrame:
 
 
 def scored(s: SparkSession, d: str) -> DataFrame:
-    x = de(s, d).where("status = 'ok' and mean_abs_z is not null and series_id is not null").select("sample_index", F.upper(F.trim("series_id")).alias("series_id"), F.round(F.col("mean_abs_z").cast("double"), 1).alias("score"))
+    x = de(s, d, "status", "mean_abs_z", "series_id").where("status = 'ok' and mean_abs_z is not null and series_id is not null").select("sample_index", F.upper(F.trim("series_id")).alias("series_id"), F.round(F.col("mean_abs_z").cast("double"), 1).alias("score"))
     return x.join(lab(s, d).select("sample_index", F.col("is_cvd_disease").cast("int").alias("y")), "sample_index")

@@ -139,7 +139,7 @@ def q07(s, d):
 
 
 @query("q08_bundle_routes", f"""WITH {DE}, h AS (SELECT DISTINCT upper(trim(geo_accession)) || '.npy' AS image FROM de WHERE in_holdout), g AS (SELECT *, list_distinct(regexp_extract_all(coalesce(gt_answer, ''), '[0-9]+(?:[.][0-9]+)?')) AS gn, list_distinct(regexp_extract_all(coalesce(paraphrased_answer, ''), '[0-9]+(?:[.][0-9]+)?')) AS an FROM generation_results)
-SELECT line_no, category, CASE WHEN status IN ('skip', 'skipped') THEN 'skipped' WHEN status <> 'ok' THEN 'error' WHEN image IN (SELECT image FROM h) THEN 'leak' WHEN trim(coalesce(paraphrased_answer, '')) = '' THEN 'no_answer' WHEN len(list_filter(gn, lambda x: NOT list_contains(an, x))) > 0 THEN 'factual_reject' ELSE 'pair' END AS route FROM g""")
+SELECT line_no, category, CASE WHEN status IN ('skip', 'skipped') THEN 'skipped' WHEN status <> 'ok' THEN 'error' WHEN image IN (SELECT image FROM h) THEN 'leak' WHEN trim(coalesce(paraphrased_answer, ''), ' ') = '' THEN 'no_answer' WHEN len(list_filter(gn, lambda x: NOT list_contains(an, x))) > 0 THEN 'factual_reject' ELSE 'pair' END AS route FROM g""")
 def q08(s, d):
     held = de(s, d).where("in_holdout").select(F.concat(F.upper(F.trim("geo_accession")), F.lit(".npy")).alias("image"))
     return corpus.route(table(s, d, "generation_results"), held)
@@ -155,7 +155,7 @@ def q09(s, d):
 @query("q11_curated_pool", f"""WITH {DE}, up AS (SELECT gene, row_number() OVER (ORDER BY n DESC, gene) AS r FROM (SELECT gene, count(*) AS n FROM (SELECT unnest(top_up_genes) AS gene FROM de) GROUP BY 1)), gr AS (SELECT partner AS gene, row_number() OVER (ORDER BY k DESC, partner) AS r FROM (SELECT partner, count(DISTINCT gene) AS k FROM coexpression_edges WHERE partner IS NOT NULL GROUP BY 1)),
 u AS (SELECT gene, 'up' AS w FROM up WHERE r <= 100 UNION SELECT gene, 'graph' FROM gr WHERE r <= 100) SELECT gene, bool_or(w = 'up') AS in_up, bool_or(w = 'graph') AS in_graph, count(*) AS n_sources FROM u WHERE NOT regexp_matches(gene, '^ENSG[0-9]+$') GROUP BY 1""")
 def q11(s, d):
-    up = de(s, d).select(F.explode("top_up_genes").alias("gene")).groupBy("gene").agg(F.count("*").alias("n"))
+    up = de(s, d, "top_up_genes").select(F.explode("top_up_genes").alias("gene")).groupBy("gene").agg(F.count("*").alias("n"))
     graph = table(s, d, "coexpression_edges").where("partner is not null").groupBy(F.col("partner").alias("gene")).agg(F.countDistinct(F.col("gene")).alias("n"))
     top = lambda x: windows.ranked(x, F.desc("n"), F.asc("gene"), out="r").where("r <= 100")
     return provenance_union("gene", up=top(up), graph=top(graph)).where(~F.rlike("gene", F.lit("^ENSG[0-9]+$")))

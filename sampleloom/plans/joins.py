@@ -12,12 +12,12 @@ from sampleloom.session import table
 
 @query("j01_left_join", f"WITH {LAB}, {DE} SELECT lab.sample_index, disease_category, de.status FROM lab LEFT JOIN de USING (sample_index)")
 def j01(s, d):
-    return lab(s, d).select("sample_index", "disease_category").join(de(s, d).select("sample_index", "status"), "sample_index", "left")
+    return lab(s, d).select("sample_index", "disease_category").join(de(s, d, "status"), "sample_index", "left")
 
 
 @query("j02_left_checked", f"WITH {LAB}, {DE} SELECT count(*) AS n, count_if(lab.sample_index IS NULL) AS unmatched FROM de LEFT JOIN lab USING (sample_index)")
 def j02(s, d):
-    both = op.left_checked(de(s, d).select("sample_index"), lab(s, d).select("sample_index", "disease_category"), ["sample_index"])
+    both = op.left_checked(de(s, d, "status").select("sample_index"), lab(s, d).select("sample_index", "disease_category"), ["sample_index"])
     return both.agg(F.count("*").alias("n"), F.count_if(~F.col("matched")).alias("unmatched"))
 
 
@@ -48,7 +48,7 @@ def j06(s, d):
 
 @query("j07_anti", f"WITH {DE}, {LAB} SELECT sample_index FROM de WHERE sample_index NOT IN (SELECT sample_index FROM lab)")
 def j07(s, d):
-    return de(s, d).select("sample_index").join(table(s, d, "sample_labels"), "sample_index", "left_anti")
+    return de(s, d, "status").select("sample_index").join(table(s, d, "sample_labels"), "sample_index", "left_anti")
 
 
 @query("j08_positional_zip", "SELECT vec_id, unnest(range(len(embedding)))::INTEGER AS place, unnest(embedding)::DOUBLE AS a, unnest(list_reverse(embedding))::DOUBLE AS b FROM embeddings")
@@ -97,11 +97,11 @@ def j14(s, d):
 
 @query("j15_scalars", f"WITH {DE} SELECT sample_index, round(mean_abs_z::DOUBLE - avg(mean_abs_z::DOUBLE) OVER (), 6) AS above FROM de WHERE status = 'ok'")
 def j15(s, d):
-    x = de(s, d).where("status = 'ok'").select("sample_index", F.col("mean_abs_z").cast("double").alias("v"))
+    x = de(s, d, "status", "mean_abs_z", "frac_genes_abs_z_gt2").where("status = 'ok'").select("sample_index", F.col("mean_abs_z").cast("double").alias("v"))
     return op.with_scalars(x, F.avg("v").alias("m")).select("sample_index", F.round(F.col("v") - F.col("m"), 6).alias("above"))
 
 
-@query("j16_text_key", "WITH c AS (SELECT trim(gt_answer) AS a, arg_max(category, line_no) AS category FROM generation_results GROUP BY 1) SELECT line_no, coalesce(c.category, 'unmatched') AS category FROM generation_results g LEFT JOIN c ON c.a = trim(g.paraphrased_answer)")
+@query("j16_text_key", "WITH c AS (SELECT trim(gt_answer, ' ') AS a, arg_max(category, line_no) AS category FROM generation_results GROUP BY 1) SELECT line_no, coalesce(c.category, 'unmatched') AS category FROM generation_results g LEFT JOIN c ON c.a = trim(g.paraphrased_answer, ' ')")
 def j16(s, d):
     g = table(s, d, "generation_results")
     c = g.groupBy(F.trim("gt_answer").alias("a")).agg(F.max_by("category", "line_no").alias("category"))
@@ -129,7 +129,7 @@ def j19(s, d):
 
 @query("j20_flag_check", f"WITH {DE}, {LAB} SELECT count(*) AS n, count_if(de.in_holdout <> lab.is_cvd_pool) AS disagree FROM de JOIN lab USING (sample_index)")
 def j20(s, d):
-    return de(s, d).select("sample_index", "in_holdout").join(lab(s, d), "sample_index").agg(F.count("*").alias("n"), F.count_if(F.col("in_holdout") != F.col("is_cvd_pool")).alias("disagree"))
+    return de(s, d, "in_holdout").join(lab(s, d), "sample_index").agg(F.count("*").alias("n"), F.count_if(F.col("in_holdout") != F.col("is_cvd_pool")).alias("disagree"))
 
 
 @query("j21_arm_source", "SELECT gene, arg_min(partner, {'r': rank, 'p': partner}) AS best_partner FROM coexpression_edges WHERE rank IS NOT NULL AND partner IS NOT NULL AND gene IS NOT NULL GROUP BY 1")

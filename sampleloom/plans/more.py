@@ -161,7 +161,7 @@ def m33(s, d):
     return benchmarks.yes_no_metrics(g, an.yes_no(F.col("paraphrased_answer")), F.when(F.col("stage") == 1, "yes").otherwise("no"), ["category"])
 
 
-@query("m34_accuracy", "SELECT category, count(*) AS n, round(avg((lower(trim(paraphrased_question)) = lower(trim(filled_question)))::INTEGER), 8) AS accuracy, round(avg(CASE WHEN image IS NOT NULL THEN (lower(trim(paraphrased_question)) = lower(trim(filled_question)))::INTEGER END), 8) AS image_accuracy FROM generation_results WHERE status = 'ok' GROUP BY 1")
+@query("m34_accuracy", "SELECT category, count(*) AS n, round(avg((lower(trim(paraphrased_question, ' ')) = lower(trim(filled_question, ' ')))::INTEGER), 8) AS accuracy, round(avg(CASE WHEN image IS NOT NULL THEN (lower(trim(paraphrased_question, ' ')) = lower(trim(filled_question, ' ')))::INTEGER END), 8) AS image_accuracy FROM generation_results WHERE status = 'ok' GROUP BY 1")
 def m34(s, d):
     same = (F.lower(F.trim("paraphrased_question")) == F.lower(F.trim("filled_question"))).cast("int")
     g = table(s, d, "generation_results").where("status = 'ok'")

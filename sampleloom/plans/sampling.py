@@ -21,7 +21,7 @@ def t01(s, d):
     from sampleloom.operators.windows import ranked
 
     g = table(s, d, "sample_labels").groupBy(F.upper(F.trim("series_id")).alias("series")).agg(F.count("*").alias("n"), F.count_if("is_cvd_disease").alias("n_pos"))
-    return ranked(g, F.desc("n"), F.desc("n_pos"), F.asc("series"), out="place")
+    return ranked(g, F.desc("n"), F.desc("n_pos"), F.asc_nulls_last("series"), out="place")
 
 
 @query("t02_head", "SELECT partner, count(*) AS n FROM coexpression_edges GROUP BY 1 ORDER BY n DESC, partner LIMIT 15")

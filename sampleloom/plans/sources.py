@@ -231,7 +231,7 @@ def k12(s, d):
     return j.select("line_no", F.get_json_object("json", "$.conversations[1].value").alias("answer"), F.get_json_object("json", "$.image").alias("image"))
 
 
-@query("k13_leaderboards", "SELECT 'v1_' || line_no AS question_id, paraphrased_answer AS answer FROM generation_results UNION ALL SELECT line_no::VARCHAR, lower(rtrim(regexp_replace(paraphrased_answer, '[.]+$', ''))) FROM generation_results")
+@query("k13_leaderboards", "SELECT 'v1_' || line_no AS question_id, paraphrased_answer AS answer FROM generation_results UNION ALL SELECT line_no::VARCHAR, lower(rtrim(regexp_replace(paraphrased_answer, '[.]+$', ''), ' ')) FROM generation_results")
 def k13(s, d):
     g = table(s, d, "generation_results")
     return sinks.leaderboard_answers(g, "line_no", "paraphrased_answer", "prefixed").unionByName(sinks.leaderboard_answers(g, "line_no", "paraphrased_answer", "gqa"))

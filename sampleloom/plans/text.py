@@ -208,7 +208,7 @@ def x37(s, d):
     return table(s, d, "generation_results").select("line_no", F.regexp_extract("filled_question", "^([^?]*[?])", 1).alias("question"))
 
 
-@query("x38_anls", "WITH x AS (SELECT line_no, lower(trim(paraphrased_question)) AS a, lower(trim(filled_question)) AS b FROM generation_results WHERE status = 'ok'), y AS (SELECT line_no, 1 - levenshtein(a, b) / greatest(length(a), length(b), 1) AS s FROM x) SELECT line_no, round(CASE WHEN s >= 0.5 THEN s ELSE 0 END, 8)::DOUBLE AS anls FROM y")
+@query("x38_anls", "WITH x AS (SELECT line_no, lower(trim(paraphrased_question, ' ')) AS a, lower(trim(filled_question, ' ')) AS b FROM generation_results WHERE status = 'ok'), y AS (SELECT line_no, 1 - levenshtein(a, b) / greatest(length(a), length(b), 1) AS s FROM x) SELECT line_no, round(CASE WHEN s >= 0.5 THEN s ELSE 0 END, 8)::DOUBLE AS anls FROM y")
 def x38(s, d):
     return table(s, d, "generation_results").where("status = 'ok'").select("line_no", F.round(an.anls(F.col("paraphrased_question"), F.col("filled_question")), 8).alias("anls"))
 
@@ -219,7 +219,7 @@ def x39(s, d):
     return t.select("line_no", F.get(cv.questions(F.col("c")), F.lit(0)).alias("question"), F.get(cv.answers(F.col("c")), F.lit(0)).alias("answer"))
 
 
-@query("x40_rendered_prompt", "SELECT line_no, 'Be brief. USER: <image>' || chr(10) || trim(filled_question) || ' ASSISTANT: ' || gt_answer || '</s>' AS prompt FROM generation_results")
+@query("x40_rendered_prompt", "SELECT line_no, 'Be brief. USER: <image>' || chr(10) || trim(filled_question, ' ') || ' ASSISTANT: ' || gt_answer || '</s>' AS prompt FROM generation_results")
 def x40(s, d):
     q = F.concat(F.col("filled_question"), F.lit(" <image>"))
     return table(s, d, "generation_results").select("line_no", cv.prompt(q, F.col("gt_answer"), "Be brief.").alias("prompt"))

@@ -109,7 +109,7 @@ def w14(s, d):
 
 @query("w15_tertiles", f"WITH {DE}, c AS (SELECT quantile_cont(mean_abs_z::DOUBLE, [1/3, 2/3]) AS q FROM de WHERE mean_abs_z IS NOT NULL) SELECT sample_index, CASE WHEN mean_abs_z IS NULL THEN 'unknown' WHEN mean_abs_z::DOUBLE <= q[1] THEN 'minimal' WHEN mean_abs_z::DOUBLE <= q[2] THEN 'moderate' ELSE 'large' END AS bucket FROM de, c")
 def w15(s, d):
-    return op.tertiles(de(s, d).select("sample_index", F.col("mean_abs_z").cast("double").alias("v")), "v").select("sample_index", "bucket")
+    return op.tertiles(de(s, d, "mean_abs_z").select("sample_index", F.col("mean_abs_z").cast("double").alias("v")), "v").select("sample_index", "bucket")
 
 
 @query("w16_quantile_normalised", f"WITH {EMB}, r AS (SELECT *, row_number() OVER (PARTITION BY sample_index ORDER BY v, gene) AS i FROM emb), f AS (SELECT i, avg(v) AS ref FROM r GROUP BY 1) SELECT sample_index, gene, round(avg(ref) OVER (PARTITION BY sample_index, v), 8) AS normalised FROM r JOIN f USING (i)")
