@@ -7,8 +7,8 @@ Tokens are put in one order, rare ones first (counts of the most frequent VOCABU
 order affects speed only). Near sets of two tokens or more share at least two tokens among the first n - o + 2 of each,
 o being the least overlap for their size, so pairs of prefix tokens are the index: the evaluation side is indexed and the
 training side probes, both keyed by two tokens and their z steps. A step is as wide as two tolerances, and the indexed
-side takes both steps that a z within the tolerance can fall in. Length and position filters drop pairs whose overlap can
-no longer reach the threshold; the others are verified on the whole profiles. Sets of one token are keyed by it alone.
+side takes both steps that a z within the tolerance can fall in. Length and position filters, and 64-bit sketches of the token
+sets, drop pairs whose overlap can't reach the threshold; the others are verified on the whole profiles. Sets of one token are keyed by it alone.
 
 Samples are distinct values of sample_index (their latest row counts); those with in_holdout null belong to neither side.
 Null or empty lists, names and z make no tokens; of a gene named twice on one side the first counts; a list of z shorter
@@ -49,7 +49,7 @@ def _profiles(latest: DataFrame) -> DataFrame:
 
 
 def _signatures(counts, threshold: float, tolerance: float):
-    schema = pa.schema([("key", pa.int64()), ("sample_index", pa.int64()), ("held", pa.bool_()), ("n", pa.int16()), ("i", pa.int16()), ("j", pa.int16())])
+    schema = pa.schema([("key", pa.int64()), ("sample_index", pa.int64()), ("sketch", pa.int64()), ("nij", pa.int64())])
     step = -2 * math.log1p(-tolerance)
 
     def code(token: str) -> int:
@@ -69,12 +69,7 @@ def _signatures(counts, threshold: float, tolerance: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = counts.value
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-
-            def put(key, sample, held, n, i, j):
-                for column, v in zip(out, (key, sample, held, n, i, j)):
-                    column.append(v)
-
+            keys, samples, sketches, nijs = out = [], [], [], []
             for sample, held, tokens, zs in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 own = {}
                 for t, z in zip(tokens, zs):
@@ -82,15 +77,20 @@ def _signatures(counts, threshold: float, tolerance: float):
                 order = sorted(own, key=lambda t: (known.get(t, 0), code(t), t))
                 n = len(order)
                 least = math.ceil(threshold * n - 1e-9)
+                before = len(keys)
                 if n == 1:
                     for a in steps(own[order[0]], held):
-                        put(hash((code(order[0]), a)), sample, held, 1, 0, 0)
-                    continue
+                        keys.append(hash((code(order[0]), a)))
+                        nijs.append(1 << 40)
                 prefix = [(i, code(t), s) for i, t in enumerate(order[: n - least + 2]) if (s := steps(own[t], held))]
                 for (i, a, x), (j, b, y) in combinations(prefix, 2):
-                    for u in x:
-                        for v in y:
-                            put(hash((a, u, b, v)), sample, held, n, i, j)
+                    keys += [hash((a, u, b, v)) for u in x for v in y]
+                    nijs += [n << 40 | i << 20 | j] * (len(x) * len(y))
+                sketch = 0
+                for t in order:
+                    sketch |= 1 << (code(t) * 0x9E3779B97F4A7C15 >> 58 & 63)
+                sketches += [sketch - (sketch >> 63 << 64)] * (len(keys) - before)
+                samples += [sample] * (len(keys) - before)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
     return run
@@ -125,15 +125,18 @@ def near_profiles(latest: DataFrame, threshold: float = 0.8, tolerance: float =
     profiles = cut(_profiles(latest))
     top = profiles.select(F.explode("tokens").alias("t")).groupBy("t").count().orderBy(F.desc("count"), "t").limit(VOCABULARY)
     counts = spark.sparkContext.broadcast({r["t"]: r["count"] for r in top.toLocalIterator()})
-    keys = profiles.select("sample_index", "in_holdout", "tokens", "z").mapInArrow(_signatures(counts, threshold, tolerance), "key long, sample_index long, held boolean, n short, i short, j short")
-    keys = keys.repartition("key")
-    index = keys.where("held").select("key", F.col("sample_index").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("j").alias("ja"))
-    probe = keys.where("not held").select("key", F.col("sample_index").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("j").alias("jb"))
-    met = index.join(probe, "key")
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - F.lit(1e-9))
-    fits = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - F.lit(1e-9)) & (
-        F.when(F.col("na") == 1, F.lit(True)).otherwise(F.least("ia", "ib") + 1 + F.least(F.col("ja") - F.col("ia"), F.col("jb") - F.col("ib")) + F.least(F.col("na") - F.col("ja") - 1, F.col("nb") - F.col("jb") - 1) >= need)
-    )
+    def signed(held: bool, name: str) -> DataFrame:
+        side = profiles.where(F.col("in_holdout") == held).select("sample_index", "in_holdout", "tokens", "z")
+        rows = side.mapInArrow(_signatures(counts, threshold, tolerance), "key long, sample_index long, sketch long, nij long")
+        return rows.select("key", F.col("sample_index").alias(name), F.col("sketch").alias(f"s{name}"), F.col("nij").alias(f"p{name}"))
+
+    met = signed(True, "a").join(signed(False, "b"), "key")
+    part = lambda side, bits: F.shiftright(F.col(f"p{side}"), bits).bitwiseAND((1 << 20) - 1)
+    na, ia, ja, nb, ib, jb = (part(x, k) for x in "ab" for k in (40, 20, 0))
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (na + nb) - F.lit(1e-9))
+    # each token of one side only sets at most one bit that the other sketch lacks
+    fits = (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= na + nb - 2 * need) & (F.least(na, nb) >= F.lit(threshold) * F.greatest(na, nb) - F.lit(1e-9))
+    fits = fits & ((na == 1) | (F.least(ia, ib) + 1 + F.least(ja - ia, jb - ib) + F.least(na - ja - 1, nb - jb - 1) >= need))
     pairs = met.where(fits).select("a", "b").distinct()
     whole = profiles.select("sample_index", "tokens", "z")
     sides = pairs.join(whole.select(F.col("sample_index").alias("a"), F.col("tokens").alias("ta"), F.col("z").alias("za")), "a")
