@@ -63,6 +63,12 @@ def j09(s, d):
     return op.aligned(table(s, d, "part").select(F.col("p_partkey").alias("gene")), one, "gene", "n", -10.0)
 
 
+@query("j09_vocabulary_samples", f"WITH {EXPR}, g AS (SELECT DISTINCT sample_index FROM expr) SELECT g.sample_index, p_partkey AS gene, coalesce(x.n, -10)::DOUBLE AS n, round(avg((x.gene IS NULL)::INTEGER) OVER (PARTITION BY g.sample_index), 8) AS missing_share FROM g CROSS JOIN part LEFT JOIN expr x ON x.sample_index = g.sample_index AND x.gene = p_partkey")
+def j09_samples(s, d):
+    rows = expr(s, d).select("sample_index", "gene", F.col("n").cast("double").alias("n"), F.lit(0).alias("pos"))
+    return op.aligned(table(s, d, "part").select(F.col("p_partkey").alias("gene")), rows, "gene", "n", -10.0, by=["sample_index"]).withColumn("missing_share", F.round("missing_share", 8))
+
+
 @query("j10_alias_rescue", """WITH names AS (SELECT DISTINCT gene AS symbol, regexp_replace(gene, '-AS.*$', '') AS alias FROM coexpression_edges), u AS (SELECT DISTINCT partner FROM coexpression_edges WHERE partner IS NOT NULL)
 SELECT n.symbol, coalesce(a.partner, b.partner) AS match, CASE WHEN a.partner IS NOT NULL THEN 'exact' WHEN b.partner IS NOT NULL THEN 'alias' ELSE 'unmatched' END AS matched_via FROM names n LEFT JOIN u a ON a.partner = n.symbol LEFT JOIN u b ON b.partner = n.alias WHERE n.symbol IS NOT NULL""")
 def j10(s, d):

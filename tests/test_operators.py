@@ -160,6 +160,17 @@ def test_joins(spark):
     assert got == {"A": ("a", "exact"), "B": ("C1", "alias"), "D": (None, "unmatched")}
 
 
+def test_every_group_gets_the_whole_axis(spark):
+    axis = spark.createDataFrame([("A",), ("B",), ("C",), ("D",)], "g string")
+    rows = spark.createDataFrame([(1, "A", 1.0, 0), (1, "A", 2.0, 1), (1, "X", 9.0, 0), (2, "D", 4.0, 0), (2, "B", None, 0), (3, "X", 9.0, 0)], "s int, g string, v double, pos int")
+    got = {(r["s"], r["g"]): (r["v"], r["missing_share"]) for r in joins.aligned(axis, rows, "g", "v", -10.0, by=["s"]).collect()}
+    assert got == {
+        (1, "A"): (2.0, 0.75), (1, "B"): (-10.0, 0.75), (1, "C"): (-10.0, 0.75), (1, "D"): (-10.0, 0.75),
+        (2, "A"): (-10.0, 0.5), (2, "B"): (-10.0, 0.5), (2, "C"): (-10.0, 0.5), (2, "D"): (4.0, 0.5),
+        (3, "A"): (-10.0, 1.0), (3, "B"): (-10.0, 1.0), (3, "C"): (-10.0, 1.0), (3, "D"): (-10.0, 1.0),
+    }
+
+
 def test_filters(spark):
     df = spark.createDataFrame([(0.4,), (0.5,), (0.6,), (None,)], "p double")
     assert filters.keep_at_most(df, "p", 0.5).count() == 2 and filters.keep_at_most(df, "p", 0.5, False).count() == 1 and filters.keep_at_most(df, "no", 0.5).count() == 4
