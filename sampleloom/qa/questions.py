@@ -105,16 +105,18 @@ def comparative(requests: DataFrame, ctx: dict[str, DataFrame]) -> DataFrame:
 
 @question("interaction_network_query")
 def network(requests: DataFrame, ctx: dict[str, DataFrame]) -> DataFrame:
-    """The gene's five best partners that have a value in the sample, in the order of the graph."""
+    """The gene's n best partners (n: 5 unless given) that have a value in the sample, in the order of the graph."""
     v = ctx["values"].groupBy("sample", "gene").agg(F.avg("v").alias("v"))
-    partners = ctx["edges"].where("rank <= 50").groupBy("gene", "partner").agg(F.min("rank").alias("rank"))
-    r = _known(requests, ctx)
-    got = r.select("row", "sample", "gene").join(partners, "gene").join(v.select("sample", F.col("gene").alias("partner")), ["sample", "partner"])
+    partners = ctx["edges"].groupBy("gene", "partner").agg(F.min("rank").alias("rank"))
+    graph = partners.groupBy("gene").agg(F.count("*").alias("n_partners"))
+    r = _known(requests, ctx).join(graph, "gene", "left")
+    r = r.withColumn("size", F.when(F.col("n").isNull(), 5).otherwise(size_spec(F.col("n"), F.col("n_partners"))))
+    # the sample's short list first: a gene's partners can be many
+    near = r.select("row", "sample", "gene", "size").join(v.select("sample", F.col("gene").alias("partner")), "sample")
     w = Window.partitionBy("row").orderBy("rank", "partner")
-    got = got.withColumn("k", F.row_number().over(w)).where("k <= 5").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "partner"))).alias("l"))
-    known = ctx["edges"].select("gene").distinct().withColumn("in_graph", F.lit(True))
-    r = r.join(got, "row", "left").join(known, "gene", "left")
-    return _result(r, [_unknown(), (F.col("in_graph").isNull(), "gene_not_in_graph"), (F.col("l").isNull(), "no_partner_in_sample")], F.array_join(F.col("l.partner"), ","))
+    got = near.join(partners, ["gene", "partner"]).withColumn("k", F.row_number().over(w)).where("k <= size").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "partner"))).alias("l"))
+    r = r.join(got, "row", "left")
+    return _result(r, [_unknown(), (F.col("n_partners").isNull(), "gene_not_in_graph"), (F.col("size").isNull(), "bad_size"), (F.col("l").isNull(), "no_partner_in_sample")], F.array_join(F.col("l.partner"), ","))
 
 
 @question("disease_subtype_classification")

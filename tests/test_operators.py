@@ -138,6 +138,16 @@ def test_refusals_name_the_first_gate(spark):
     }
 
 
+def test_partners_of_any_rank_and_number(spark):
+    up = ["H", *(f"P{k:02d}" for k in range(48, 58))]
+    de = spark.createDataFrame([(1, "GSM1", "ok", up, ["C"], [1.0] * len(up), [-1.0], "large", 7)], "sample_index long, geo_accession string, status string, top_up_genes array<string>, top_down_genes array<string>, top_up_z array<float>, top_down_z array<float>, magnitude_bucket string, n_genes_abs_z_gt2 int")
+    lab = spark.createDataFrame([(1, "ischemic", True)], "sample_index long, cvd_subtype string, is_cvd_disease boolean")
+    edges = spark.createDataFrame([("H", f"P{k:02d}", k) for k in range(1, 61)] + [("K", "P57", 900), ("K", "X", 1)], "gene string, partner string, rank int")
+    rows = [(k, "interaction_network_query", "GSM1", g, n, None) for k, (g, n) in enumerate([("H", None), ("H", "7"), ("H", "61"), ("K", None), ("K", "1"), ("H", "none")])]
+    got = questions.answer(spark.createDataFrame(rows, "row long, category string, sample string, gene string, n string, direction string"), questions.context(de, lab, edges), ["interaction_network_query"])
+    assert {r["row"]: r["answer"] or r["reason"] for r in got.collect()} == {0: "P48,P49,P50,P51,P52", 1: "P48,P49,P50,P51,P52,P53,P54", 2: "bad_size", 3: "P57", 4: "P57", 5: "bad_size"}
+
+
 def test_text_helpers(spark):
     assert one(spark, text.name_list(F.lit(" gse1,GSE2;gse1 | gse3\t"))) == ["GSE1", "GSE2", "GSE3"] and one(spark, text.name_list(F.lit(None).cast("string"))) == []
     assert one(spark, text.clean_upper(F.lit("\t gsm1 "))) == "GSM1" and one(spark, text.clean_upper(F.lit("  "))) is None
