@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,3 +105,9 @@ def snake_folds(df: DataFrame, group: str, folds: int, seed: str) -> DataFrame:
     sizes = df.groupBy(group).agg(F.count("*").alias("n"))
     k = F.pmod(F.row_number().over(Window.orderBy(F.desc("n"), draw_key(seed, group))) - 1, F.lit(2 * folds))  # one row per group
     return sizes.withColumn("_k", k).withColumn("fold", F.when(F.col("_k") < folds, F.col("_k")).otherwise(2 * folds - 1 - F.col("_k")).cast("int")).drop("_k")
+
+
+def nested_folds(df: DataFrame, group: str, fold: str, outer: int, inner: int, seed: str) -> DataFrame:
+    """(outer_fold, group, n, inner_fold): the training groups of every outer fold dealt over inner folds."""
+    parts = [snake_folds(df.where(F.col(fold) != k), group, inner, seed).select(F.lit(k).alias("outer_fold"), group, "n", F.col("fold").alias("inner_fold")) for k in range(outer)]
+    return reduce(DataFrame.unionByName, parts)

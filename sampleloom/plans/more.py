@@ -105,19 +105,16 @@ def m02(s, d):
     return sampling.snake_folds(x, "series", 2, "in").select("series", "n", F.col("fold").alias("inner_fold"))
 
 
+@query("m02_nested_folds_all", f"""WITH {EMB}, x AS (SELECT DISTINCT sample_index, sample_index // 25 AS series FROM emb), g AS (SELECT series, count(*) AS n FROM x GROUP BY 1), o AS (SELECT *, (row_number() OVER (ORDER BY n DESC, md5('cv|' || series)) - 1) % 6 AS k FROM g), f AS (SELECT series, n, CASE WHEN k < 3 THEN k ELSE 5 - k END::INTEGER AS fold FROM o),
+i AS (SELECT h.outer_fold, series, n, (row_number() OVER (PARTITION BY h.outer_fold ORDER BY n DESC, md5('in|' || series)) - 1) % 4 AS k FROM f, (SELECT unnest(range(3))::INTEGER AS outer_fold) h WHERE fold <> h.outer_fold) SELECT outer_fold, series::BIGINT AS series, n, CASE WHEN k < 2 THEN k ELSE 3 - k END::INTEGER AS inner_fold FROM i""")
+def m02_all(s, d):
+    return sampling.nested_folds(_vectors(s, d), "series", "fold", 3, 2, "in")
+
+
 @query("m06_multiclass_probe")
 def m06(s, d):
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import vector_to_array
-
-    x = learn.vectors(_vectors(s, d), "embedding")
-    train, test = x.where("fold <> 0"), x.where("fold = 0")
-    scaler = StandardScaler(withMean=True, inputCol="_x", outputCol="_s").fit(train)
-    p = PCA(k=32, inputCol="_s", outputCol="_p").fit(scaler.transform(train))
-    m = LogisticRegression(featuresCol="_p", labelCol="label", family="multinomial", regParam=0.01, maxIter=50).fit(p.transform(scaler.transform(train)))
-    scored = m.transform(p.transform(scaler.transform(test))).select("label", vector_to_array("probability").alias("p"))
-    return benchmarks.multiclass_auc(scored, "label", "p", 10).select("class", "n_pos", "n_neg", F.round("auc", 4).alias("auc"))
+    p = learn.multiclass_probe(_vectors(s, d), "embedding", "label", "fold", 3, pca=32, reg=0.01)
+    return benchmarks.multiclass_auc(p, "label", "p", 10, ["fold"]).select("fold", "class", "n_pos", "n_neg", F.round("auc", 4).alias("auc"))
 
 
 @query("m09_one_condition_probes")

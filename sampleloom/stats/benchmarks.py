@@ -28,9 +28,9 @@ def soft_accuracy(answers: DataFrame, references: DataFrame, key: str, answer: s
     return g.select(key, F.round(F.when(F.col("_m") > 0, hit / F.col("_n")).otherwise(F.lit(0.0)), 6).alias("score"))
 
 
-def multiclass_auc(predictions: DataFrame, label: str, probabilities: str, classes: int) -> DataFrame:
-    """(class, n_pos, n_neg, auc): one class against the rest; classes without rows are left out."""
+def multiclass_auc(predictions: DataFrame, label: str, probabilities: str, classes: int, by: list[str] = ()) -> DataFrame:
+    """(by, class, n_pos, n_neg, auc): one class against the rest; classes without rows are left out."""
     from sampleloom.stats.auc import roc_auc
 
-    long = predictions.select(F.col(label).alias("_y"), F.posexplode(probabilities).alias("class", "_s")).where(F.col("class") < classes)
-    return roc_auc(long.withColumn("_l", (F.col("_y") == F.col("class")).cast("int")), "_l", "_s", ["class"]).where("n_pos > 0")
+    long = predictions.select(*by, F.col(label).alias("_y"), F.posexplode(probabilities).alias("class", "_s")).where(F.col("class") < classes)
+    return roc_auc(long.withColumn("_l", (F.col("_y") == F.col("class")).cast("int")), "_l", "_s", [*by, "class"]).where("n_pos > 0")

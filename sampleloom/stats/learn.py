@@ -50,6 +50,20 @@ def probe(df: DataFrame, features: str, label: str, fold: str, folds: int, least
     return out
 
 
+def multiclass_probe(df: DataFrame, features: str, label: str, fold: str, folds: int, pca: int, reg: float, key: str = "key") -> DataFrame:
+    """Out-of-fold (key, fold, label, p): scaled and PCA-reduced features, a multinomial fit per fold, each row scored once."""
+    x = vectors(df.select(F.col(key).alias("key"), features, F.col(label).cast("int").alias("label"), F.col(fold).alias("fold")), features).drop(features).persist()
+    out = None
+    for k in range(folds):
+        train, test = x.where(F.col("fold") != k), x.where(F.col("fold") == k)
+        scaler = StandardScaler(withMean=True, inputCol="_x", outputCol="_s").fit(train)
+        p = PCA(k=pca, inputCol="_s", outputCol="_p").fit(scaler.transform(train))
+        m = LogisticRegression(featuresCol="_p", labelCol="label", family="multinomial", regParam=reg, maxIter=50).fit(p.transform(scaler.transform(train)))
+        scored = m.transform(p.transform(scaler.transform(test))).select("key", "fold", "label", vector_to_array("probability").alias("p"))
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
 def fold_auc(predictions: DataFrame) -> DataFrame:
     return roc_auc(predictions, "label", "score", ["fold"])
 

@@ -181,6 +181,17 @@ def test_every_group_gets_the_whole_axis(spark):
     }
 
 
+def test_every_fold_is_nested_and_scored(spark):
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.001"
+    nested = entry.queries()["m02_nested_folds_all"](spark, d).collect()
+    n = spark.read.parquet(f"{d}/embeddings.parquet").count()
+    assert {(r["outer_fold"], r["inner_fold"]) for r in nested} == {(o, i) for o in range(3) for i in range(2)} and sum(r["n"] for r in nested) == 2 * n
+    scored = entry.queries()["m06_multiclass_probe"](spark, d).collect()
+    assert {r["fold"] for r in scored} == {0, 1, 2} and sum(r["n_pos"] for r in scored) == n and all(0 <= r["auc"] <= 1 for r in scored)
+
+
 def test_filters(spark):
     df = spark.createDataFrame([(0.4,), (0.5,), (0.6,), (None,)], "p double")
     assert filters.keep_at_most(df, "p", 0.5).count() == 2 and filters.keep_at_most(df, "p", 0.5, False).count() == 1 and filters.keep_at_most(df, "no", 0.5).count() == 4
