@@ -239,14 +239,9 @@ def str_daily(s, d):
     from sampleloom.streaming.logs import run_to_table, windowed
 
     where = f"{shared_dir(s)}/stream-{uuid.uuid4().hex[:10]}"
-    events = table(s, d, "events")
-    events, schema = events.withColumn("ts", F.col("ts").cast("timestamp")), events.schema
-    src = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
-    run_to_table(windowed(src, "ts", "event_type", "value", late="3650 days"), f"{where}/out", f"{where}/state", mode="append")
-    done = s.read.parquet(f"{where}/out")
-    open_ = events.groupBy(F.date_trunc("day", "ts").alias("start"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).join(done, ["start", "event_type"], "left_anti")
-    both = done.unionByName(open_.select(*done.columns))  # windows that the watermark has not closed yet
-    return both.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    src = s.readStream.schema(table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    run_to_table(windowed(src, "ts", "event_type", "value", late="3650 days"), f"{where}/out", f"{where}/state", mode="complete")
+    return s.read.parquet(f"{where}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("str_first_deliveries", "SELECT DISTINCT event_id FROM events")

@@ -18,5 +18,10 @@ def windowed(stream: DataFrame, time: str, group: str, value: str, width: str =
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Run what is there through the stream into a parquet table and stop."""
-    stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    """Run what is there through the stream into a parquet table and stop; in complete mode each batch replaces the table."""
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "complete":  # the file sink can only append
+        out = out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    else:
+        out = out.format("parquet").option("path", path)
+    out.start().awaitTermination()

@@ -192,6 +192,17 @@ def test_every_fold_is_nested_and_scored(spark):
     assert {r["fold"] for r in scored} == {0, 1, 2} and sum(r["n_pos"] for r in scored) == n and all(0 <= r["auc"] <= 1 for r in scored)
 
 
+def test_open_windows_come_from_the_stream(spark, tmp_path):
+    from sampleloom.streaming.logs import run_to_table, windowed
+
+    for k, day in enumerate(("2024-01-02", "2024-01-01")):  # the second file is late
+        spark.createDataFrame([("a", 1.0 + k), ("b", 2.0)], "g string, v double").withColumn("ts", F.to_timestamp(F.lit(day))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema("g string, v double, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run_to_table(windowed(src, "ts", "g", "v", late="1 hour"), str(tmp_path / "out"), str(tmp_path / "state"), mode="complete")
+    got = sorted((str(r["start"])[:10], r["g"], r["n"], r["total"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("2024-01-01", "a", 1, 2.0), ("2024-01-01", "b", 1, 2.0), ("2024-01-02", "a", 1, 1.0), ("2024-01-02", "b", 1, 2.0)]
+
+
 def test_filters(spark):
     df = spark.createDataFrame([(0.4,), (0.5,), (0.6,), (None,)], "p double")
     assert filters.keep_at_most(df, "p", 0.5).count() == 2 and filters.keep_at_most(df, "p", 0.5, False).count() == 1 and filters.keep_at_most(df, "no", 0.5).count() == 4
