@@ -109,9 +109,9 @@ def form_of(text: str, words: list[str], lines: list[str], f: dict[str, float])
             if len(own) * 2 >= len(words):
                 common = _common(own)
         if common >= 0.22 and f["symbol_share"] < 0.3:
-            return "prose"
+            return "junk" if _one_phrase(words, f) else "prose"
     elif f["common_share"] >= 0.34 and f["list_share"] >= f["table_share"] and f["line_end_share"] >= 0.5 and f["n_words"] >= 8 * len(lines):
-        return "prose"  # numbered or bulleted whole sentences
+        return "junk" if _one_phrase(words, f) else "prose"  # numbered or bulleted whole sentences
     if f["table_share"] >= 0.5 and f["table_share"] >= f["list_share"] and _regular(lines):
         return "table"
     single = sum(len(w) == 1 for w in words) / len(words)
@@ -129,6 +129,13 @@ def form_of(text: str, words: list[str], lines: list[str], f: dict[str, float])
     return "list" if gaps >= 3 and gaps * 6 >= len(words) and distinct > 0.1 and _readable(words) else "junk"
 
 
+def _one_phrase(words: list[str], f: dict[str, float]) -> bool:
+    """Hardly anything but one phrase, line or paragraph over and over; texts with a good part of repeats are still prose."""
+    if len(words) < 100 or len(set(words)) > 0.1 * len(words):
+        return False
+    return f["top_ngram_share"] >= 0.1 or f["repeated_line_share"] >= 0.9 or f["repeated_paragraph_share"] >= 0.9
+
+
 def _regular(lines: list[str]) -> bool:
     """Most lines have the same number of cells."""
     for mark in ("\t", "|", "<td", ";", ","):

@@ -121,3 +121,10 @@ def test_statistics_table(spark):
     assert rows[1]["n_words"] == 7 and abs(rows[1]["repeated_line_share"] - 1 / 3) < 1e-9 and rows[1]["line_end_share"] == 1
     assert rows[2]["form"] is None and rows[2]["n_words"] is None and rows[3]["n_words"] == 0 and rows[4]["n_words"] == 200_000 and rows[4]["top_ngram_share"] > 0.99
     assert text_quality.text_statistics(df.limit(0)).count() == 0
+
+
+def test_one_sentence_over_and_over_is_junk():
+    once = "The data of this page are subject to the terms of use and may not be copied."
+    rest = " ".join(f"The sample of patient {k} was taken on the day {k + 3} and sent to the laboratory {k * 7} of the clinic." for k in range(40))
+    assert {text_quality.statistics(glue.join([once] * 300))[1] for glue in (" ", "\n", "\n\n")} == {"junk"}
+    assert text_quality.statistics(once)[1] == "prose" and text_quality.statistics(f"{rest} {' '.join([once] * 10)}")[1] == "prose"
