@@ -186,7 +186,8 @@ def _rounded(x):
 
 @query("m03_elastic_net_folds")
 def m03(s, d):
-    return _rounded(learn.fold_auc(learn.probe(_labelled(s, d), "embedding", "y", "fold", 3, elastic=0.5, reg=0.01)))
+    p = learn.searched_probe(_labelled(s, d), "embedding", "y", "series", "fold", 3, regs=[0.1, 0.01, 0.001], elastics=[0.1, 0.5, 0.9])
+    return auc.roc_auc(p, "label", "score", ["fold", "reg", "elastic"]).select("fold", "n_pos", "n_neg", F.round("auc", 4).alias("auc"), "reg", "elastic")
 
 
 @query("m04_coefficients")

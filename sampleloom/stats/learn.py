@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sampleloom.stats.auc import roc_auc
+from sampleloom.operators.sampling import snake_folds
+from sampleloom.stats.auc import pr_auc, roc_auc
 
 
 def vectors(df: DataFrame, features: str) -> DataFrame:
@@ -50,6 +53,47 @@ def probe(df: DataFrame, features: str, label: str, fold: str, folds: int, least
     return out
 
 
+def searched_probe(df: DataFrame, features: str, label: str, group: str, fold: str, folds: int, regs: list[float], elastics: list[float], inner: int = 3, key: str = "key") -> DataFrame:
+    """Out-of-fold (key, fold, label, score, reg, elastic): an elastic net per fold, its pair the best on inner grouped folds.
+
+    Inner folds are dealt over the training groups only (fewer where these are few); the pair with the largest mean average
+    precision, the first of equal ones, is fitted again to the whole training part.
+    """
+    x = vectors(df.select(F.col(key).alias("key"), features, F.col(label).cast("double").alias("label"), F.col(group).alias("group"), F.col(fold).alias("fold")), features).drop(features).persist()
+    pairs = [(r, e) for e in elastics for r in regs]
+
+    def fitted(train: DataFrame, reg: float, elastic: float):
+        return LogisticRegression(featuresCol="_s", labelCol="label", weightCol="_w", regParam=reg, elasticNetParam=elastic, standardization=False, maxIter=60).fit(train)
+
+    def scored(model, test: DataFrame, reg: float, elastic: float) -> DataFrame:
+        return model.transform(test).select("key", "fold", F.col("label").cast("int").alias("label"), F.get(vector_to_array("probability"), F.lit(1)).alias("score"), F.lit(reg).alias("reg"), F.lit(elastic).alias("elastic"))
+
+    def split(rows: DataFrame, test: Column) -> tuple[DataFrame, DataFrame]:
+        scaler = StandardScaler(withMean=True, inputCol="_x", outputCol="_s").fit(rows.where(~test))
+        return balanced(scaler.transform(rows.where(~test)), "label").persist(), scaler.transform(rows.where(test))
+
+    out = None
+    for k in range(folds):
+        rows = x.where(F.col("fold") != k)
+        n_groups = rows.select("group").distinct().count()
+        n_inner = inner if n_groups >= inner else max(2, n_groups - 1)
+        rows = rows.join(snake_folds(rows, "group", n_inner, "in").select("group", F.col("fold").alias("inner")), "group").persist()
+        total = dict.fromkeys(pairs, 0.0)
+        for i in range(n_inner):
+            train, test = split(rows, F.col("inner") == i)
+            tried = reduce(DataFrame.unionByName, [scored(fitted(train, *p), test, *p) for p in pairs])
+            for r in pr_auc(tried, "label", "score", ["reg", "elastic"]).collect():  # a row per pair
+                total[r["reg"], r["elastic"]] += r["average_precision"] or 0.0
+            train.unpersist()
+        best = max(pairs, key=lambda p: total[p])
+        train, test = split(x, F.col("fold") == k)
+        part = scored(fitted(train, *best), test, *best)
+        out = part if out is None else out.unionByName(part)
+        train.unpersist()
+        rows.unpersist()
+    return out
+
+
 def multiclass_probe(df: DataFrame, features: str, label: str, fold: str, folds: int, pca: int, reg: float, key: str = "key") -> DataFrame:
     """Out-of-fold (key, fold, label, p): scaled and PCA-reduced features, a multinomial fit per fold, each row scored once."""
     x = vectors(df.select(F.col(key).alias("key"), features, F.col(label).cast("int").alias("label"), F.col(fold).alias("fold")), features).drop(features).persist()

@@ -203,6 +203,16 @@ def test_open_windows_come_from_the_stream(spark, tmp_path):
     assert got == [("2024-01-01", "a", 1, 2.0), ("2024-01-01", "b", 1, 2.0), ("2024-01-02", "a", 1, 1.0), ("2024-01-02", "b", 1, 2.0)]
 
 
+def test_the_grid_is_searched_on_inner_folds(spark):
+    from sampleloom.stats import learn
+
+    rng = random.Random(3)
+    rows = [(k, k // 10, k // 10 % 2, k % 2, [(k % 2) + rng.gauss(0, 1), rng.gauss(0, 1)]) for k in range(160)]
+    df = spark.createDataFrame(rows, "key int, series int, fold int, y int, v array<double>")
+    got = learn.searched_probe(df, "v", "y", "series", "fold", 2, regs=[50.0, 0.01], elastics=[0.9], inner=2).collect()  # 50 leaves no coefficient
+    assert sorted(r["key"] for r in got) == list(range(160)) and {r["reg"] for r in got} == {0.01}
+
+
 def test_filters(spark):
     df = spark.createDataFrame([(0.4,), (0.5,), (0.6,), (None,)], "p double")
     assert filters.keep_at_most(df, "p", 0.5).count() == 2 and filters.keep_at_most(df, "p", 0.5, False).count() == 1 and filters.keep_at_most(df, "no", 0.5).count() == 4
