@@ -109,6 +109,19 @@ def test_leakage_with_edits_reaches_its_recall(spark):
         ("Checklist, ABCD1, EFGH1, IJKL1, MNOP1, QRST1, UVWX1, YZAB1", "list"),
         ("a\tb\tc\n1\t2\t3\n4\t5\t6\n7\t8\t9", "table"), ("| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |", "table"), ("gene,level\nABCD1,4.5\nEFGH1,2.5\nIJKL1,1.5", "table"),
         ("foo foo foo foo foo foo foo foo", "junk"), ("@*~$|%*< {-[#]]- {@#<^->", "junk"), ("", "junk"), (" \n\t", "junk"), ("zfptswj kbmjkrrjgjkp phpfdwqzgwdj qqpqx njbvrztgwn", "junk"),
+        # rows and items of any length, tables and lists of two lines
+        ("id,name,use\n" + "\n".join(f"{k},pump {k},The pump number {k} moves the cooling water through the second loop of the plant" for k in range(8)), "table"),
+        ("\n".join(f"- check the pump {k} of the cooling loop and note the pressure at both ends in the sheet of the plant" for k in range(6)), "list"),
+        ("- one\n- two", "list"), ("a | b\n1 | 2", "table"), ("Parts to order:\n" + "\n".join(f"QRST{k}" for k in range(20)), "list"),
+        ("> The group looked at all the samples of the first\n> series and found that the results were stable in\n> both groups although there were few of them.", "prose"),
+        # prose of languages without a list of words
+        ("Η ομάδα εξέτασε τα δείγματα της σειράς. Τα αποτελέσματα ήταν σταθερά και στις δύο ομάδες, αν και ο αριθμός των δειγμάτων ήταν μικρός.", "prose"),
+        ("Zespół zbadał próbki z pierwszej serii. Wyniki były stabilne w obu grupach, choć liczba próbek była niewielka i należy je powtórzyć.", "prose"),
+        ("研究チームは最初のシリーズの試料を調べた。結果は両方の群で安定していたが、試料の数は少なかった。", "prose"),
+        ("فحص الفريق عينات السلسلة الأولى. كانت النتائج مستقرة في المجموعتين، على الرغم من أن عدد العينات كان صغيرا.", "prose"),
+        ("Ryhmä tutki ensimmäisen sarjan näytteet. Tulokset olivat vakaita molemmissa ryhmissä, vaikka näytteiden määrä oli pieni.", "prose"),
+        ("xkcd qwrt plmn bvcx zxcv hjkl mnbv qwrtp sdfg hjklp. wrtp sdfgh jklz xcvb nmqw rtpsd fghj klzx.", "junk"),
+        ("aBcDeF gHiJkL mNoPqR sTuVwX yZaBcD eFgHiJ kLmNoP qRsTuV wXyZaB cDeFgH.", "junk"),
     ],
 )
 def test_form(text, form):
