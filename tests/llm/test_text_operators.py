@@ -17,9 +17,8 @@ def _defects(spark, rows):
 Q, G = "How high is ABCD1 in GSM7?", "ABCD1 reads 4.5021 (log1p(TPM)) in GSM7, rank 12."
 
 
-@pytest.mark.parametrize(
-    "answer, want",
-    [
+def test_defects(spark):
+    cases = [
         (None, "empty"), ("", "empty"), (" \u200b\t", "empty"), ("N/A", "empty"), ("(empty)", "empty"), ("Answer: \n", "empty"),
         ("ABCD1 in GSM7 is at 4.5021, rank 12", None), ("abcd1: 4.5021 (gsm7, 12)", None), ("How high is ABCD1 in GSM7? ABCD1 has 4.5021, rank 12 in GSM7.", None),
         ("Sorry for the short text. ABCD1 has 4.5021 in GSM7, rank 12.", None),
@@ -27,10 +26,24 @@ Q, G = "How high is ABCD1 in GSM7?", "ABCD1 reads 4.5021 (log1p(TPM)) in GSM7, r
         ("I cannot answer this about GSM7.", "refusal"), ("Unfortunately I must decline.", "refusal"), ("Es tut mir leid, das kann ich nicht beantworten.", "refusal"),
         (Q, "copy"), ("Answer: how high is abcd1 in gsm7", "copy"), (Q + " " + Q, "copy"),
         ("Der Wert von ABCD1 liegt in GSM7 bei 4.5021, und zwar auf Rang 12.", "other_language"), ("在 GSM7 中 ABCD1 的值为 4.5021，排名 12。", "other_language"),
-    ],
-)
-def test_defect(spark, answer, want):
-    assert _defects(spark, [(Q, Q, answer, G)]).get(0) == want
+        # refusals of other wording and languages
+        ("That lies beyond what can be shared here.", "refusal"), ("I'd prefer to keep this to myself.", "refusal"), ("This is confidential", "refusal"), ("I looked at it for a while and gave up.", "refusal"),
+        ("Niestety nie mogę odpowiedzieć na to pytanie.", "refusal"), ("Jag kan tyvärr inte svara på den frågan.", "refusal"), ("Bu soruyu yanıtlayamam.", "refusal"), ("En voi vastata tähän kysymykseen.", "refusal"),
+        # languages without a list of words, numbers in words and with commas
+        ("ABCD1:n arvo näytteessä GSM7 on 4.5021 ja sijoitus 12.", "other_language"), ("У ABCD1 в GSM7 уровень 4,5021, место 12.", "other_language"), ("ABCD1 sits at 4.5021 in GSM7, rank twelve.", None),
+        ("Expression of ABCD1: 4.5021. Ranking: 12. Sample: GSM7", None), ("ABCD1, GSM7: 4.5021, place 12 overall, measured twice", None), ("I looked it up: ABCD1 has 4.5021 in GSM7, rank 12.", None),
+        # whatever blanks follow the end
+        *((f"ABCD1 in GSM7 is at 4.5021, rank 12, and{blank * n}", "truncated") for blank in (" ", "\n", " ") for n in (0, 30, 3000)), ("ABCD1 in GSM7 is at 4.5021, rank 12." + " " * 300, None),
+        ("It stands at “4.5021 in GSM7, rank 12", "truncated"), ("ABCD1 peaked.", "truncated"), ("ABCD1 (GSM7, rank 12) has 4.5021...", "truncated"),
+    ]
+    got = _defects(spark, [(Q, Q, answer, G) for answer, _ in cases])
+    assert {k: (answer, got.get(k)) for k, (answer, want) in enumerate(cases) if got.get(k) != want} == {}
+
+
+def test_values_in_words_are_facts(spark):
+    q, g = "Under what subtype is GSM7 filed?", "subtype: heart failure; tissue: whole blood; sample: GSM7; reference_n: 12"
+    rows = ["GSM7 is filed under heart failure (whole blood, 12 others)", "Against 12 others, GSM7 from whole blood is filed under heart", "12 others, GSM7, whole\u00a0 blood: HEART-failure."]
+    assert _defects(spark, [(q, q, a, g) for a in rows]) == {1: "truncated"}
 
 
 def test_defects_with_nulls_and_no_rows(spark):
