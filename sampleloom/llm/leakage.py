@@ -1,24 +1,24 @@
 """Evaluation passages inside a training corpus: CGK embedding, bit-sampling LSH over windows, exact verification.
 
 A passage is `passage` consecutive words of an item (letters and digits in lower case, invisible characters left out).
-Document windows begin at every `stride`-th word and have at most passage - stride + 1 words, so any passage in a document
-holds a whole window; items give the windows at all offsets. The CGK walk turns edit distance between windows into Hamming
-distance (every step copies the current word and moves on or not by a random bit of that word and step; equal windows
-have equal embeddings), and each of `repetitions` tables keys the windows by a few sampled positions of the embedding.
-Equal windows meet in every table, so with max_edits 0 one table has a recall of 1; windows with edits meet in some.
+All windows of that many words, of items and of documents, are embedded: the CGK walk turns edit distance between windows
+into Hamming distance (every step copies the current word and moves on or not by a random bit of that word and step), and
+each of `repetitions` tables keys the windows by a sample of `bits` positions of its own walk. Windows that are equal
+have equal embeddings and meet in every table; windows with edits meet in some table with the recall measured in the
+tests. Document windows with more than max_edits words that no item has are left out before: they can't match.
 
-Candidates are verified exactly, within the same task: with max_edits 0 a run of `passage` equal words must go through the
-window; otherwise a passage of the item must have a word edit distance of at most max_edits to a stretch of the document.
+Candidates are verified exactly, within the same task: the passage must have a word edit distance of at most max_edits to
+a stretch of the document that begins within max_edits words of the window (with max_edits 0: be equal to the window).
 
 Items are the query set: their keys are sent to the workers in blocks of at most BLOCK_WORDS words, one pass over the
 documents for each block, so what is broadcast has a fixed bound. Documents are never collected; nothing is shuffled but
-the found pairs. Null or short texts (under `passage` words) hold and give nothing. Repeated items each count by their id.
+the found pairs. Null or short texts (under `passage` words; documents may be shorter by max_edits) hold and give nothing.
+Repeated items each count by their id.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most words of items sent to the workers at once.
-BLOCK_WORDS = 2_000_000
-#: Most document words embedded at once in a worker.
+#: Most words of items sent to the workers at once (about 16 bytes a word and table).
+BLOCK_WORDS = 500_000
+#: Most document words embedded at once in a worker, and most candidates verified at once.
 CHUNK_WORDS = 400_000
+CHUNK_PAIRS = 200_000
 _INVISIBLE = re.compile("[\u200b-\u200d\u2060\ufeff\u00ad]")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -46,7 +47,7 @@ class Embedding:
         self.width = width
         steps = 3 * width
         self.moves = [rng.integers(0, 2**63, (steps, 2), dtype=np.uint64) | np.uint64(1) for _ in range(repetitions)]
-        # the first position is always sampled: it is the first word, which all walks have
+        # the first position is the first word, whatever the walk; sampled positions lie where a walk is still inside
         self.samples = [np.sort(rng.choice(np.arange(1, 2 * width), min(bits, 2 * width - 1), replace=False)) for _ in range(repetitions)]
         self.mix = rng.integers(0, 2**63, steps, dtype=np.uint64) | np.uint64(1)
 
@@ -54,9 +55,9 @@ class Embedding:
         """A 64-bit key of each window of table r. codes: word codes, with `width` spare ones (0) at the end."""
         at = starts.copy()
         end = starts + self.width
-        moves, sampled = self.moves[r], self.samples[r]
-        key = codes[at] * self.mix[0]
-        for step in range(int(sampled[-1]) + 1):
+        moves, sampled = self.moves[r], set(self.samples[r].tolist())
+        key = np.zeros(len(starts), np.uint64)
+        for step in range(max(sampled) + 1):
             word = np.where(at < end, codes[np.minimum(at, end - 1)], np.uint64(0))
             if step in sampled:
                 key = (key ^ word) * self.mix[step]
@@ -69,30 +70,31 @@ class Embedding:
 class ItemIndex:
     """The windows of a block of items by table and key."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], passage: int, stride: int, width: int, repetitions: int, bits: int):
-        self.passage, self.stride, self.width = passage, stride, width
-        self.embedding = Embedding(self.width, repetitions, bits)
-        self.items = [(i, w) for i, w in items if len(w) >= passage]
+    def __init__(self, items: list[tuple[int, list[str]]], passage: int, repetitions: int, bits: int):
+        self.passage = passage
+        self.embedding = Embedding(passage, repetitions, bits)
+        items = [(i, w) for i, w in items if len(w) >= passage]
+        self.item_ids = np.array([i for i, _ in items], np.int64)
         self.vocabulary: dict[str, int] = {}
-        mask = (1 << 64) - 1
-        for _, w in self.items:
+        for _, w in items:
             for x in w:
-                if x not in self.vocabulary:
-                    b = x.encode()
-                    self.vocabulary[x] = ((zlib.crc32(b) << 32 | zlib.adler32(b)) * 0x9E3779B97F4A7C15 & mask) | 1
-        flat = np.array([self.vocabulary[x] for _, w in self.items for x in w] + [0] * self.width, np.uint64)
-        place, owner, offset = 0, [], []
-        for n, (_, w) in enumerate(self.items):
-            owner += [n] * (len(w) - self.width + 1)
-            offset += range(len(w) - self.width + 1)
-            place += len(w)
-        ends = np.cumsum([0, *(len(w) for _, w in self.items)])
-        owner, offset = np.array(owner, np.int64), np.array(offset, np.int64)
+                self.vocabulary.setdefault(x, len(self.vocabulary) + 1)  # 0: a word of no item
+        self.words = np.array([self.vocabulary[x] for _, w in items for x in w] + [0] * passage, np.int32)
+        sizes = np.array([len(w) for _, w in items], np.int64)
+        windows = sizes - passage + 1
+        first = np.cumsum(sizes) - sizes
+        self.owner = np.repeat(np.arange(len(items), dtype=np.int32), windows)
+        self.start = (np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(first, windows)).astype(np.int64)
         self.tables = []
         for r in range(repetitions):
-            keys = self.embedding.keys(flat, ends[owner] + offset, r) if len(owner) else np.array([], np.uint64)
+            keys = self.embedding.keys(self.codes(self.words), self.start, r)
             order = np.argsort(keys, kind="stable")
-            self.tables.append((keys[order], owner[order], offset[order]))
+            self.tables.append((keys[order], order.astype(np.int32)))
+
+    @staticmethod
+    def codes(words: np.ndarray) -> np.ndarray:
+        """64-bit codes of word numbers, 0 for 0."""
+        return words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     def state(self) -> dict:
         """Plain values only, for a broadcast; `of` is its inverse."""
@@ -105,51 +107,44 @@ class ItemIndex:
         index.__dict__.update(state | {"embedding": embedding})
         return index
 
-    def candidates(self, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(window number, item number, item offset) of windows that share a key, each once."""
-        seen = set()
-        for r, (keys, owner, offset) in enumerate(self.tables):
+    def candidates(self, words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places in starts, item windows) that share a key, table after table; a pair may come from several tables."""
+        codes = self.codes(words)
+        for r, (keys, order) in enumerate(self.tables):
             if not len(keys):
                 continue
             ours = self.embedding.keys(codes, starts, r)
             low = np.searchsorted(keys, ours)
             hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == ours)
-            high = np.searchsorted(keys, ours[hit], "right")
-            for w, a, b in zip(hit.tolist(), low[hit].tolist(), high.tolist()):
-                for k in range(a, b):
-                    c = (w, int(owner[k]), int(offset[k]))
-                    if c not in seen:
-                        seen.add(c)
-                        yield c
-
-
-def _run_through(doc: list[str], item: list[str], d: int, i: int, width: int, passage: int) -> bool:
-    """Whether the equal words around window d of the document and i of the item number `passage` or more."""
-    if doc[d : d + width] != item[i : i + width]:
-        return False
-    n, a, b = width, d + width, i + width
-    while n < passage and a < len(doc) and b < len(item) and doc[a] == item[b]:
-        n, a, b = n + 1, a + 1, b + 1
-    a, b = d - 1, i - 1
-    while n < passage and a >= 0 and b >= 0 and doc[a] == item[b]:
-        n, a, b = n + 1, a - 1, b - 1
-    return n >= passage
-
-
-def _within_edits(doc: list[str], item: list[str], d: int, i: int, width: int, passage: int, most: int) -> bool:
-    """Whether a passage of the item that holds window i has at most `most` word edits to a stretch of doc around d."""
-    lo, hi = max(0, d - passage - most), min(len(doc), d + width + passage + most)
-    near = doc[lo:hi]
-    for s in range(max(0, i + width - passage), min(i, len(item) - passage) + 1):
-        part = item[s : s + passage]
-        row = [0] * (len(near) + 1)  # free start in the document
-        for k, x in enumerate(part, 1):
-            prev, row[0] = row[0], k
-            for j, y in enumerate(near, 1):
-                prev, row[j] = row[j], min(prev + (x != y), row[j] + 1, row[j - 1] + 1)
-        if min(row) <= most:
-            return True
-    return False
+            low = low[hit]
+            times = np.searchsorted(keys, ours[hit], "right") - low
+            upto = np.cumsum(times)
+            begin = 0
+            while begin < len(hit):  # in parts of a bounded number of pairs (one window's pairs at least)
+                stop = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + CHUNK_PAIRS, "right")))
+                n = times[begin:stop]
+                inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                yield np.repeat(hit[begin:stop], n), order[np.repeat(low[begin:stop], n) + inside]
+                begin = stop
+
+    def near(self, words: np.ndarray, starts: np.ndarray, low: np.ndarray, high: np.ndarray, window: np.ndarray, most: int) -> np.ndarray:
+        """Whether item window has at most `most` word edits to a stretch of words around starts, within [low, high)."""
+        part = self.words[self.start[window][:, None] + np.arange(self.passage)]
+        if not most:
+            return (words[starts[:, None] + np.arange(self.passage)] == part).all(axis=1)
+        at = starts[:, None] + np.arange(-most, self.passage + most)
+        near = np.where((at >= low[:, None]) & (at < high[:, None]), words[np.clip(at, 0, len(words) - 1)], -1)
+        # edit distance with a free begin and end in the stretch, all pairs at once
+        row = np.zeros((len(starts), near.shape[1] + 1), np.int16)
+        for k in range(self.passage):
+            differs = (near != part[:, k : k + 1]).astype(np.int16)
+            new = np.empty_like(row)
+            new[:, 0] = k + 1
+            cost = np.minimum(row[:, :-1] + differs, row[:, 1:] + 1)
+            for j in range(near.shape[1]):
+                new[:, j + 1] = np.minimum(cost[:, j], new[:, j] + 1)
+            row = new
+        return row.min(axis=1) <= most
 
 
 def _search(shared, max_edits: int):
@@ -157,42 +152,41 @@ def _search(shared, max_edits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ItemIndex.of(shared.value)
-        code_of, width = index.vocabulary.get, index.width
-        ids, texts, parts, first, size = [], [], [], [], 0
+        number_of, width = index.vocabulary.get, index.passage
+        ids, parts, size = [], [], 0
 
         def found() -> pa.RecordBatch:
-            codes = np.array([c for p in parts for c in p] + [0] * width, np.uint64)
-            starts = np.concatenate([np.arange(f, f + len(p) - width + 1, index.stride) for f, p in zip(first, parts)] or [np.array([], np.int64)])
-            begin = np.array(first)
-            # a window with more than max_edits words that no item has can't match
-            unknown = np.concatenate([[0], np.cumsum(codes == 0)])
-            known = unknown[starts + width] - unknown[starts] <= max_edits
-            starts = starts[known]
-            pairs = set()
-            for w, n, i in index.candidates(codes, starts) if len(starts) else ():
-                k = int(np.searchsorted(begin, starts[w], "right")) - 1
-                pair = (ids[k], index.items[n][0])
-                if pair in pairs:
-                    continue
-                args = (texts[k], index.items[n][1], int(starts[w]) - first[k], i, width, index.passage)
-                if _within_edits(*args, max_edits) if max_edits else _run_through(*args):
-                    pairs.add(pair)
-            out = sorted(pairs)
-            return pa.record_batch([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], schema=schema)
+            sizes = np.array([len(p) for p in parts], np.int64)
+            first = np.cumsum(sizes) - sizes
+            words = np.array([c for p in parts for c in p] + [0] * (width + max_edits), np.int32)
+            # every place a window of a document can begin; with edits it may run over the document's end
+            windows = np.maximum(sizes - width + 1 + max_edits, 0)
+            doc = np.repeat(np.arange(len(parts)), windows)
+            starts = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + first[doc]
+            unknown = np.concatenate([[0], np.cumsum(words == 0)])
+            known = unknown[np.minimum(starts + width, first[doc] + sizes[doc])] - unknown[starts] <= max_edits
+            starts, doc = starts[known], doc[known]
+            n, pairs = max(1, len(index.item_ids)), np.array([], np.int64)  # a pair of document and item as one number
+            for at, window in index.candidates(words, starts) if len(starts) else ():
+                pair = doc[at] * n + index.owner[window]
+                open_ = ~np.isin(pair, pairs)  # what is found needs no further look
+                at, window, pair = at[open_], window[open_], pair[open_]
+                d = doc[at]
+                ok = index.near(words, starts[at], first[d], first[d] + sizes[d], window, max_edits)
+                pairs = np.union1d(pairs, pair[ok])
+            return pa.record_batch([pa.array(np.array(ids, np.int64)[pairs // n]), pa.array(index.item_ids[pairs % n] if len(pairs) else [], pa.int64())], schema=schema)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(text)
-                if doc is None or len(words) < index.passage - max_edits:
+                if doc is None or len(words) < width - max_edits:
                     continue
                 ids.append(doc)
-                texts.append(words)
-                parts.append([code_of(x, 0) for x in words])
-                first.append(size)
+                parts.append([number_of(x, 0) for x in words])
                 size += len(words)
                 if size >= CHUNK_WORDS:
                     yield found()
-                    ids, texts, parts, first, size = [], [], [], [], 0
+                    ids, parts, size = [], [], 0
         if ids:
             yield found()
 
@@ -212,21 +206,19 @@ def _blocks(items: DataFrame, item: str, text: str) -> Iterator[list[tuple[int,
     yield block
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", passage: int = 12, max_edits: int = 0, stride: int | None = None, repetitions: int | None = None, bits: int | None = None) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", passage: int = 12, max_edits: int = 0, repetitions: int | None = None, bits: int | None = None) -> DataFrame:
     """(doc, item): the document holds a passage of the item, once per pair.
 
-    Without edits one table with windows at half a passage's distance finds all. With max_edits the windows lie closer
-    and are shorter, few positions are sampled, and 12 tables find 0.98 of the passages with two edits (tests).
+    Without edits two tables of six positions find all, equal windows having equal embeddings. With max_edits fewer
+    positions are sampled and 12 tables find 0.98 of the passages with two edits (tests).
     """
-    stride = stride or (max(1, passage // 2) if not max_edits else 2)
-    width = passage - stride + 1 if not max_edits else max(2, passage * 2 // 3)
-    repetitions = repetitions or (1 if not max_edits else 12)
-    bits = bits or (width if not max_edits else 3)
+    repetitions = repetitions or (2 if not max_edits else 12)
+    bits = bits or (6 if not max_edits else 3)
     spark = docs.sparkSession
     rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     result = None
     for block in _blocks(items, item, text):
-        index = ItemIndex(block, passage, stride, width, repetitions, bits)
+        index = ItemIndex(block, passage, repetitions, bits)
         found = rows.mapInArrow(_search(spark.sparkContext.broadcast(index.state()), max_edits), "doc long, item long")
         result = found if result is None else result.unionByName(found)
     return result.distinct().select(F.col("doc").alias(doc), F.col("item").alias(item))

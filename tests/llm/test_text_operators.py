@@ -111,6 +111,37 @@ def test_leakage_with_edits_reaches_its_recall(spark):
     assert got <= {(k, k % 40) for k in range(200)} and len(got) >= 0.9 * 200
 
 
+def test_leakage_with_edits_of_natural_text_against_brute_force(spark):
+    """Common words, substitutions, insertions and deletions at any place: every pair within two edits, or 0.95 of them."""
+    rng = random.Random(4)
+    subjects, verbs, objects = ["the group", "our team", "a nurse", "the committee", "this report"], ["looked at", "wrote about", "kept", "sent back", "asked for"], ["the samples of the day", "all of the records", "a list of names", "the results of the test", "some of the old notes"]
+    sentence = lambda: f"{rng.choice(subjects)} {rng.choice(verbs)} {rng.choice(objects)} and then {rng.choice(['went home', 'closed the file', 'called the office'])}"
+    items = [(k, ". ".join(sentence() for _ in range(3))) for k in range(12)]
+    docs = []
+    for k in range(60):
+        w = leakage.words_of(items[k % 12][1])
+        a = rng.randrange(len(w) - 14)
+        part = w[a : a + 14]
+        for _ in range(rng.randrange(4)):
+            p = rng.randrange(len(part))
+            part[p : p + rng.choice([0, 1])] = rng.choice([["of"], ["never"], []])
+        docs.append((k, " ".join(leakage.words_of(sentence()) + part + leakage.words_of(sentence()))))
+
+    def distance(passage: list[str], text: list[str]) -> int:
+        row = [0] * (len(text) + 1)
+        for k, x in enumerate(passage, 1):
+            new = [k]
+            for j, y in enumerate(text, 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+            row = new
+        return min(row)
+
+    word = {k: leakage.words_of(t) for k, t in items}
+    want = {(k, i) for k, t in docs for i, w in word.items() if any(distance(w[p : p + 12], t.split()) <= 2 for p in range(len(w) - 11))}
+    got = {tuple(r) for r in leakage.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), max_edits=2).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 60
+
+
 @pytest.mark.parametrize(
     "text, form",
     [
