@@ -19,22 +19,24 @@ def series_figures(samples: DataFrame, labels: DataFrame | None = None, plan: Lo
 
     A sample that names several series counts for each; one without a series for none. A sample is held out if a row of
     it says so. Samples without a label row, or with a null label, are unknown; of several labels the true one counts.
+    Labels are matched by fragments: a sample delivered any number of times is split over shards, and its label goes to
+    these shards only.
     """
     rows = series_rows(samples, F.coalesce("in_holdout", F.lit(False)).alias("held"))
     plan = plan or plan_load(rows, ["series_id"])
     item, partial = {"held": F.max("held")}, {"n_samples": F.count("*"), "n_holdout": F.count_if("held")}
     if labels is not None:
         one = labels.groupBy("sample_index").agg(F.max("is_cvd_disease").alias("cvd"))
-        rows = rows.join(one, "sample_index", "left")
+        rows = fragment_replicate_join(rows, one, "sample_index", "left")
         item["cvd"] = F.max("cvd")
         partial |= {"n_cvd": F.count_if("cvd"), "n_not_cvd": F.count_if(~F.col("cvd")), "n_cvd_unknown": F.count_if(F.col("cvd").isNull())}
     return sharded_aggregate(rows, ["series_id"], ["sample_index"], partial, {k: F.sum(k) for k in partial}, plan, item)
 
 
-def large_series(samples: DataFrame, share: float = 0.02) -> DataFrame:
+def large_series(samples: DataFrame, labels: DataFrame | None = None, share: float = 0.02) -> DataFrame:
     """Figures of the series with at least `share` of all distinct samples, with or without a series."""
     total = samples.agg(F.countDistinct("sample_index").alias("total"))
-    return series_figures(samples).crossJoin(total).where(F.col("n_samples") >= share * F.col("total"))  # total is one row
+    return series_figures(samples, labels).crossJoin(total).where(F.col("n_samples") >= share * F.col("total"))  # total is one row
 
 
 def sample_against_series(samples: DataFrame) -> DataFrame:

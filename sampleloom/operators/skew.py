@@ -2,8 +2,9 @@
 
 A load plan counts rows by hash bucket of the key (one small shuffle, whatever the number of keys), counts keys only
 inside overloaded buckets, splits keys above `shard_rows` into proportionate shards and packs shards and light buckets
-onto tasks, largest first. The driver holds the bucket counts and the heavy keys only, of which there are at most
-rows / shard_rows (and at most MAX_HEAVY: shard_rows is raised until they fit).
+onto tasks, largest first. There are BUCKETS_PER_TASK buckets to a task, so any number of tasks gets its share of light
+keys. The driver holds the bucket counts and the heavy keys; as a heavy key has more than shard_rows rows and shard_rows
+is at least rows / MAX_HEAVY, there are fewer than MAX_HEAVY of them and none is left out.
 
 Null keys are kept as one key by the aggregation and match nothing in the join, as in SQL. Empty inputs give an empty
 plan and empty results. Columns of ours are given names that clash with none of the caller's.
@@ -18,12 +19,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sampleloom.session import fresh_name
+from sampleloom.session import cut, fresh_name
 
-#: Light keys are packed by this many hash buckets.
-BUCKETS = 256
-#: Most heavy keys that a plan may hold on the driver and broadcast.
+#: Light keys are packed by this many hash buckets for each task.
+BUCKETS_PER_TASK = 16
+#: Heavy keys are fewer than this; the plan with them is sent to the tasks.
 MAX_HEAVY = 100_000
+#: Most bytes of a side that is broadcast.
+MAX_BROADCAST = 32 << 20
 
 
 def key_hash(*keys: str) -> Column:
@@ -37,49 +40,48 @@ class LoadPlan:
 
     tasks: int
     heavy: dict[int, list[int]] = field(default_factory=dict)
-    light: list[int] = field(default_factory=lambda: [0] * BUCKETS)
+    light: list[int] = field(default_factory=lambda: [0])
 
 
-def bucket_loads(df: DataFrame, keys: list[str]) -> list[int]:
-    """Rows of each hash bucket of the key: one pass, BUCKETS rows to the driver."""
-    counts = {r["b"]: r["n"] for r in df.groupBy(F.pmod(key_hash(*keys), F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n")).collect()}
-    return [counts.get(b, 0) for b in range(BUCKETS)]
+def bucket_loads(df: DataFrame, keys: list[str], buckets: int) -> list[int]:
+    """Rows of each hash bucket of the key: one pass with partial sums, `buckets` rows to the driver."""
+    counts = {r["b"]: r["n"] for r in df.groupBy(F.pmod(key_hash(*keys), F.lit(buckets)).alias("b")).agg(F.count("*").alias("n")).collect()}
+    return [counts.get(b, 0) for b in range(buckets)]
 
 
-def heavy_loads(df: DataFrame, keys: list[str], buckets: list[int], shard_rows: int) -> tuple[dict[int, int], list[int]]:
+def heavy_loads(df: DataFrame, keys: list[str], loads: list[int], shard_rows: int) -> tuple[dict[int, int], list[int]]:
     """Rows of each key with more than shard_rows rows, and of each bucket without these; keys are counted only in
     buckets above shard_rows."""
-    over, buckets = [b for b, n in enumerate(buckets) if n > shard_rows], list(buckets)
+    over, loads = [b for b, n in enumerate(loads) if n > shard_rows], list(loads)
     if not over:
-        return {}, buckets
-    h = key_hash(*keys)
-    per_key = df.where(F.pmod(h, F.lit(BUCKETS)).isin(over)).groupBy(h.alias("h")).agg(F.count("*").alias("n")).where(F.col("n") > shard_rows)
-    heavy = {r["h"]: r["n"] for r in per_key.orderBy(F.desc("n")).limit(MAX_HEAVY).collect()}
+        return {}, loads
+    h, buckets = key_hash(*keys), len(loads)
+    per_key = df.where(F.pmod(h, F.lit(buckets)).isin(over)).groupBy(h.alias("h")).agg(F.count("*").alias("n")).where(F.col("n") > shard_rows)
+    heavy = {r["h"]: r["n"] for r in per_key.collect()}  # fewer than rows / shard_rows
     for h_, n in heavy.items():
-        buckets[h_ % BUCKETS] -= n
-    return heavy, buckets
+        loads[h_ % buckets] -= n
+    return heavy, loads
 
 
 def plan_load(df: DataFrame, keys: list[str], tasks: int | None = None, shard_rows: int | None = None) -> LoadPlan:
     """Bin-pack the keys of df onto tasks (default: the session's shuffle partitions), no shard above shard_rows rows.
 
-    The default of shard_rows is a quarter of a task's fair share, at least 1000 rows and at least an even bucket's share.
+    The default of shard_rows is a quarter of a task's fair share; below 1000 rows nothing is worth a split. A given
+    shard_rows is raised to rows / MAX_HEAVY where it is less than that.
     """
-    spark = df.sparkSession
-    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = bucket_loads(df, keys)
-    if shard_rows is None:
-        shard_rows = max(1000, math.ceil(sum(buckets) / (4 * tasks)), 2 * math.ceil(sum(buckets) / BUCKETS))
-    heavy, buckets = heavy_loads(df, keys, buckets, shard_rows)
+    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    loads = bucket_loads(df, keys, BUCKETS_PER_TASK * tasks)
+    shard_rows = max(shard_rows or max(1000, math.ceil(sum(loads) / (4 * tasks))), math.ceil(sum(loads) / MAX_HEAVY))
+    heavy, loads = heavy_loads(df, keys, loads, shard_rows)
     parts = []
     for h, n in heavy.items():
         shards = math.ceil(n / shard_rows)
         parts += [(n / shards, ("heavy", h))] * shards
-    parts += [(n, ("light", b)) for b, n in enumerate(buckets)]
+    parts += [(n, ("light", b)) for b, n in enumerate(loads)]
     parts.sort(key=lambda x: (-x[0], x[1]))
     free = [(0.0, t) for t in range(tasks)]
     placed: dict[int, list[int]] = {}
-    light = [0] * BUCKETS
+    light = [0] * len(loads)
     for n, (kind, what) in parts:
         load, task = heapq.heappop(free)
         heapq.heappush(free, (load + n, task))
@@ -96,20 +98,17 @@ def _with_plan(df: DataFrame, plan: LoadPlan, keys: list[str], to_shards) -> tup
     h, tasks = fresh_name("hash", df.columns), fresh_name("tasks", df.columns)
     spread = df.withColumn(h, key_hash(*keys))
     if plan.heavy:
-        small = spark_table(df, [(k, v) for k, v in plan.heavy.items()], f"{h} long, {tasks} array<int>")
-        spread = spread.join(F.broadcast(small), h, "left")  # at most MAX_HEAVY keys
+        small = df.sparkSession.createDataFrame(list(plan.heavy.items()), f"{h} long, {tasks} array<int>")
+        spread = spread.join(F.broadcast(small), h, "left")  # fewer than MAX_HEAVY keys
         spread = spread.withColumn(shard, to_shards(F.col(tasks)))
     else:
         spread = spread.withColumn(tasks, F.lit(None).cast("array<int>")).withColumn(shard, F.lit(0))
-    light = F.element_at(F.array(*map(F.lit, plan.light)), F.pmod(F.col(h), F.lit(BUCKETS)).cast("int") + 1)
+    # one constant, however many buckets there are
+    light = F.element_at(F.split(F.lit(",".join(map(str, plan.light))), ",").cast("array<int>"), F.pmod(F.col(h), F.lit(len(plan.light))).cast("int") + 1)
     spread = spread.withColumn(task, F.coalesce(F.get(F.col(tasks), F.col(shard)), light)).drop(h, tasks)
     return spread, shard, task
 
 
-def spark_table(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    return df.sparkSession.createDataFrame(rows, schema)
-
-
 def fragment(df: DataFrame, plan: LoadPlan, keys: list[str], by: list[str]) -> tuple[DataFrame, str, str]:
     """Each row with one shard of its key, chosen by the hash of `by`, and the shard's task: (rows, shard, task)."""
     return _with_plan(df, plan, keys, lambda tasks: F.coalesce(F.pmod(F.xxhash64(*by), F.size(tasks).cast("long")).cast("int"), F.lit(0)))
@@ -134,13 +133,17 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, how: st
     return a.drop(task).join(b, [key, shard], how).drop(shard)
 
 
-def join_dimension(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """rows JOIN small, where small has a row or a few per key: it is broadcast if it is found to have at most
-    MAX_HEAVY rows, else joined by fragments; either way no key of rows is gathered in one task."""
-    from sampleloom.session import cut
+def broadcastable(df: DataFrame) -> bool:
+    """Whether df's rows are found to take at most MAX_BROADCAST bytes (as JSON, names left out), and to be at most MAX_HEAVY."""
+    size = df.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.array(*(F.col(c).cast("string") for c in df.columns))))).alias("b")).first()
+    return size["n"] <= MAX_HEAVY and (size["b"] or 0) <= MAX_BROADCAST
 
+
+def join_dimension(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows JOIN small, where small has a row or a few per key: it is broadcast if its rows and bytes are found to be
+    few (`broadcastable`), else joined by fragments; either way no key of rows is gathered in one task."""
     small = cut(small)
-    if small.count() <= MAX_HEAVY:
+    if broadcastable(small):
         return rows.join(F.broadcast(small), keys, how)
     packed = fresh_name("key", [*rows.columns, *small.columns])
     whole = lambda df: df.withColumn(packed, F.to_json(F.struct(*keys)))

@@ -16,7 +16,7 @@ one AS (SELECT series_id, sample_index, bool_or(coalesce(in_holdout, false)) AS
 
 @query("p5_found", f"WITH {_SERIES_ROWS} SELECT series_id FROM one GROUP BY series_id HAVING count(*) >= 0.02 * (SELECT count(DISTINCT sample_index) FROM per_sample_de)")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return large_series(table(spark, d, "per_sample_de")).select("series_id")
+    return large_series(table(spark, d, "per_sample_de"), table(spark, d, "sample_labels")).select("series_id")
 
 
 @query(

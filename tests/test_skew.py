@@ -50,6 +50,28 @@ def test_series_figures(spark):
     assert above["GSE3", 5002] == 0 and above["GSE2", 4000] is None
 
 
+def test_every_task_of_a_large_plan_works(spark):
+    df = spark.range(60_000).selectExpr("case when id % 3 = 0 then 'hot' else concat('k', id) end as key")
+    plan = skew.plan_load(df, ["key"], tasks=2000)
+    assert set(plan.light) | {t for ts in plan.heavy.values() for t in ts} == set(range(2000))
+    rows, shard, task = skew.fragment(df.withColumn("i", F.monotonically_increasing_id()), plan, ["key"], ["i"])
+    loads = [r["count"] for r in rows.groupBy(task).count().collect()]
+    assert len(loads) > 1900 and sum(loads) == 60_000
+
+
+def test_no_shard_is_larger_than_wanted(spark):
+    df = spark.range(40_000).selectExpr("concat('k', id % 40) as key", "id")  # each key is heavy
+    plan = skew.plan_load(df, ["key"], tasks=8, shard_rows=100)
+    assert len(plan.heavy) == 40 and all(len(t) == 10 for t in plan.heavy.values())
+
+
+def test_only_what_is_small_in_bytes_is_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "x" * 5000), (2, None)], "a int, b string")
+    assert skew.broadcastable(df)
+    monkeypatch.setattr(skew, "MAX_BROADCAST", 1000)
+    assert not skew.broadcastable(df) and skew.broadcastable(df.limit(0))
+
+
 def test_join_with_a_dimension(spark, monkeypatch):
     left = spark.createDataFrame([(1, "a", k) for k in range(3000)] + [(2, "b", 1), (None, "a", 2)], "b int, c string, x long")
     small = spark.createDataFrame([(1, "a", 7), (2, "b", 8), (3, "z", 9)], "b int, c string, y int")
