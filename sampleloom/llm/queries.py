@@ -27,14 +27,20 @@ def query(name: str, sql: str | None = None):
 # 1 ------------------------------------------------------------------------------------------------------------------
 
 _TIES = r"""RECURSIVE keys AS (
-  SELECT sample_index, 's:' || unnest(list_filter(regexp_split_to_array(upper(series_id), '[\s,;|/+&]+'), lambda x: x <> '')) AS k FROM per_sample_de WHERE sample_index IS NOT NULL
-  UNION SELECT sample_index, 'a:' || nullif(upper(trim(geo_accession, E' \t\n\r')), '') FROM per_sample_de WHERE sample_index IS NOT NULL
-  UNION SELECT sample_index, 'p:' || nullif(upper(trim(patient_key, E' \t\n\r')), '') FROM sample_labels WHERE has_resolved_patient AND sample_index IN (SELECT sample_index FROM per_sample_de)),
-kept AS (SELECT DISTINCT sample_index, k FROM keys WHERE k IS NOT NULL {only}),
+  SELECT sample_index, '1:' || unnest(list_filter(regexp_split_to_array(upper(series_id), '[\s,;|/+&]+'), lambda x: x <> '')) AS k FROM per_sample_de WHERE sample_index IS NOT NULL
+  UNION SELECT sample_index, '2:' || nullif(upper(trim(geo_accession, E' \t\n\r')), '') FROM per_sample_de WHERE sample_index IS NOT NULL
+  UNION SELECT sample_index, '3:' || nullif(upper(trim(patient_key, E' \t\n\r')), '') FROM sample_labels WHERE has_resolved_patient AND sample_index IN (SELECT sample_index FROM per_sample_de)),
+several AS (SELECT k FROM keys GROUP BY 1 HAVING count(DISTINCT sample_index) > 1),
+kept AS (SELECT DISTINCT sample_index, k FROM keys WHERE k IS NOT NULL AND (k LIKE '1:%' OR k IN (SELECT k FROM several)) {only}),
 edges AS (SELECT DISTINCT a.k AS a, b.k AS b FROM kept a JOIN kept b USING (sample_index)),
 reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
 roots AS (SELECT a AS node, min(b) AS root FROM reach GROUP BY 1)"""
-_WITH_SERIES = "AND sample_index IN (SELECT sample_index FROM keys WHERE k LIKE 's:%')"
+_WITH_SERIES = "AND sample_index IN (SELECT sample_index FROM keys WHERE k LIKE '1:%')"
+_SPLITS = f"""{_TIES.format(only="")}, part AS (SELECT sample_index, min(root) AS root FROM kept JOIN roots ON node = k GROUP BY 1),
+part2 AS (SELECT sample_index, coalesce(root, 'r:' || sample_index) AS component FROM (SELECT DISTINCT sample_index FROM per_sample_de WHERE sample_index IS NOT NULL) LEFT JOIN part USING (sample_index)),
+goal AS (SELECT split, sum(share) AS share FROM split_target WHERE split IS NOT NULL AND share > 0 AND NOT isnan(share) GROUP BY 1),
+chosen AS (SELECT component, arg_min(split, -ln((('0x' || substr(md5(split || '|' || component), 1, 13))::BIGINT::DOUBLE + 1) / 4503599627370496) / share) AS split FROM (SELECT DISTINCT component FROM part2), goal GROUP BY 1),
+given AS (SELECT sample_index, component, split FROM part2 LEFT JOIN chosen USING (component))"""
 
 
 def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -43,19 +49,24 @@ def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query(
     "p1_found",
-    f"""WITH {_TIES.format(only=_WITH_SERIES)}, s AS (SELECT substr(node, 3) AS series_id, root FROM roots WHERE node LIKE 's:%'),
+    f"""WITH {_TIES.format(only=_WITH_SERIES)}, s AS (SELECT substr(node, 3) AS series_id, root FROM roots WHERE node LIKE '1:%'),
     g AS (SELECT root, min(series_id) AS group_series_id FROM s GROUP BY 1 HAVING count(*) > 1) SELECT series_id, group_series_id FROM s JOIN g USING (root)""",
 )
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return split_groups.series_groups(*_labelled(spark, d))
 
 
-@query("p1_splits")
+@query("p1_splits", f"WITH {_SPLITS} SELECT * FROM given")
 def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return split_groups.assign_splits(*_labelled(spark, d), table(spark, d, "split_target"))
 
 
-@query("p1_split_report")
+@query(
+    "p1_split_report",
+    f"""WITH {_SPLITS}, n AS (SELECT split, count(*) AS n_samples, count(DISTINCT component) AS n_components FROM given GROUP BY 1),
+    s AS (SELECT split, count(DISTINCT series) AS n_series FROM given JOIN (SELECT DISTINCT sample_index, substr(k, 3) AS series FROM keys WHERE k LIKE '1:%') USING (sample_index) GROUP BY 1)
+    SELECT split, share, n_samples, n_components, round(n_samples / sum(n_samples) OVER (), 6) AS reached, n_series FROM (SELECT DISTINCT split, share FROM split_target) LEFT JOIN n USING (split) LEFT JOIN s USING (split)""",
+)
 def p1_split_report(spark: SparkSession, d: str) -> DataFrame:
     return split_groups.split_report(*_labelled(spark, d), table(spark, d, "split_target"))
 

@@ -1,14 +1,17 @@
 """Splits that keep related records together: hash-to-min components, then weighted rendezvous hashing.
 
 Records are tied by keys (here series, accession and patient). Of each record with several keys, the least is joined to
-the others, so a key of any number of records adds one edge to a record, never pairs within a group; keys that only one
-record has are left out where nothing else is tied by them. Components: every node keeps a cluster, sends the cluster to
-its least member and the least member to the others, until nothing changes; clusters are rows of a table that is written
-to the shared folder each round, so no cluster is ever held by one task. A component goes to the split of least
--ln(u) / share, u being a hash of component and split, so all of it lands in one split and shares hold over components.
+the others, so a key of any number of records adds one edge to a record, never pairs within a group; accessions and
+patients that only one record has tie nothing and are left out. Components: every node keeps a cluster, sends the cluster
+to its least member and the least member to the others, until nothing changes. Clusters are rows of a table that is
+written to the shared folder each round (the round before is removed), so no cluster is ever held by one task, and the
+nodes of large clusters, which the counts of a round name, are joined apart from the others. A component goes to the
+split of least -ln(u) / share, u being a hash of component and split, so all of it lands in one split and shares hold
+over components.
 
 Null keys tie nothing; records without any key are components of their own. Repeated rows of a record are one record.
-Splits with a null, NaN or non-positive share get nothing. Empty tables give no rows.
+Splits with a null, NaN or non-positive share get nothing. Empty tables give no rows. Components whose rounds exceed
+`rounds` (64, which is enough for chains of any practical length) raise an error rather than give a partial result.
 """
 
 from __future__ import annotations
@@ -17,61 +20,73 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sampleloom.functions.text import clean_upper, name_list
-from sampleloom.session import cut
+from sampleloom.operators.skew import join_dimension
+from sampleloom.session import cut, discard
+
+#: Kinds of keys, as the first character of a node: series sort first, so they are the roots of components that have one.
+SERIES, ACCESSION, PATIENT = "1:", "2:", "3:"
+
+
+def _with_least(clusters: DataFrame, nodes: DataFrame, rows: int, largest: int) -> DataFrame:
+    """Each row of a cluster with its least member m; the few nodes with a large part of all rows are joined apart."""
+    limit = max(10_000, rows // (4 * int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    if largest <= limit:
+        return clusters.join(nodes.select("v", "m"), "v")
+    heavy = F.broadcast(nodes.where(F.col("n") > limit).select("v", "m"))  # fewer than rows / limit
+    light = clusters.join(heavy, "v", "left_anti").join(nodes.where(F.col("n") <= limit).select("v", "m"), "v")
+    return light.unionByName(clusters.join(heavy, "v"))
 
 
 def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -> DataFrame:
     """(node, root): the least node of the component of each node that has an edge."""
-    both = edges.select(F.col(a).alias("v"), F.col(b).alias("u")).where("v is not null and u is not null and v <> u")
-    clusters = both.unionByName(both.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct()
-    clusters = cut(clusters.unionByName(clusters.select("v", F.col("v").alias("u")).distinct()))
+    both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
+    pair = lambda x, y: F.struct(F.col(x).alias("v"), F.col(y).alias("u"))
+    flat = lambda df, *pairs: df.select(F.explode(F.array(*pairs)).alias("e")).select("e.v", "e.u").distinct()
+    clusters = cut(flat(both, pair("a", "b"), pair("b", "a"), pair("a", "a"), pair("b", "b")))
     state = None
     for _ in range(rounds):
-        least = clusters.groupBy("v").agg(F.min("u").alias("m"))
-        sent = clusters.join(least, "v")
-        # the cluster goes to its least member, the least member to the others; one pass gives both
-        moved = sent.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e"))
-        clusters = cut(moved.select("e.v", "e.u").distinct())
-        now = clusters.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)")).alias("h")).first()
+        nodes = cut(clusters.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)")).alias("h")))
+        now = nodes.agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.max("n").alias("largest")).first()
         if (now["n"], now["h"]) == state:
-            break
+            discard(clusters)
+            return nodes.select(F.col("v").alias("node"), F.col("m").alias("root"))
         state = (now["n"], now["h"])
-    else:
-        raise RuntimeError(f"components not stable after {rounds} rounds")
-    return clusters.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root"))
+        sent = _with_least(clusters, nodes, now["n"] or 0, now["largest"] or 0)
+        # the cluster goes to its least member, the least member to the others; one pass gives both
+        moved = cut(flat(sent, pair("m", "u"), pair("u", "m")))
+        discard(clusters)
+        discard(nodes)
+        clusters = moved
+    raise RuntimeError(f"components not stable after {rounds} rounds")
 
 
-def _records(samples: DataFrame, labels: DataFrame) -> DataFrame:
-    """record and key, one row per key of a sample: s: series, a: accession, p: patient."""
-    rows = samples.where("sample_index is not null")
+def _stars(samples: DataFrame, labels: DataFrame) -> DataFrame:
+    """(record, keys) of every sample: its series and those accessions and patients that another sample has too, sorted."""
     prefixed = lambda p, c: F.when(c.isNotNull(), F.concat(F.lit(p), c))
-    own = F.concat(F.transform(name_list(F.col("series_id")), lambda x: F.concat(F.lit("s:"), x)), F.array(prefixed("a:", clean_upper(F.col("geo_accession")))))
-    keys = rows.select(F.col("sample_index").alias("record"), F.explode(own).alias("key"))
-    known = labels.where("has_resolved_patient and sample_index is not null").select(F.col("sample_index").alias("record"), prefixed("p:", clean_upper(F.col("patient_key"))).alias("key"))
-    known = known.join(rows.select(F.col("sample_index").alias("record")).distinct(), "record", "left_semi")
-    return keys.unionByName(known).where("key is not null").distinct()
-
-
-def tied_keys(records: DataFrame, nodes: str = "s:") -> DataFrame:
-    """records without the keys that tie nothing: those of one record only that aren't nodes of the wanted kind."""
-    shared = records.where(~F.startswith("key", F.lit(nodes))).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return records.where(F.startswith("key", F.lit(nodes))).unionByName(records.where(~F.startswith("key", F.lit(nodes))).join(shared, "key", "left_semi").select(records.columns))
-
-
-def _edges(records: DataFrame) -> DataFrame:
+    own = F.concat(F.transform(name_list(F.col("series_id")), lambda x: F.concat(F.lit(SERIES), x)), F.array(prefixed(ACCESSION, clean_upper(F.col("geo_accession")))))
+    rows = samples.where("sample_index is not null").select(F.col("sample_index").alias("record"), F.explode(own).alias("key"), F.lit(True).alias("sampled"))
+    known = labels.where("has_resolved_patient and sample_index is not null").select(F.col("sample_index").alias("record"), prefixed(PATIENT, clean_upper(F.col("patient_key"))).alias("key"), F.lit(False).alias("sampled"))
+    keys = cut(rows.unionByName(known))  # a null key keeps the record
+    loose = keys.where(~F.startswith("key", F.lit(SERIES)))
+    shared = loose.groupBy("key").agg(F.min("record").alias("low"), F.max("record").alias("high")).where("low <> high").select("key", F.lit(True).alias("shared"))
+    ties = join_dimension(loose, shared, ["key"], "left").select("record", F.when(F.col("shared"), F.col("key")).alias("key"), "sampled")
+    ties = ties.unionByName(keys.where(F.startswith("key", F.lit(SERIES))))
+    # a record has few keys
+    return ties.groupBy("record").agg(F.array_sort(F.collect_set("key")).alias("keys"), F.max("sampled").alias("sampled")).where("sampled").drop("sampled")
+
+
+def _edges(stars: DataFrame) -> DataFrame:
     """The least key of each record with each other key of it."""
-    stars = records.groupBy("record").agg(F.array_sort(F.collect_set("key")).alias("keys")).where(F.size("keys") > 1)  # a record has few keys
-    return stars.select(F.get("keys", F.lit(0)).alias("a"), F.explode(F.slice("keys", 2, 1 << 30)).alias("b")).distinct()
+    return stars.where(F.size("keys") > 1).select(F.get("keys", F.lit(0)).alias("a"), F.explode(F.slice("keys", 2, 1 << 30)).alias("b")).distinct()
 
 
 def series_groups(samples: DataFrame, labels: DataFrame) -> DataFrame:
     """(series_id, group_series_id) of every cleaned series tied to another one; samples without a series tie nothing."""
-    records = _records(samples, labels)
-    named = records.where(F.startswith("key", F.lit("s:"))).select("record").distinct()
-    roots = hash_to_min(_edges(tied_keys(records.join(named, "record", "left_semi"))))
-    series = roots.where(F.startswith("node", F.lit("s:"))).select(F.substr("node", F.lit(3)).alias("series_id"), "root")
-    least = series.groupBy("root").agg(F.min("series_id").alias("group_series_id"), F.count("*").alias("n")).where("n > 1")
-    return series.join(least, "root").select("series_id", "group_series_id")
+    stars = _stars(samples, labels).where(F.startswith(F.get("keys", F.lit(0)), F.lit(SERIES)))
+    roots = hash_to_min(_edges(stars)).where(F.startswith("node", F.lit(SERIES)))
+    name = lambda c: F.substr(F.col(c), F.lit(len(SERIES) + 1))
+    tied = roots.where("node <> root").select(name("node").alias("series_id"), name("root").alias("group_series_id"))
+    return tied.unionByName(tied.select(F.col("group_series_id").alias("series_id"), "group_series_id").distinct())
 
 
 def _rendezvous(component: Column, splits: list[tuple[str, float]]) -> Column:
@@ -88,22 +103,20 @@ def _rendezvous(component: Column, splits: list[tuple[str, float]]) -> Column:
 def assign_splits(samples: DataFrame, labels: DataFrame, targets: DataFrame) -> DataFrame:
     """(sample_index, component, split) of every sample; targets has a few rows (split, share)."""
     shares = targets.where("split is not null and share > 0 and not isnan(share)").groupBy("split").agg(F.sum("share").alias("share")).orderBy("split").collect()
-    records = _records(samples, labels)
-    kept = tied_keys(records)
-    roots = hash_to_min(_edges(kept))
-    first = kept.groupBy("record").agg(F.min("key").alias("node")).join(roots, "node", "left").select("record", F.coalesce("root", "node").alias("component"))
-    every = samples.where("sample_index is not null").select(F.col("sample_index").alias("record")).distinct().join(first, "record", "left")
-    every = every.withColumn("component", F.coalesce("component", F.concat(F.lit("r:"), F.col("record").cast("string"))))
+    stars = cut(_stars(samples, labels))
+    roots = hash_to_min(_edges(stars))
+    every = join_dimension(stars.select("record", F.get("keys", F.lit(0)).alias("node")), roots, ["node"], "left")
+    every = every.withColumn("component", F.coalesce("root", "node", F.concat(F.lit("r:"), F.col("record").cast("string"))))
     split = _rendezvous(F.col("component"), [(r["split"], r["share"]) for r in shares]) if shares else F.lit(None).cast("string")
     return every.select(F.col("record").alias("sample_index"), "component", split.alias("split"))
 
 
 def split_report(samples: DataFrame, labels: DataFrame, targets: DataFrame) -> DataFrame:
     """Per split: wanted share, samples, share reached, components, and different series (none counted twice)."""
-    given = assign_splits(samples, labels, targets)
+    given = cut(assign_splits(samples, labels, targets))
     series = samples.select("sample_index", F.explode(name_list(F.col("series_id"))).alias("series"))
     got = given.groupBy("split").agg(F.count("*").alias("n_samples"), F.countDistinct("component").alias("n_components"))
-    got = got.withColumn("reached", F.round(F.col("n_samples") / F.sum("n_samples").over(Window.partitionBy(F.lit(1))), 6))
+    got = got.withColumn("reached", F.round(F.col("n_samples") / F.sum("n_samples").over(Window.partitionBy(F.lit(1))), 6))  # a row a split
     n_series = given.join(series, "sample_index").groupBy("split").agg(F.countDistinct("series").alias("n_series"))
     return targets.select("split", "share").distinct().join(got, "split", "left").join(n_series, "split", "left")
 
