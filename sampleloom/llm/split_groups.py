@@ -67,10 +67,11 @@ def _stars(samples: DataFrame, labels: DataFrame) -> DataFrame:
     rows = samples.where("sample_index is not null").select(F.col("sample_index").alias("record"), F.explode(own).alias("key"), F.lit(True).alias("sampled"))
     known = labels.where("has_resolved_patient and sample_index is not null").select(F.col("sample_index").alias("record"), prefixed(PATIENT, clean_upper(F.col("patient_key"))).alias("key"), F.lit(False).alias("sampled"))
     keys = cut(rows.unionByName(known))  # a null key keeps the record
-    loose = keys.where(~F.startswith("key", F.lit(SERIES)))
+    series = F.coalesce(F.startswith("key", F.lit(SERIES)), F.lit(False))
+    loose = keys.where(~series)
     shared = loose.groupBy("key").agg(F.min("record").alias("low"), F.max("record").alias("high")).where("low <> high").select("key", F.lit(True).alias("shared"))
     ties = join_dimension(loose, shared, ["key"], "left").select("record", F.when(F.col("shared"), F.col("key")).alias("key"), "sampled")
-    ties = ties.unionByName(keys.where(F.startswith("key", F.lit(SERIES))))
+    ties = ties.unionByName(keys.where(series))
     # a record has few keys
     return ties.groupBy("record").agg(F.array_sort(F.collect_set("key")).alias("keys"), F.max("sampled").alias("sampled")).where("sampled").drop("sampled")
 
