@@ -43,36 +43,41 @@ class LoadPlan:
     light: list[int] = field(default_factory=lambda: [0])
 
 
-def bucket_loads(df: DataFrame, keys: list[str], buckets: int) -> list[int]:
+def _rows(weight: str | None) -> Column:
+    return (F.sum(weight) if weight else F.count("*")).alias("n")
+
+
+def bucket_loads(df: DataFrame, keys: list[str], buckets: int, weight: str | None = None) -> list[int]:
     """Rows of each hash bucket of the key: one pass with partial sums, `buckets` rows to the driver."""
-    counts = {r["b"]: r["n"] for r in df.groupBy(F.pmod(key_hash(*keys), F.lit(buckets)).alias("b")).agg(F.count("*").alias("n")).collect()}
+    counts = {r["b"]: r["n"] for r in df.groupBy(F.pmod(key_hash(*keys), F.lit(buckets)).alias("b")).agg(_rows(weight)).collect()}
     return [counts.get(b, 0) for b in range(buckets)]
 
 
-def heavy_loads(df: DataFrame, keys: list[str], loads: list[int], shard_rows: int) -> tuple[dict[int, int], list[int]]:
+def heavy_loads(df: DataFrame, keys: list[str], loads: list[int], shard_rows: int, weight: str | None = None) -> tuple[dict[int, int], list[int]]:
     """Rows of each key with more than shard_rows rows, and of each bucket without these; keys are counted only in
     buckets above shard_rows."""
     over, loads = [b for b, n in enumerate(loads) if n > shard_rows], list(loads)
     if not over:
         return {}, loads
     h, buckets = key_hash(*keys), len(loads)
-    per_key = df.where(F.pmod(h, F.lit(buckets)).isin(over)).groupBy(h.alias("h")).agg(F.count("*").alias("n")).where(F.col("n") > shard_rows)
+    per_key = df.where(F.pmod(h, F.lit(buckets)).isin(over)).groupBy(h.alias("h")).agg(_rows(weight)).where(F.col("n") > shard_rows)
     heavy = {r["h"]: r["n"] for r in per_key.collect()}  # fewer than rows / shard_rows
     for h_, n in heavy.items():
         loads[h_ % buckets] -= n
     return heavy, loads
 
 
-def plan_load(df: DataFrame, keys: list[str], tasks: int | None = None, shard_rows: int | None = None) -> LoadPlan:
+def plan_load(df: DataFrame, keys: list[str], tasks: int | None = None, shard_rows: int | None = None, weight: str | None = None) -> LoadPlan:
     """Bin-pack the keys of df onto tasks (default: the session's shuffle partitions), no shard above shard_rows rows.
 
     The default of shard_rows is a quarter of a task's fair share; below 1000 rows nothing is worth a split. A given
-    shard_rows is raised to rows / MAX_HEAVY where it is less than that.
+    shard_rows is raised to rows / MAX_HEAVY where it is less than that. With `weight`, a column of counts, a row of df
+    stands for so many rows.
     """
     tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    loads = bucket_loads(df, keys, BUCKETS_PER_TASK * tasks)
+    loads = bucket_loads(df, keys, BUCKETS_PER_TASK * tasks, weight)
     shard_rows = max(shard_rows or max(1000, math.ceil(sum(loads) / (4 * tasks))), math.ceil(sum(loads) / MAX_HEAVY))
-    heavy, loads = heavy_loads(df, keys, loads, shard_rows)
+    heavy, loads = heavy_loads(df, keys, loads, shard_rows, weight)
     parts = []
     for h, n in heavy.items():
         shards = math.ceil(n / shard_rows)
