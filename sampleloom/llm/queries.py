@@ -201,14 +201,14 @@ def _canon(x: str) -> str:
     return rf"translate(regexp_replace({kept}, '[^\p{{L}}\p{{M}}\p{{N}}]+', '', 'g'), '〇〡', '.-')"
 
 
-def _fields(separator: str) -> str:
-    parts = rf"list_filter(regexp_split_to_array(coalesce(gt_answer, ''), '{separator}'), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]'))"
-    good = rf"len({parts}) >= 2 AND list_bool_and(list_transform({parts}, lambda x: regexp_matches(x, '^[^\p{{L}}\p{{N}}]*[\p{{L}}][\p{{L}}\p{{N}}_ ]*[:=]')))"
-    return f"WHEN {good} THEN array_to_string(list_sort(list_transform({parts}, lambda x: {_canon('x')})), '|')"
+_MARK = r"(?:[:=]|[\s\x{A0}][-\x{2013}\x{2014}][\s\x{A0}])"
+_NAMED = r"[^\p{L}\p{N};|,/\r\n]*\p{L}[\p{L}\p{N}_ \t\x{A0}]*" + _MARK
+_PARTS = rf"string_split(regexp_replace(gt_answer, '[;|,/\r\n]+({_NAMED})', '〢\1', 'g'), '〢')"
+_FIELDS = f"WHEN len({_PARTS}) >= 2 AND regexp_matches(gt_answer, '^[\\s;|,/]*{_NAMED}') THEN array_to_string(list_sort(list_filter(list_transform({_PARTS}, lambda x: {_canon('x')}), lambda x: x <> '')), chr(1))"
 
 
 _COPIES = rf"""ok AS (SELECT line_no, {_canon("coalesce(category, '')")} AS c, {_canon("coalesce(paraphrased_answer, '')")} AS a,
-  CASE {_fields('[;]+')} {_fields('[|]+')} {_fields('[\r\n]+')} {_fields('[,]+')} ELSE {_canon("coalesce(gt_answer, '')")} END AS g, category, gt_answer, paraphrased_answer
+  CASE {_FIELDS} ELSE {_canon("coalesce(gt_answer, '')")} END AS g, category, gt_answer, paraphrased_answer
   FROM generation_results WHERE status = 'ok'),
 rec AS (SELECT c, g, a, min(line_no) AS first_line, count(*) AS copies, count(DISTINCT (category, gt_answer, paraphrased_answer)) AS variants FROM ok GROUP BY 1, 2, 3)"""
 

@@ -55,12 +55,13 @@ def test_collapse(spark):
     rows = [
         (1, "c", "size: large; n: -2.5", "A is 1.25."), (2, "C", "n: -2.5 | size: large", "a is 1.25"), (3, "c", "size = large\nn = -2.5", " A  is (1.25)"),
         (4, "c", "size: large; n: 2.5", "A is 1.25."), (5, "c", "size: large; n: -2.5", "A is 125."), (6, "c", "size: large; n: -2.5", "A is 1.25."),
+        (11, "c", "N - -2.5 / Size - large", "A is 1.25!"), (12, "c", "size - large;\nn: -2.5", "a IS 1.25"), (13, "c", "size: large - n: 2.5", "A is 1.25."),
         (7, None, None, None), (8, None, None, ""), (9, "d", "b, a", "x"), (10, "d", "a, b", "x"),
     ]
     df = spark.createDataFrame(rows, "line_no long, category string, gt_answer string, paraphrased_answer string").selectExpr("*", "'x' as n", "1 as line", "2 as raw", "3 as t0")
     records, members = collapse.collapse_formatting(df, "line_no", ["category", "gt_answer", "paraphrased_answer"], ["gt_answer"])
-    assert {(r["line"], r["first_line"]) for r in members.collect()} == {(1, 1), (2, 1), (3, 1), (6, 1), (7, 7), (8, 7)}
-    assert {r["first_line"]: (r["copies"], r["variants"]) for r in records.collect()} == {1: (4, 3), 4: (1, 1), 5: (1, 1), 7: (2, 2), 9: (1, 1), 10: (1, 1)}
+    assert {(r["line"], r["first_line"]) for r in members.collect()} == {(1, 1), (2, 1), (3, 1), (6, 1), (11, 1), (12, 1), (7, 7), (8, 7)}
+    assert {r["first_line"]: (r["copies"], r["variants"]) for r in records.collect()} == {1: (6, 5), 4: (1, 1), 5: (1, 1), 13: (1, 1), 7: (2, 2), 9: (1, 1), 10: (1, 1)}
     none = collapse.collapse_formatting(df.limit(0), "line_no", ["category"], [])
     assert none[0].count() == none[1].count() == 0
 
