@@ -166,7 +166,7 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY batch_id, cat ORDER BY h, patient, template_index) AS rnk FROM (
     SELECT *, ('0x' || substr(md5(concat_ws('|', 'draw', batch_id::VARCHAR, cat, patient, template_index::VARCHAR)), 1, 15))::BIGINT AS h FROM cand)),
 placed AS (
-  SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY priority, rnk, h, cat, patient, template_index) AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY priority, rnk, cat) AS place FROM (
     SELECT *, CASE WHEN rnk <= min_rows THEN -1.0::DOUBLE ELSE (rnk - 0.5::DOUBLE) / greatest(target::DOUBLE, 1e-9::DOUBLE) END AS priority
     FROM ranked JOIN goal USING (batch_id, cat) WHERE rnk <= draw_size AND (target > 0 OR rnk <= min_rows)) QUALIFY place <= draw_size)"""
 
@@ -180,7 +180,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return target_sample.draw_report(*_plan(spark, d)).where("shortfall > 0").select("batch_id", "tissue_coarse")
 
 
-@query("p6_draw", f"WITH {_PLAN} SELECT batch_id, tissue_coarse, patient, template_index, place::INTEGER AS place FROM placed")
+@query("p6_draw", f"WITH {_PLAN} SELECT batch_id, tissue_coarse, patient, template_index, rnk AS rank FROM placed")
 def p6_draw(spark: SparkSession, d: str) -> DataFrame:
     return target_sample.draw(*_plan(spark, d))
 

@@ -141,6 +141,16 @@ def test_draw(spark):
     assert target_sample.draw(p.limit(0), *args[1:]).count() == 0 and target_sample.draw_report(p, t.limit(0), *args[2:]).count() == 0
 
 
+def test_seats_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(400):
+        kinds = [(f"c{k}", rng.randrange(12), rng.choice([0, 1, 1, 2, 3, 5, 8]), rng.randrange(4)) for k in range(rng.randrange(1, 7))]
+        size = rng.randrange(40)
+        order = sorted((-1.0 if r <= f else (r - 0.5) / t, r, c) for c, a, t, f in kinds for r in range(1, a + 1) if r <= f or t > 0)[:size]
+        assert target_sample.seats(kinds, size) == {c: sum(x[2] == c for x in order) for c, *_ in kinds}, (kinds, size)
+    assert target_sample.seats([("a", 10**12, 7, 0), ("b", 10**12, 3, 5)], 10**9) == {"a": 7 * 10**8, "b": 3 * 10**8}
+
+
 def test_draw_follows_targets_when_supply_is_ample(spark):
     plan = [(1, c, f"p{k}", 0) for c in ("a", "b", "c") for k in range(9000)]
     targets = [(1, "a", 0.6, 1000, 600, 1), (1, "b", 0.3, 1000, 300, 1), (1, "c", 0.1, 1000, 100, 1)]
