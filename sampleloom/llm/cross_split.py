@@ -9,6 +9,7 @@ o being the least overlap for their size, so pairs of prefix tokens are the inde
 training side probes, both keyed by two tokens and their z steps. A step is as wide as two tolerances, and the indexed
 side takes both steps that a z within the tolerance can fall in. Length and position filters, and 64-bit sketches of the token
 sets, drop pairs whose overlap can't reach the threshold; the others are verified on the whole profiles. Sets of one token are keyed by it alone.
+Keys and accessions that many training samples have are joined by fragments (operators/skew.py).
 
 Samples are distinct values of sample_index (their latest row counts); those with in_holdout null belong to neither side.
 Null or empty lists, names and z make no tokens; of a gene named twice on one side the first counts; a list of z shorter
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sampleloom.functions.text import clean_upper, name_list
+from sampleloom.operators.skew import fragment_replicate_join
 from sampleloom.session import cut
 
 #: Most token counts that are sent to the workers.
@@ -130,7 +132,8 @@ def near_profiles(latest: DataFrame, threshold: float = 0.8, tolerance: float =
         rows = side.mapInArrow(_signatures(counts, threshold, tolerance), "key long, sample_index long, sketch long, nij long")
         return rows.select("key", F.col("sample_index").alias(name), F.col("sketch").alias(f"s{name}"), F.col("nij").alias(f"p{name}"))
 
-    met = signed(True, "a").join(signed(False, "b"), "key")
+    # a key that many training samples have is split over shards, and the evaluation samples of it go to each of them
+    met = fragment_replicate_join(cut(signed(False, "b")), signed(True, "a"), "key", by=["b"])
     part = lambda side, bits: F.shiftright(F.col(f"p{side}"), bits).bitwiseAND((1 << 20) - 1)
     na, ia, ja, nb, ib, jb = (part(x, k) for x in "ab" for k in (40, 20, 0))
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (na + nb) - F.lit(1e-9))
@@ -148,8 +151,10 @@ def overlaps(samples: DataFrame, threshold: float = 0.8, tolerance: float = 0.05
     """(held, other, how): pairs of one evaluation and one training sample; how: accession, profile or both."""
     latest = _latest(samples)
     near = near_profiles(latest, threshold, tolerance).withColumn("how", F.lit("profile"))
-    named = samples.where("sample_index is not null and in_holdout is not null").select("sample_index", "in_holdout", clean_upper(F.col("geo_accession")).alias("acc")).where("acc is not null").distinct()
-    same = named.where("in_holdout").select("acc", F.col("sample_index").alias("a")).join(named.where("not in_holdout").select("acc", F.col("sample_index").alias("b")), "acc").select("a", "b", F.lit("accession").alias("how"))
+    named = samples.where("sample_index is not null and in_holdout is not null").select("sample_index", "in_holdout", clean_upper(F.col("geo_accession")).alias("acc")).where("acc is not null")
+    named = cut(named.distinct())
+    same = fragment_replicate_join(named.where("not in_holdout").select("acc", F.col("sample_index").alias("b")), named.where("in_holdout").select("acc", F.col("sample_index").alias("a")), "acc")
+    same = same.select("a", "b", F.lit("accession").alias("how"))
     both = near.unionByName(same).where("a <> b").groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set("how")), "+").alias("how"))
     return both.select(F.col("a").alias("held"), F.col("b").alias("other"), "how")
 

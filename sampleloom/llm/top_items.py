@@ -4,8 +4,9 @@
    first N different items of each group and seeks past the rest. A repeated (group, item) pair counts once, with its
    highest score: in a run it comes first there, and the N best of all runs are among the N best of each run. Hence a
    group with a third of all rows leaves at most N rows per run.
-2. Runs are bucketed by the hash of the group (the only shuffle).
-3. In each bucket a loser tree merges the runs; after N outputs every run seeks to its next group.
+2. Runs are bucketed by the hash of the group (the only shuffle), each bucket in the order of groups (an external sort).
+3. In each bucket a loser tree merges the runs, some whole groups at a time, so a task holds CHUNK_ROWS rows and one group
+   (N rows a run at most) however large its bucket is; after N outputs every run seeks to its next group.
 
 Empty tables give no rows. Rows with a null group, item or score, a NaN score, a score outside `valid`, or (with
 `skip_self`) an item equal to its group are left out. Equal scores are ordered by item, in byte order. -0.0 equals 0.0.
@@ -22,6 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows merged at once.
+CHUNK_ROWS = 100_000
+
+
 class LoserTree:
     """Tournament over k sources: `winner` is the source with the least key; None stands for an exhausted one."""
 
@@ -92,14 +97,36 @@ def _form_runs(n: int):
     return run
 
 
-def _merge_runs(n: int):
+def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The rows, which are in the order of groups, in tables of whole groups and `rows` rows or somewhat more."""
+    parts, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts.append(batch)
+        size += batch.num_rows
+        if size < rows:
+            continue
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        group = whole["g"].combine_chunks()
+        same = pc.equal(group, group[-1]).to_numpy(zero_copy_only=False)
+        last = int(np.argmax(same))  # the last group may go on in the next batch
+        if last:
+            yield whole.slice(0, last).combine_chunks()
+        parts = whole.slice(last).combine_chunks().to_batches()
+        size = whole.num_rows - last
+    if parts:
+        yield pa.Table.from_batches(parts).combine_chunks()
+
+
+def _merge_runs(n: int, rows: int):
     schema = pa.schema([("g", pa.string()), ("i", pa.string()), ("s", pa.float64()), ("rank", pa.int32())])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        bucket = pa.Table.from_batches(parts).combine_chunks()
+        for bucket in _whole_groups(batches, rows):
+            yield merged(bucket)
+
+    def merged(bucket: pa.Table) -> pa.RecordBatch:
         coded = bucket["g"].combine_chunks().dictionary_encode()
         names = coded.dictionary
         place = np.empty(len(names), np.int64)
@@ -138,7 +165,7 @@ def _merge_runs(n: int):
             at[src] = p
             tree.replace(key(p) if p < stop[src] else None)
         taken = pa.array(order[out])
-        yield pa.record_batch(
+        return pa.record_batch(
             [bucket["g"].combine_chunks().take(taken), bucket["i"].combine_chunks().take(taken), pa.array(score[order[out]], pa.float64()), pa.array(ranks, pa.int32())],
             schema=schema,
         )
@@ -155,5 +182,5 @@ def top_items(df: DataFrame, group: str, item: str, score: str, n: int = 5, vali
     if skip_self:
         rows = rows.where(F.col("g") != F.col("i"))
     runs = rows.withColumn("run", F.spark_partition_id()).sortWithinPartitions("g", F.desc("s"), "i").mapInArrow(_form_runs(n), "g string, i string, s double, run int")
-    merged = runs.repartition("g").mapInArrow(_merge_runs(n), "g string, i string, s double, rank int")
+    merged = runs.repartition("g").sortWithinPartitions("g", "run", F.desc("s"), "i").mapInArrow(_merge_runs(n, CHUNK_ROWS), "g string, i string, s double, rank int")
     return merged.select(F.col("g").alias(group), F.col("i").alias(item), F.col("s").alias(score), "rank")

@@ -26,8 +26,9 @@ def test_loser_tree_merges():
         assert out == sorted(x for r in runs for x in r)
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-def test_top_items_against_brute_force(spark, parts):
+@pytest.mark.parametrize("parts, chunk", [(1, 100_000), (5, 100_000), (5, 7)])
+def test_top_items_against_brute_force(spark, monkeypatch, parts, chunk):
+    monkeypatch.setattr(top_items, "CHUNK_ROWS", chunk)
     rng = random.Random(parts)
     rows = [("hot" if rng.random() < 0.4 else f"g{rng.randrange(40)}", f"p{rng.randrange(60)}", rng.choice([None, float("nan"), 2.0, -0.0, 0.0, *(rng.randrange(-9, 10) / 10 for _ in range(6))])) for _ in range(4000)]
     rows += [(None, "p1", 0.5), ("g1", None, 0.5), ("g1", "g1", 0.9), ("only", "p1", None)]
