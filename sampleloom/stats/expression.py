@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sampleloom.operators.aggregates import safe_corr
 
@@ -41,35 +44,101 @@ def per_sample_scores(scored: DataFrame, k: int, gate) -> DataFrame:
     return base.join(top_lists(scored, "sample_index", "gene", "z", k, gate), "sample_index", "left")
 
 
-def pearson_top(values: DataFrame, k: int, block: int = 512) -> DataFrame:
-    """(gene, partner, rank, r): the k most correlated partners of each gene over the samples.
+def _block_pairs(k: int, schema: pa.Schema):
+    """Rows in the order of (first, second, chunk) -> the k best partners of each gene within each pair of blocks.
 
-    Columns are standardised and cut into blocks of genes; each pair of blocks meets once in a task that multiplies two
-    block matrices, so a task holds 2 x block x samples numbers and gives k rows per gene; all pairs are never kept.
+    Of a pair of blocks the sums over the samples that both genes have are kept (six matrices of block x block numbers),
+    and the cells of one chunk of samples at a time.
     """
-    s = values.groupBy("gene").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("sd"))
-    z = values.join(s, "gene").select("gene", "sample_index", F.when(F.col("sd") > 0, (F.col("v") - F.col("m")) / F.col("sd")).otherwise(0.0).alias("z"))
-    columns = z.groupBy("gene").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_index", "z"))), lambda x: x["z"]).alias("z"))  # one column of the matrix
-    columns = columns.withColumn("block", F.floor(F.col("gene") / block).cast("int"))
-    blocks = [r[0] for r in columns.select("block").distinct().collect()]
-    left = columns.withColumn("other", F.explode(F.array(*map(F.lit, sorted(blocks))))).withColumn("side", F.lit(0))
-    right = columns.select("gene", "z", F.col("block").alias("other"), F.explode(F.array(*map(F.lit, sorted(blocks)))).alias("block"), F.lit(1).alias("side"))
-    both = left.select("block", "other", "side", "gene", "z").unionByName(right.select("block", "other", "side", "gene", "z"))
-
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.side == 0].sort_values("gene"), pdf[pdf.side == 1].sort_values("gene")
-        x, y = np.stack(a.z.to_list()), np.stack(b.z.to_list())
-        r = x @ y.T / (x.shape[1] - 1)
-        ga, gb = a.gene.to_numpy(), b.gene.to_numpy()
-        r[ga[:, None] == gb[None, :]] = -np.inf
-        out = []
-        for i in range(len(ga)):
-            order = np.lexsort((gb, -np.round(r[i], 12)))[:k]
-            out += [(ga[i], gb[j], r[i, j]) for j in order if np.isfinite(r[i, j])]
-        return pd.DataFrame(out, columns=["gene", "partner", "r"])
-
-    best = both.groupBy("block", "other").applyInPandas(multiply, "gene int, partner int, r double")
-    w = Window.partitionBy("gene").orderBy(F.desc(F.round("r", 12)), "partner")
+
+    def best(first: list, second: list, sums: np.ndarray, same: bool) -> tuple[list, list, list]:
+        n, x, y, xx, yy, xy = sums
+        with np.errstate(divide="ignore", invalid="ignore"):
+            vx, vy, c = xx - x * x / n, yy - y * y / n, xy - x * y / n
+            r = np.where((vx > 1e-12 * xx) & (vy > 1e-12 * yy), np.clip(c / np.sqrt(vx * vy), -1, 1), 0.0)
+        r[n < 2] = np.nan
+        out: tuple[list, list, list] = ([], [], [])
+        for own, others, table in ((first, second, r), *(() if same else ((second, first, r.T),))):
+            names = np.array(others, dtype=object)
+            by_name = np.argsort(names, kind="stable")
+            for g, row in zip(own, table):
+                order = by_name[np.argsort(-np.round(row[by_name], 12), kind="stable")]
+                order = [p for p in order[: k + 1].tolist() if others[p] != g and row[p] == row[p]][:k]
+                out[0].extend([g] * len(order))
+                out[1].extend(others[p] for p in order)
+                out[2].extend(row[p] for p in order)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = chunk = sums = None
+        places: tuple[dict, dict] = ({}, {})
+        cells: tuple[list, list] = ([], [])
+
+        def add() -> None:
+            """The chunk's products into the sums."""
+            nonlocal sums
+            second = 0 if pair[0] == pair[1] else 1
+            samples = np.unique(np.concatenate([c[1] for side in cells for c in side]))
+            sides = []
+            for side in {0, second}:
+                v, has = np.zeros((len(places[side]), len(samples))), np.zeros((len(places[side]), len(samples)))
+                for g, at, values in cells[side]:
+                    where = np.searchsorted(samples, at)
+                    v[places[side][g], where], has[places[side][g], where] = values, 1.0
+                sides.append((v, has))
+            (a, ha), (b, hb) = sides[0], sides[-1]
+            new = np.stack([ha @ hb.T, a @ hb.T, ha @ b.T, (a * a) @ hb.T, ha @ (b * b).T, a @ b.T])
+            if sums is not None:
+                new[:, : sums.shape[1], : sums.shape[2]] += sums  # genes may come up in later chunks only
+            sums = new
+            cells[0].clear()
+            cells[1].clear()
+
+        def done() -> pa.RecordBatch:
+            add()
+            same = pair[0] == pair[1]
+            out = best(list(places[0]), list(places[0 if same else 1]), sums, same)
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("first", "second", "chunk", "side", "gene")), *(batch.column(c) for c in ("samples", "values"))):
+                if pair is not None and row[:2] != pair:
+                    yield done()
+                    sums, places, cells = None, ({}, {}), ([], [])
+                elif pair is not None and row[2] != chunk:
+                    add()
+                pair, chunk, side, gene = row[:2], row[2], row[3], row[4]
+                places[side].setdefault(gene, len(places[side]))
+                cells[side].append((gene, row[5].values.to_numpy(zero_copy_only=False), row[6].values.to_numpy(zero_copy_only=False)))
+        if pair is not None:
+            yield done()
+
+    return run
+
+
+def pearson_top(values: DataFrame, k: int, block: int = 512, chunk: int = 2048) -> DataFrame:
+    """(gene, partner, rank, r): the k most correlated partners of each gene, over the samples that both have.
+
+    Genes are cut into blocks of about `block`, samples into chunks of about `chunk`. Each unordered pair of blocks meets
+    in one task, chunk after chunk, so a task holds 6 x block^2 + 4 x block x chunk numbers whatever the number of genes
+    and samples, and gives k rows a gene and pair of blocks; all pairs are never kept, whole columns neither. Null and NaN cells
+    are missing; of a cell that comes twice one counts. r is 0 where a gene doesn't vary; pairs with fewer than two common samples have none.
+    """
+    cells = values.where("gene is not null and sample_index is not null and v is not null and not isnan(v)")
+    size = cells.agg(F.approx_count_distinct("gene").alias("g"), F.approx_count_distinct("sample_index").alias("s")).first()
+    blocks, chunks = max(1, math.ceil(size["g"] / block)), max(1, math.ceil(size["s"] / chunk))
+    means = cells.groupBy("gene").agg(F.avg("v").alias("m"))
+    # differences from the mean: no digits are lost in the products
+    shifted = cells.join(means, "gene").select("gene", "sample_index", (F.col("v") - F.col("m")).alias("z"))
+    rows = shifted.groupBy("gene", F.pmod(F.xxhash64("sample_index"), F.lit(chunks)).cast("int").alias("chunk")).agg(F.collect_list(F.struct("sample_index", "z")).alias("c"))  # a chunk of one gene
+    own, other = F.pmod(F.xxhash64("gene"), F.lit(blocks)).cast("int"), F.col("other")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select(F.least("own", other).alias("first"), F.greatest("own", other).alias("second"), "chunk", (F.col("own") > other).cast("int").alias("side"), "gene", F.col("c.sample_index").alias("samples"), F.col("c.z").alias("values"))
+    kind = values.schema["gene"].dataType
+    schema = pa.schema([("gene", to_arrow_type(kind)), ("partner", to_arrow_type(kind)), ("r", pa.float64())])
+    spread = rows.repartition("first", "second").sortWithinPartitions("first", "second", "chunk")
+    best = spread.mapInArrow(_block_pairs(k, schema), f"gene {kind.simpleString()}, partner {kind.simpleString()}, r double")
+    w = Window.partitionBy("gene").orderBy(F.desc(F.round("r", 12)), "partner")  # k rows a block
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -248,3 +248,31 @@ def test_empty_inputs(spark):
     assert windows.ranked(e, F.asc("v"), by=["g"]).count() == 0 and sampling.uniform(e, "k", 5, "s").count() == 0 and sampling.matched_classes(e, "g", "y", "k", 1, "s").count() == 0
     assert aggregates.mad(e, "v").count() in (0, 1) and joins.provenance_union("k", a=e, b=e).count() == 0
     assert math.isclose(1.0, 1.0)
+
+
+def test_correlation_with_missing_cells_against_brute_force(spark):
+    rng = random.Random(8)
+    base = {k: rng.random() for k in range(60)}
+    rows = [("a", k, base[k]) for k in range(60) if k != 3] + [("b", k, 2 * base[k] + 1) for k in range(60) if k != 7] + [("flat", k, 4.0) for k in range(60)]
+    rows += [(f"g{g}", k, rng.choice([None, float("nan"), rng.random()])) for g in range(9) for k in range(60)] + [("few", 1, 0.5), (None, 1, 1.0)]
+    df = spark.createDataFrame(rows, "gene string, sample_index long, v double")
+    cell = {(g, k): v for g, k, v in rows if g is not None and v is not None and v == v}
+    genes = sorted({g for g, _ in cell})
+
+    def pearson(x, y):
+        both = [k for k in range(60) if (x, k) in cell and (y, k) in cell]
+        if len(both) < 2:
+            return None
+        p, q = [cell[x, k] for k in both], [cell[y, k] for k in both]
+        mp, mq = sum(p) / len(p), sum(q) / len(q)
+        sp, sq = sum((v - mp) ** 2 for v in p), sum((v - mq) ** 2 for v in q)
+        return sum((u - mp) * (v - mq) for u, v in zip(p, q)) / (sp * sq) ** 0.5 if min(sp, sq) > 1e-12 else 0.0
+
+    want = {g: sorted(((-round(r, 9), h) for h in genes if h != g and (r := pearson(g, h)) is not None))[:4] for g in genes}
+    for block, chunk in ((512, 2048), (3, 10)):
+        got = {}
+        for r in expression.pearson_top(df, 4, block, chunk).collect():
+            got.setdefault(r["gene"], []).append((r["rank"], -round(r["r"], 9) + 0.0, r["partner"]))
+        assert {g: [x[1:] for x in sorted(v)] for g, v in got.items()} == {g: [(x[0] + 0.0, x[1]) for x in v] for g, v in want.items() if v}
+    assert want["a"][0] == (-1.0, "b")
+    assert expression.pearson_top(df.limit(0), 4).count() == 0
