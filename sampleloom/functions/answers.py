@@ -10,9 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-NEGATION = r"\b(?:no|not|never|none|without|lacks?|absent|negative|cannot|isn't|doesn't|unlikely)\b"
-
-
 def fill(template: Column, values: dict[str, Column]) -> Column:
     """The template with {name} replaced by each value."""
     out = template
@@ -77,31 +74,31 @@ def choice_letter(text: Column, letters: str = "ABCDE") -> Column:
     return F.coalesce(alone, lead, said)
 
 
+#: What says that disease is absent, which a label of "not confirmed" does not support.
+OVERCLAIMS = r"\b(?:healthy|disease[- ]free|free of disease|no disease|unaffected|non[- ]?diseased|normal (?:sample|profile|tissue|subject))\b"
+#: Marks of a negative and of a positive statement, and the words that a negation must govern.
+NEGATIVE = r"\b(?:no|not|never|without|absent|lacks?|lacking|negative for|doesn't|isn't|cannot|could not|fails? to|unconfirmed|non[- ]?confirmed)\b"
+POSITIVE = r"\b(?:yes|confirm(?:s|ed|ing)?|present|positive|indicates?|shows?|carries|consistent with|evidence of|case)\b"
+DISEASE = r"\b(?:cardiovascular|disease|cvd|condition|case)\b"
+
+
 def overclaims(text: Column) -> Column:
-    return F.rlike(F.lower(text), F.lit(r"\b(?:definitely|certainly|undoubtedly|proves?|guarantees?|without (?:any )?doubt|always)\b"))
-
-
-@F.pandas_udf(StringType())
-def polarity(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """pos, neg or undetermined: a leading verdict, else markers with a negation up to 60 characters before them."""
-    lead = re.compile(r"^\W*(yes|no)\b", re.I)
-    marker = re.compile(r"\b(?:consistent with|indicates?|evidence of|shows?|supports?|positive for)\b", re.I)
-    negative = re.compile(NEGATION, re.I)
-
-    def one(t: str | None) -> str:
-        if not t or not t.strip():
-            return "undetermined"
-        if m := lead.match(t):
-            return "pos" if m[1].lower() == "yes" else "neg"
-        votes = set()
-        for m in marker.finditer(t):
-            before = t[max(0, m.start() - 60) : m.start()]
-            before = re.split(r"[.!?]\s", before)[-1]
-            votes.add("neg" if negative.search(before) else "pos")
-        return votes.pop() if len(votes) == 1 else "undetermined"
+    """Whether the text claims that disease is absent."""
+    return F.rlike(F.lower(text), F.lit(OVERCLAIMS))
 
-    for s in texts:
-        yield s.map(one, na_action=None)
+
+def polarity(text: Column) -> Column:
+    """pos, neg or undetermined: a leading verdict, else the marks; where both kinds stand, neg if a negation is within
+    60 characters of a disease term in the same sentence, and no verdict otherwise. Null and blank texts have none."""
+    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    lead = F.regexp_extract(t, r"^(yes|no|status\s*:\s*\w+|disease[- ]?(?:positive|unconfirmed))\b", 1)
+    # "unconfirmed" holds no "confirmed"
+    neg, pos = F.rlike(t, F.lit(NEGATIVE)), F.rlike(F.regexp_replace(t, r"\b(?:unconfirmed|non[- ]?confirmed)\b", " "), F.lit(POSITIVE))
+    governed = F.rlike(t, F.lit(f"{NEGATIVE}[^.]{{0,60}}{DISEASE}|{DISEASE}[^.]{{0,60}}{NEGATIVE}"))
+    return (
+        F.when(F.startswith(lead, F.lit("yes")), "pos").when((lead == "no") | F.contains(lead, F.lit("unconfirmed")), "neg").when(F.rlike(lead, F.lit("positive|confirmed")), "pos")
+        .when(neg & ~pos, "neg").when(pos & ~neg, "pos").when(pos & neg & governed, "neg").otherwise("undetermined")
+    )
 
 
 @F.pandas_udf(StructType([StructField(n, StringType()) for n in ("status", "question", "answer", "anomaly")]))
@@ -133,32 +130,28 @@ def parse_completion(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([one(t) for t in s], columns=["status", "question", "answer", "anomaly"])
 
 
+#: Number words that benchmarks compare as digits.
 _NUMBERS = {"none": "0", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10"}
 
 
-@F.pandas_udf(StringType())
-def vqa_normalised(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Answers as visual question benchmarks compare them: punctuation, number words, articles."""
-
-    def one(t: str | None) -> str | None:
-        if t is None:
-            return None
-        t = re.sub(r"(?<!\d)\.(?!\d)|[;/\[\]\"{}()=+\\_<>@`,?!]", " ", t.lower().replace("\n", " "))
-        return " ".join(_NUMBERS.get(w, w) for w in t.split() if w not in ("a", "an", "the"))
-
-    for s in texts:
-        yield s.map(one, na_action=None)
-
-
-@F.pandas_udf(StringType())
-def last_choice(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """A multiple-choice letter: in brackets, else between spaces; the last one said counts; null for none."""
-
-    def one(t: str | None) -> str | None:
-        if not t:
-            return None
-        found = re.findall(r"\(([A-E])\)", t) or re.findall(r"(?<![A-Za-z])([A-E])(?![A-Za-z])", t)
-        return found[-1] if found else None
-
-    for s in texts:
-        yield s.map(one, na_action=None)
+def vqa_normalised(text: Column) -> Column:
+    """Answers as visual question benchmarks compare them: punctuation (points next to a digit stay), number words, articles."""
+    plain = F.regexp_replace(F.lower(text), r"(?<![0-9])\.(?![0-9])|[;/\[\]\"{}()=+\\_<>@`,?!\n]", " ")
+    number = F.create_map(*(F.lit(x) for pair in _NUMBERS.items() for x in pair))
+    words = F.filter(F.split(plain, r"\s+"), lambda w: ~w.isin("", "a", "an", "the"))
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.element_at(number, w), w)), " ")
+
+
+def last_choice(text: Column, options: dict[str, str], key: Column) -> Column:
+    """A multiple-choice letter: the last one in brackets, else the last one between blanks, else, in texts of more than five words, the option
+    whose text comes last; where nothing is said, a letter by the hash of `key`. Null texts say nothing."""
+    letters = "".join(sorted(options))
+    t = F.concat(F.lit(" "), F.regexp_replace(F.coalesce(text, F.lit("")), "[,.!?;:']+", " "), F.lit(" "))
+    last = lambda found: F.when(F.size(found) > 0, F.element_at(found, -1))
+    bracket = last(F.regexp_extract_all(t, F.lit(rf"\(([{letters}])\)"), F.lit(1)))
+    spaced = last(F.regexp_extract_all(t, F.lit(rf"(?<=\s)([{letters}])(?=\s)"), F.lit(1)))
+    low = F.lower(t)
+    ends = F.array(*(F.struct((F.length(t) - F.instr(F.reverse(low), o.lower()[::-1])).alias("p"), F.lit(c).alias("c"), F.contains(low, F.lit(o.lower())).alias("has")) for c, o in options.items()))
+    content = F.when(F.size(F.split(F.trim(t), r"\s+")) > 5, F.array_max(F.filter(ends, lambda x: x["has"]))["c"])
+    by_hash = F.substring(F.lit(letters), F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long"), F.lit(len(letters))).cast("int") + 1, F.lit(1))
+    return F.coalesce(bracket, spaced, content, by_hash)

@@ -16,20 +16,37 @@ from sampleloom.stats import auc, expression, learn
 
 
 def requests(s, d):
+    """The plan's rows as requests. What a category needs and the plan leaves open is bound by the template's number, as a
+    template would: threshold, size, direction; the second gene is the first one's best partner."""
     p = table(s, d, "generation_plan")
-    e = F.col("entities")
-    return p.select(F.col("plan_row").alias("row"), "category", F.upper(F.trim("patient")).alias("sample"), e["gene"].alias("gene"), e["n"].alias("n"), e["direction"].alias("direction"))
+    e, c, t = F.col("entities"), F.col("category"), F.coalesce("template_index", F.lit(0))
+    pick = lambda *xs: F.get(F.array(*map(F.lit, xs)), F.pmod(t, F.lit(len(xs))).cast("int"))
+    n = F.when(c == "ranking_ordering_query", pick(None, "3", "50%", "0.25", "70")).when(c == "interaction_network_query", pick(None, "3", "5", "2.5", "12"))
+    way = F.when(c == "threshold_query", pick("above", " Below", "sideways", "over")).when(c == "ranking_ordering_query", pick("top", "bottom", "Highest"))
+    r = p.select(F.col("plan_row").alias("row"), "category", F.upper(F.trim("patient")).alias("sample"), e["gene"].alias("gene"), F.coalesce(e["n"], n).alias("n"), F.coalesce(e["direction"], way).alias("direction"), F.when(c == "threshold_query", pick(1.5, -1.0, 0.0, 100.0, None)).cast("double").alias("threshold"))
+    second = questions.best_partners(table(s, d, "coexpression_edges")).where("place = 1").select("gene", F.col("partner").alias("gene_b"))
+    return r.join(second, "gene", "left")
 
 
 def _ctx(s, d):
     return questions.context(de(s, d), lab(s, d), table(s, d, "coexpression_edges"))
 
 
+_pick = lambda *xs: f"(list_value({', '.join(xs)}))[(((coalesce(template_index, 0) % {len(xs)}) + {len(xs)}) % {len(xs)}) + 1]"
 _CTX = f"""{DE}, {LAB}, one AS (SELECT upper(trim(geo_accession)) AS sample, arg_min({{'i': sample_index, 's': status, 'u': top_up_genes, 'w': top_down_genes, 'uz': top_up_z, 'dz': top_down_z, 'b': magnitude_bucket, 'g': n_genes_abs_z_gt2}}, sample_index) AS r FROM de WHERE geo_accession IS NOT NULL GROUP BY 1),
 lb AS (SELECT sample_index, min(cvd_subtype) AS subtype, bool_or(is_cvd_disease) AS diseased FROM lab GROUP BY 1),
 smp AS (SELECT sample, r.i AS sample_index, r.s AS st, r.u AS up, r.w AS down, r.b AS bucket, r.g AS g, subtype, diseased FROM one LEFT JOIN lb ON lb.sample_index = one.r.i),
 val AS (SELECT sample, gene, avg(v) AS v FROM (SELECT sample, unnest(r.u) AS gene, unnest(r.uz)::DOUBLE AS v FROM one UNION ALL SELECT sample, unnest(r.w), unnest(r.dz)::DOUBLE FROM one) WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY 1, 2),
-req AS (SELECT plan_row AS "row", category, upper(trim(patient)) AS sample, entities['gene'] AS gene, entities['n'] AS n, entities['direction'] AS direction FROM generation_plan)"""
+lst AS (SELECT sample, list({{'gene': gene, 'v': v}}) AS l FROM val GROUP BY 1),
+gr AS (SELECT gene, partner, row_number() OVER (PARTITION BY gene ORDER BY max(pearson_r::DOUBLE) DESC, partner) AS place FROM coexpression_edges WHERE gene <> partner AND NOT isnan(pearson_r) AND pearson_r BETWEEN -1 AND 1 GROUP BY 1, 2 QUALIFY place <= 100),
+req0 AS (SELECT plan_row AS "row", category, upper(trim(patient)) AS sample, entities['gene'] AS gene,
+  coalesce(entities['n'], CASE category WHEN 'ranking_ordering_query' THEN {_pick("NULL", "'3'", "'50%'", "'0.25'", "'70'")} WHEN 'interaction_network_query' THEN {_pick("NULL", "'3'", "'5'", "'2.5'", "'12'")} END) AS n,
+  coalesce(entities['direction'], CASE category WHEN 'threshold_query' THEN {_pick("'above'", "' Below'", "'sideways'", "'over'")} WHEN 'ranking_ordering_query' THEN {_pick("'top'", "'bottom'", "'Highest'")} END) AS direction,
+  CASE WHEN category = 'threshold_query' THEN {_pick("1.5", "-1.0", "0.0", "100.0", "NULL")}::DOUBLE END AS threshold FROM generation_plan),
+req AS (SELECT req0.*, gr.partner AS gene_b FROM req0 LEFT JOIN gr ON gr.gene = req0.gene AND place = 1)"""
+_DIR = "CASE WHEN lower(trim(direction)) IN ('up', 'above', 'over', 'higher', 'top', 'highest', 'raised', '>') THEN 'up' WHEN lower(trim(direction)) IN ('down', 'below', 'under', 'lower', 'bottom', 'lowest', 'lowered', '<') THEN 'down' END"
+#: category -> row, reason and answer before refusal
+_ASK: dict[str, str] = {}
 
 
 def _p(name: str, category: str, sql: str):
@@ -42,19 +59,34 @@ def _p(name: str, category: str, sql: str):
 
 
 _OUT = """SELECT "row", CASE WHEN reason IS NULL THEN 'ok' ELSE 'insufficient_data' END AS status, reason, CASE WHEN reason IS NULL THEN a END AS answer FROM ({})"""
-_p("ask02_direct_abundance", "direct_abundance_query", _OUT.format("""SELECT "row", CASE WHEN s.sample IS NULL OR s.sample_index IS NULL THEN 'unknown_sample' WHEN req.gene IS NULL THEN 'no_gene' WHEN v IS NULL THEN 'gene_not_in_matrix' END AS reason, printf('%.4f', round(v, 4)) AS a FROM req LEFT JOIN smp s USING (sample) LEFT JOIN val ON val.sample = req.sample AND val.gene = req.gene WHERE category = 'direct_abundance_query'"""))
-_p("ask03_threshold", "threshold_query", _OUT.format("""SELECT "row", CASE WHEN s.sample_index IS NULL THEN 'unknown_sample' WHEN t IS NULL THEN 'bad_threshold' END AS reason, coalesce(h, '') AS a FROM (SELECT req.*, v AS t, (SELECT string_agg(x.gene, ',' ORDER BY x.v DESC, x.gene) FROM val x WHERE x.sample = req.sample AND x.v > val.v) AS h FROM req LEFT JOIN val ON val.sample = req.sample AND val.gene = req.gene WHERE category = 'threshold_query') q LEFT JOIN smp s ON s.sample = q.sample"""))
-_p("ask04_ranking", "ranking_ordering_query", _OUT.format("""SELECT "row", CASE WHEN s.sample_index IS NULL THEN 'unknown_sample' WHEN l IS NULL THEN 'not_in_matrix' END AS reason, array_to_string(l[1:3], ',') || CASE WHEN vs[3] = vs[4] THEN '*' ELSE '' END AS a FROM (SELECT * FROM req WHERE category = 'ranking_ordering_query') q LEFT JOIN smp s ON s.sample = q.sample LEFT JOIN (SELECT sample, list(gene ORDER BY v DESC, gene) AS l, list(v ORDER BY v DESC, gene) AS vs FROM val GROUP BY 1) r ON r.sample = q.sample"""))
-_p("ask05_comparative", "comparative_query", _OUT.format("""SELECT "row", CASE WHEN s.sample_index IS NULL THEN 'unknown_sample' WHEN x.v IS NULL THEN 'gene_not_in_matrix' WHEN t.g = q.gene THEN 'same_gene' END AS reason, t.g || ' ' || printf('%.4f', round((x.v - t.v) / ln(2::DOUBLE), 4)) AS a FROM (SELECT * FROM req WHERE category = 'comparative_query') q LEFT JOIN smp s ON s.sample = q.sample LEFT JOIN val x ON x.sample = q.sample AND x.gene = q.gene LEFT JOIN (SELECT sample, arg_max(gene, {'v': v, 'g': gene}) AS g, max(v) AS v FROM val GROUP BY 1) t ON t.sample = q.sample"""))
-_p("ask06_network", "interaction_network_query", _OUT.format("""SELECT q."row", CASE WHEN s.sample_index IS NULL THEN 'unknown_sample' WHEN q.gene NOT IN (SELECT gene FROM e) OR q.gene IS NULL THEN 'gene_not_in_graph' WHEN l IS NULL THEN 'no_partner_in_sample' END AS reason, array_to_string(l[1:5], ',') AS a FROM (SELECT * FROM req WHERE category = 'interaction_network_query') q LEFT JOIN smp s ON s.sample = q.sample LEFT JOIN (SELECT "row", list(partner ORDER BY rank, partner) AS l FROM req JOIN (SELECT gene, partner, min(rank) AS rank FROM e WHERE rank <= 50 GROUP BY 1, 2) p USING (gene) JOIN val ON val.sample = req.sample AND val.gene = p.partner GROUP BY 1) k ON k."row" = q."row" """).replace("SELECT \"row\", CASE WHEN reason", ", e AS (SELECT * FROM coexpression_edges WHERE gene IS NOT NULL AND partner IS NOT NULL AND rank IS NOT NULL) SELECT \"row\", CASE WHEN reason", 1))
-_p("ask07_subtype", "disease_subtype_classification", _OUT.format("""SELECT "row", CASE WHEN s.sample_index IS NULL THEN 'unknown_sample' WHEN subtype IS NULL THEN 'no_label' WHEN subtype = '' THEN 'outside_pool' END AS reason, subtype AS a FROM (SELECT * FROM req WHERE category = 'disease_subtype_classification') q LEFT JOIN smp s ON s.sample = q.sample"""))
-_DIR = "CASE WHEN lower(trim(direction)) IN ('up', 'above', 'over', 'higher', 'top', 'highest', 'raised', '>') THEN 'up' WHEN lower(trim(direction)) IN ('down', 'below', 'under', 'lower', 'bottom', 'lowest', 'lowered', '<') THEN 'down' END"
-_p("ask08_differential", "comparative_differential_reasoning", _OUT.format(f"""SELECT "row", CASE WHEN s.sample_index IS NULL THEN 'unknown_sample' WHEN d IS NULL THEN 'bad_direction' WHEN k IS NULL THEN 'bad_size' WHEN coalesce(st, '') <> 'ok' THEN 'de_unavailable' WHEN coalesce(len(CASE d WHEN 'up' THEN up ELSE down END), 0) = 0 THEN 'nothing_passes' END AS reason, array_to_string((CASE d WHEN 'up' THEN up ELSE down END)[1:k], ',') AS a FROM (SELECT *, {_DIR} AS d, CASE WHEN TRY_CAST(n AS INTEGER) BETWEEN 1 AND 100 THEN n::INTEGER END AS k FROM req WHERE category = 'comparative_differential_reasoning') q LEFT JOIN smp s ON s.sample = q.sample"""))
-_p("ask09_drivers", "gene_driver_reasoning", _OUT.format(f"""SELECT "row", CASE WHEN s.sample_index IS NULL THEN 'unknown_sample' WHEN NOT coalesce(diseased, false) THEN 'not_diseased' WHEN d IS NULL THEN 'bad_direction' WHEN k IS NULL THEN 'bad_size' WHEN coalesce(st, '') <> 'ok' THEN 'de_unavailable' END AS reason, array_to_string((CASE d WHEN 'up' THEN up ELSE down END)[1:k], ',') AS a FROM (SELECT *, {_DIR} AS d, CASE WHEN TRY_CAST(n AS INTEGER) BETWEEN 1 AND 100 THEN n::INTEGER END AS k FROM req WHERE category = 'gene_driver_reasoning') q LEFT JOIN smp s ON s.sample = q.sample"""))
-_p("ask10_magnitude", "magnitude_reasoning", _OUT.format("""SELECT "row", CASE WHEN s.sample_index IS NULL THEN 'unknown_sample' WHEN coalesce(st, '') <> 'ok' THEN 'de_unavailable' END AS reason, bucket || ' ' || g AS a FROM (SELECT * FROM req WHERE category = 'magnitude_reasoning') q LEFT JOIN smp s ON s.sample = q.sample"""))
-
-
-@query("ask11_dispatch")
+_ASK["direct_abundance_query"] = f"""SELECT q."row", CASE WHEN s.sample_index IS NULL THEN 'unknown_sample' WHEN q.gene IS NULL THEN 'no_gene' WHEN v IS NULL THEN 'gene_not_in_matrix' END AS reason, printf('%.4f', round(v, 4)) AS a FROM (SELECT * FROM req WHERE category = 'direct_abundance_query') q LEFT JOIN smp s ON s.sample = q.sample LEFT JOIN val ON val.sample = q.sample AND val.gene = q.gene"""
+_ASK["threshold_query"] = f"""SELECT "row", CASE WHEN sample_index IS NULL THEN 'unknown_sample' WHEN d IS NULL THEN 'bad_direction' WHEN threshold IS NULL THEN 'bad_threshold' WHEN l IS NULL THEN 'not_in_matrix' END AS reason,
+  len(h) || ' of ' || len(l) || ': ' || coalesce((SELECT string_agg(x.gene, ',' ORDER BY CASE d WHEN 'up' THEN -x.v ELSE x.v END, x.gene) FROM (SELECT unnest(h) AS x)), '') || CASE WHEN len(h) IN (0, len(l)) THEN '*' ELSE '' END AS a
+  FROM (SELECT q.*, sample_index, l, {_DIR} AS d, list_filter(l, lambda x: CASE {_DIR} WHEN 'up' THEN x.v > threshold ELSE x.v < threshold END) AS h FROM (SELECT * FROM req WHERE category = 'threshold_query') q LEFT JOIN smp s ON s.sample = q.sample LEFT JOIN lst ON lst.sample = q.sample)"""
+_ASK["ranking_ordering_query"] = f"""SELECT "row", CASE WHEN sample_index IS NULL THEN 'unknown_sample' WHEN d IS NULL THEN 'bad_direction' WHEN o IS NULL THEN 'not_in_matrix' WHEN k IS NULL OR k NOT BETWEEN 1 AND len(o) THEN 'bad_size' END AS reason,
+  array_to_string(list_transform(o[1:k], lambda x: x.gene), ',') || CASE WHEN o[k].v = o[k + 1].v THEN '*' ELSE '' END AS a
+  FROM (SELECT q.*, sample_index, {_DIR} AS d, CASE n WHEN '3' THEN 3 WHEN '70' THEN 70 WHEN '50%' THEN ceil(len(up_) * 0.5)::INTEGER WHEN '0.25' THEN ceil(len(up_) * 0.25)::INTEGER END AS k, CASE {_DIR} WHEN 'up' THEN up_ ELSE down_ END AS o FROM (SELECT * FROM req WHERE category = 'ranking_ordering_query') q LEFT JOIN smp s ON s.sample = q.sample
+  LEFT JOIN (SELECT sample, list({{'gene': gene, 'v': v}} ORDER BY v DESC, gene) AS up_, list({{'gene': gene, 'v': v}} ORDER BY v, gene) AS down_ FROM val GROUP BY 1) r ON r.sample = q.sample)"""
+_ASK["comparative_query"] = f"""SELECT q."row", CASE WHEN s.sample_index IS NULL THEN 'unknown_sample' WHEN x.v IS NULL THEN 'gene_not_in_matrix' WHEN y.v IS NULL THEN 'second_gene_not_in_matrix' END AS reason,
+  CASE WHEN x.v > y.v THEN q.gene WHEN y.v > x.v THEN q.gene_b ELSE 'equal' END || ' ' || printf('%.4f', round(abs(x.v - y.v), 4)) || ' ' || printf('%.4f', round((x.v - y.v) / ln(2::DOUBLE), 4)) AS a FROM (SELECT * FROM req WHERE category = 'comparative_query') q LEFT JOIN smp s ON s.sample = q.sample
+  LEFT JOIN val x ON x.sample = q.sample AND x.gene = q.gene LEFT JOIN val y ON y.sample = q.sample AND y.gene = q.gene_b"""
+_ASK["interaction_network_query"] = f"""SELECT q."row", CASE WHEN s.sample_index IS NULL THEN 'unknown_sample' WHEN m IS NULL THEN 'gene_not_in_graph' WHEN k IS NULL THEN 'bad_size' WHEN coalesce(found, 0) = 0 THEN 'no_partner_in_sample' END AS reason, said AS a
+  FROM (SELECT req.*, m, CASE WHEN regexp_matches(trim(n), '^[+-]?[0-9]+$') AND TRY_CAST(n AS INTEGER) BETWEEN 1 AND m THEN n::INTEGER END AS k FROM req LEFT JOIN (SELECT gene, count(*) AS m FROM gr GROUP BY 1) c ON c.gene = req.gene WHERE category = 'interaction_network_query') q LEFT JOIN smp s ON s.sample = q.sample
+  LEFT JOIN (SELECT "row", count(v) AS found, string_agg(gr.partner || '=' || coalesce(printf('%.4f', round(v, 4)), 'na'), ',' ORDER BY place) AS said FROM req JOIN gr ON gr.gene = req.gene LEFT JOIN val ON val.sample = req.sample AND val.gene = gr.partner
+    WHERE category = 'interaction_network_query' AND regexp_matches(trim(n), '^[+-]?[0-9]+$') AND place <= TRY_CAST(n AS INTEGER) GROUP BY 1) t ON t."row" = q."row" """
+_ASK["disease_subtype_classification"] = f"""SELECT "row", CASE WHEN s.sample_index IS NULL THEN 'unknown_sample' WHEN subtype IS NULL THEN 'no_label' WHEN subtype = '' THEN 'outside_pool' END AS reason, subtype AS a FROM (SELECT * FROM req WHERE category = 'disease_subtype_classification') q LEFT JOIN smp s ON s.sample = q.sample"""
+_ASK["comparative_differential_reasoning"] = f"""SELECT "row", CASE WHEN s.sample_index IS NULL THEN 'unknown_sample' WHEN d IS NULL THEN 'bad_direction' WHEN k IS NULL THEN 'bad_size' WHEN coalesce(st, '') <> 'ok' THEN 'de_unavailable' WHEN coalesce(len(CASE d WHEN 'up' THEN up ELSE down END), 0) = 0 THEN 'nothing_passes' END AS reason,
+  array_to_string((CASE d WHEN 'up' THEN up ELSE down END)[1:k], ',') AS a FROM (SELECT *, {_DIR} AS d, CASE WHEN TRY_CAST(n AS INTEGER) BETWEEN 1 AND 100 THEN n::INTEGER END AS k FROM req WHERE category = 'comparative_differential_reasoning') q LEFT JOIN smp s ON s.sample = q.sample"""
+_ASK["gene_driver_reasoning"] = f"""SELECT "row", CASE WHEN sample_index IS NULL THEN 'unknown_sample' WHEN NOT coalesce(diseased, false) THEN 'not_diseased' WHEN coalesce(st, '') <> 'ok' THEN 'de_unavailable' WHEN k IS NULL THEN 'bad_size' WHEN d IS NULL OR d NOT IN ('up', 'down', 'both', 'abs') THEN 'bad_direction' WHEN coalesce(len(o), 0) = 0 THEN 'nothing_computable' END AS reason,
+  (SELECT string_agg(gene || ' ' || printf('%.3f', round(v, 3)), ',' ORDER BY CASE d WHEN 'up' THEN -v WHEN 'down' THEN v ELSE -abs(v) END, gene) FROM (SELECT x.gene AS gene, x.v AS v, row_number() OVER (ORDER BY CASE d WHEN 'up' THEN -x.v WHEN 'down' THEN x.v ELSE -abs(x.v) END, x.gene) AS place FROM (SELECT unnest(o) AS x)) WHERE place <= k) AS a
+  FROM (SELECT q.*, sample_index, diseased, st, CASE WHEN TRY_CAST(n AS INTEGER) BETWEEN 1 AND 100 THEN n::INTEGER END AS k, lower(trim(direction)) AS d, list_filter(l, lambda x: CASE lower(trim(direction)) WHEN 'up' THEN x.v > 0 WHEN 'down' THEN x.v < 0 ELSE true END) AS o FROM (SELECT * FROM req WHERE category = 'gene_driver_reasoning') q LEFT JOIN smp s ON s.sample = q.sample LEFT JOIN lst ON lst.sample = q.sample)"""
+_ASK["magnitude_reasoning"] = f"""SELECT "row", CASE WHEN s.sample_index IS NULL THEN 'unknown_sample' WHEN coalesce(st, '') <> 'ok' THEN 'de_unavailable' END AS reason, bucket || ' ' || g AS a FROM (SELECT * FROM req WHERE category = 'magnitude_reasoning') q LEFT JOIN smp s ON s.sample = q.sample"""
+for _name, _category in (("ask02_direct_abundance", "direct_abundance_query"), ("ask03_threshold", "threshold_query"), ("ask04_ranking", "ranking_ordering_query"), ("ask05_comparative", "comparative_query"), ("ask06_network", "interaction_network_query"), ("ask07_subtype", "disease_subtype_classification"), ("ask08_differential", "comparative_differential_reasoning"), ("ask09_drivers", "gene_driver_reasoning"), ("ask10_magnitude", "magnitude_reasoning")):
+    _p(_name, _category, _OUT.format(_ASK[_category]))
+_ANSWERED = "answered AS (" + " UNION ALL ".join(f"SELECT *, '{c}' AS category FROM ({_OUT.format(q)})" for c, q in _ASK.items()) + """ UNION ALL SELECT plan_row, 'insufficient_data', 'unknown_category', NULL, category FROM generation_plan WHERE category IS NULL OR category NOT IN (""" + ", ".join(f"'{c}'" for c in _ASK) + "))"
+
+
+@query("ask11_dispatch", f"WITH {_CTX}, {_ANSWERED} SELECT * FROM answered")
 def p11(s, d):
     return questions.answer(requests(s, d), _ctx(s, d)).select("row", "category", "status", "reason", "answer")
 
@@ -106,7 +138,9 @@ def q01(s, d):
     return expression.per_sample_scores(scored, 8, F.abs("lfc") >= 0.05).drop("top_up", "top_down")
 
 
-@query("q01_top_lists")
+@query("q01_top_lists", f"""WITH {EMB}, g AS (SELECT label, gene, avg(v) AS m, stddev_pop(v) AS sd, count(*) AS n FROM emb GROUP BY 1, 2), p AS (SELECT gene, avg(v) AS m, stddev_pop(v) AS sd FROM emb GROUP BY 1),
+z AS (SELECT e.sample_index, e.gene, v - coalesce(g.m, p.m) AS lfc, (v - coalesce(g.m, p.m)) / (coalesce(g.sd, p.sd) + 1e-6) AS z FROM emb e LEFT JOIN (SELECT * FROM g WHERE n >= 30) g ON g.label = e.label AND g.gene = e.gene JOIN p ON p.gene = e.gene)
+SELECT sample_index, array_to_string((list(gene ORDER BY z DESC, gene) FILTER (z > 0 AND abs(lfc) >= 0.05))[1:8], ',') AS top_up, array_to_string((list(gene ORDER BY z, gene) FILTER (z < 0 AND abs(lfc) >= 0.05))[1:8], ',') AS top_down FROM z GROUP BY 1""")
 def q01t(s, d):
     scored = expression.differential(emb(s, d), "label", 30)
     return expression.per_sample_scores(scored, 8, F.abs("lfc") >= 0.05).select("sample_index", "top_up", "top_down")
@@ -127,9 +161,10 @@ def q04(s, d):
     return sampling.matched_classes(x, "c", "y", "sample_index", 1, "disc")
 
 
-@query("q05_filled")
+@query("q05_filled", f"""WITH {_CTX}, {_ANSWERED} SELECT req."row", req.category, req.sample, CASE WHEN status = 'ok' THEN (CASE req."row" % 2 WHEN 0 THEN 'Give ' ELSE 'State ' END) || req.category || ': ' || coalesce(req.gene, '') || ' ' || coalesce(req.n, '') || ' ' || coalesce(req.direction, '') || ' in ' || coalesce(req.sample, '') || '?' END AS question, answer, reason AS excluded
+FROM req JOIN answered USING ("row")""")
 def q05(s, d):
-    templates = s.createDataFrame([(c, i, f"{verb} {c}: {{gene}}{{n}} {{direction}} in {{sample}}?") for c in sorted(questions.REGISTRY) for i, verb in enumerate(("Give", "State"))], "category string, template_index int, text string")
+    templates = s.createDataFrame([(c, i, f"{verb} {c}: {{gene}} {{n}} {{direction}} in {{sample}}?") for c in sorted(questions.REGISTRY) for i, verb in enumerate(("Give", "State"))], "category string, template_index int, text string")
     r = requests(s, d)
     return corpus.fill_requests(r, questions.answer(r, _ctx(s, d)), templates)
 

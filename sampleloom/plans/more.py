@@ -173,7 +173,12 @@ def m35(s, d):
     return benchmarks.soft_accuracy(a, r, "k", "a", "v")
 
 
-@query("m36_generation_metrics")
+_PLAIN = r"trim(regexp_replace(regexp_replace(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}. ]+', ' ', 'g'), ' +', ' ', 'g'), ' ')"
+_SYMBOLS = r"list_filter(list_distinct(regexp_extract_all(coalesce({}, ''), '[A-Z][A-Z0-9]{{2,14}}(?:-AS[0-9])?')), lambda x: x NOT IN ('DNA', 'RNA', 'TPM', 'CVD', 'GSM'))"
+_A, _T = _SYMBOLS.format("paraphrased_answer"), _SYMBOLS.format("gt_answer")
+
+
+@query("m36_generation_metrics", f"SELECT category, count(*) AS n, round(avg(({_PLAIN.format('paraphrased_answer')} = {_PLAIN.format('gt_answer')})::INTEGER), 6) AS exact, round(avg(len(list_intersect({_A}, {_T})) / greatest(len({_T}), 1)), 6) AS symbol_recall, round(avg((trim(coalesce(paraphrased_answer, ''), ' ') <> '')::INTEGER), 6) AS parse_rate FROM generation_results WHERE status = 'ok' GROUP BY 1")
 def m36(s, d):
     g = table(s, d, "generation_results").where("status = 'ok'")
     a, t = F.col("paraphrased_answer"), F.col("gt_answer")

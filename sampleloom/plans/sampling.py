@@ -60,7 +60,12 @@ def t08(s, d):
     return op.weighted(table(s, d, "documents"), "doc_id", "n_tokens", 100, "w").select("doc_id")
 
 
-@query("t09_even_allocation", None)
+@query(
+    "t09_even_allocation",
+    """WITH c AS (SELECT disease_category, count(*) AS n FROM sample_labels WHERE disease_category IS NOT NULL GROUP BY 1), l AS (SELECT max(x) AS level FROM (SELECT x, sum(least(n, x)) AS s FROM c, (SELECT unnest(range(2501)) AS x) GROUP BY 1) WHERE s <= 2500),
+    k AS (SELECT *, least(n, level) AS base, row_number() OVER (PARTITION BY n > level ORDER BY n DESC, disease_category DESC) AS i FROM c, l)
+    SELECT disease_category, n, (base + CASE WHEN n > level AND i <= 2500 - (SELECT sum(base) FROM k) THEN 1 ELSE 0 END)::BIGINT AS seats, greatest(2500 - (SELECT sum(n) FROM c), 0)::BIGINT AS unmet FROM k""",
+)
 def t09(s, d):
     c = table(s, d, "sample_labels").where("disease_category is not null").groupBy("disease_category").agg(F.count("*").alias("n"))
     return op.even_allocation(c, "disease_category", "n", 2500)

@@ -114,14 +114,29 @@ def x22(s, d):
     return g.select("line_no", an.parse_completion("t").alias("p")).select("line_no", "p.*")
 
 
-@query("x23_polarity")
+def polarity_sql(c: str) -> str:
+    t = f"lower(trim(coalesce({c}, '')))"
+    q = lambda r: r.replace("'", "''")
+    lead = f"regexp_extract({t}, '^(yes|no|status\\s*:\\s*\\w+|disease[- ]?(?:positive|unconfirmed))\\b', 1)"
+    pos = f"regexp_matches(regexp_replace({t}, '\\b(?:unconfirmed|non[- ]?confirmed)\\b', ' ', 'g'), '{q(an.POSITIVE)}')"
+    neg = f"regexp_matches({t}, '{q(an.NEGATIVE)}')"
+    governed = f"regexp_matches({t}, '{q(an.NEGATIVE)}[^.]{{0,60}}{q(an.DISEASE)}|{q(an.DISEASE)}[^.]{{0,60}}{q(an.NEGATIVE)}')"
+    return f"CASE WHEN {lead} LIKE 'yes%' THEN 'pos' WHEN {lead} = 'no' OR {lead} LIKE '%unconfirmed%' THEN 'neg' WHEN regexp_matches({lead}, 'positive|confirmed') THEN 'pos' WHEN {neg} AND NOT {pos} THEN 'neg' WHEN {pos} AND NOT {neg} THEN 'pos' WHEN {pos} AND {neg} AND {governed} THEN 'neg' ELSE 'undetermined' END"
+
+
+@query("x23_polarity", f"SELECT line_no, {polarity_sql('paraphrased_answer')} AS polarity FROM generation_results")
 def x23(s, d):
-    return table(s, d, "generation_results").select("line_no", an.polarity("paraphrased_answer").alias("polarity"))
+    return table(s, d, "generation_results").select("line_no", an.polarity(F.col("paraphrased_answer")).alias("polarity"))
+
 
+@query("x23_polarity_documents", f"SELECT doc_id, {polarity_sql('text')} AS polarity FROM documents")
+def x23d(s, d):
+    return table(s, d, "documents").select("doc_id", an.polarity(F.col("text")).alias("polarity"))
 
-@query("x24_overclaim", r"SELECT line_no, regexp_matches(lower(paraphrased_answer), '\b(?:definitely|certainly|undoubtedly|proves?|guarantees?|without (?:any )?doubt|always)\b') AS overclaims FROM generation_results")
+
+@query("x24_overclaim", f"SELECT doc_id, regexp_matches(lower(text), '{an.OVERCLAIMS}') AS overclaims FROM documents")
 def x24(s, d):
-    return table(s, d, "generation_results").select("line_no", an.overclaims(F.col("paraphrased_answer")).alias("overclaims"))
+    return table(s, d, "documents").select("doc_id", an.overclaims(F.col("text")).alias("overclaims"))
 
 
 _SYM = "list_filter(list_distinct(regexp_extract_all(coalesce({c}, ''), '[A-Z][A-Z0-9]{{2,14}}(?:-AS[0-9])?')), lambda x: x NOT IN ('DNA', 'RNA', 'TPM', 'CVD', 'GSM'))"
@@ -148,9 +163,12 @@ def x27(s, d):
     return table(s, d, "generation_results").select("line_no", (an.normalise(F.col("paraphrased_question")) == an.normalise(F.col("filled_question"))).alias("same"))
 
 
-@query("x28_fingerprint", "SELECT line_no, CASE WHEN contains(gt_answer, 'magnitude') THEN 'magnitude_reasoning' WHEN contains(gt_answer, 'subtype') THEN 'disease_subtype_classification' WHEN contains(gt_answer, 'closest partners') THEN 'interaction_network_query' ELSE 'other' END AS category FROM generation_results")
+_PRINTS = {"magnitude:": "magnitude_reasoning", "subtype:": "disease_subtype_classification", "closest partners": "interaction_network_query", "log2 ratio": "comparative_query", "in falling order": "ranking_ordering_query", "signature genes": "gene_driver_reasoning", "is raised most": "comparative_differential_reasoning", "genes lie": "threshold_query", "reads": "direct_abundance_query"}
+
+
+@query("x28_fingerprint", "SELECT line_no, CASE " + " ".join(f"WHEN contains(lower(gt_answer), '{k}') THEN '{c}'" for k, c in _PRINTS.items()) + " ELSE 'other' END AS category FROM generation_results")
 def x28(s, d):
-    c = F.when(F.contains("gt_answer", F.lit("magnitude")), "magnitude_reasoning").when(F.contains("gt_answer", F.lit("subtype")), "disease_subtype_classification").when(F.contains("gt_answer", F.lit("closest partners")), "interaction_network_query").otherwise("other")
+    c = F.coalesce(*(F.when(F.contains(F.lower("gt_answer"), F.lit(k)), c) for k, c in _PRINTS.items()), F.lit("other"))
     return table(s, d, "generation_results").select("line_no", c.alias("category"))
 
 
@@ -181,9 +199,13 @@ def x32(s, d):
     return t.select("line_no", F.size("span").alias("n"), F.get("span", F.lit(0)).alias("first"))
 
 
-@query("x33_vqa_normalised")
+_VQA = r"""regexp_replace(replace(regexp_replace(regexp_replace(lower(paraphrased_answer), '([0-9])[.]', '\1〇', 'g'), '[.]([0-9])', '〇\1', 'g'), '.', ' '), '[;/\[\]"{}()=+\\_<>@`,?!\n]', ' ', 'g')"""
+_VQA_NUMBERS = "MAP {" + ", ".join(f"'{w}': '{n}'" for w, n in an._NUMBERS.items()) + "}"
+
+
+@query("x33_vqa_normalised", f"SELECT line_no, array_to_string(list_transform(list_filter(regexp_split_to_array(replace({_VQA}, '〇', '.'), '[ \\t\\n\\r\\f\\v]+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), lambda w: coalesce(({_VQA_NUMBERS})[w], w)), ' ') AS answer FROM generation_results")
 def x33(s, d):
-    return table(s, d, "generation_results").select("line_no", an.vqa_normalised("paraphrased_answer").alias("answer"))
+    return table(s, d, "generation_results").select("line_no", an.vqa_normalised(F.col("paraphrased_answer")).alias("answer"))
 
 
 @query("x34_yes_no", "WITH w AS (SELECT line_no, string_split(replace(string_split(lower(paraphrased_answer), '.')[1], ',', ''), ' ') AS w FROM generation_results WHERE paraphrased_answer IS NOT NULL) SELECT line_no, CASE WHEN list_contains(w, 'no') OR list_contains(w, 'not') THEN 'no' ELSE 'yes' END AS verdict FROM w")
@@ -198,9 +220,16 @@ def x35(s, d):
     return table(s, d, "eval_item").select("item_id", an.choice_letter(t).alias("letter"))
 
 
-@query("x36_last_choice")
+_OPTIONS = {"A": "heart failure", "B": "valve stenosis", "C": "myocarditis", "D": "pressure overload", "E": "ischemic disease"}
+_ENDS = ", ".join(f"CASE WHEN contains(low, '{o}') THEN {{'p': length(t) - instr(reverse(low), '{o[::-1]}'), 'c': '{c}'}} END" for c, o in _OPTIONS.items())
+
+
+@query("x36_last_choice", f"""WITH x AS (SELECT doc_id, ' ' || regexp_replace(text, '[,.!?;:'']+', ' ', 'g') || ' ' AS t FROM documents), y AS (SELECT doc_id, t, lower(t) AS low FROM x)
+SELECT doc_id, coalesce(regexp_extract_all(t, '\\(([A-E])\\)', 1)[-1], regexp_extract_all(regexp_replace(t, '([ \\t\\n\\r\\f\\v])', '\\1\\1', 'g'), '[ \\t\\n\\r\\f\\v]([A-E])[ \\t\\n\\r\\f\\v]', 1)[-1],
+  CASE WHEN len(list_filter(regexp_split_to_array(t, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) > 5 THEN list_max(list_filter([{_ENDS}], lambda e: e IS NOT NULL)).c END,
+  substr('ABCDE', (('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 5)::INTEGER + 1, 1)) AS letter FROM y""")
 def x36(s, d):
-    return table(s, d, "documents").select("doc_id", an.last_choice("text").alias("letter"))
+    return table(s, d, "documents").select("doc_id", an.last_choice(F.col("text"), _OPTIONS, F.col("doc_id")).alias("letter"))
 
 
 @query("x37_question_of_prompt", "SELECT line_no, regexp_extract(filled_question, '^([^?]*[?])', 1) AS question FROM generation_results")
