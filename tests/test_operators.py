@@ -103,9 +103,33 @@ def test_pearson_blocks_equal_pairs(spark):
 
 
 def test_polarity(spark):
-    cases = {"Yes, it is.": "pos", "No. It shows nothing.": "neg", "The profile is consistent with disease.": "pos", "There is no evidence of disease.": "neg", "The value is 5.": "undetermined", "": "undetermined", None: "undetermined", "It shows a shift but is not consistent with failure.": "undetermined"}
+    cases = {
+        "Yes, it is.": "pos", "No. It shows nothing.": "neg", "The profile is consistent with disease.": "pos", "There is no evidence of disease.": "neg", "The value is 5.": "undetermined", "": "undetermined", None: "undetermined",
+        "The profile does not confirm cardiovascular disease.": "neg", "Cardiovascular disease could not be confirmed here.": "neg", "Disease-unconfirmed.": "neg", "Status: positive": "pos", "The sample is unconfirmed.": "neg", "Disease-positive.": "pos",
+        "It confirms a shift. There was no rain.": "undetermined", "It shows a shift but is not consistent with failure.": "undetermined",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r["t"]: r["p"] for r in df.select("t", answers.polarity(F.col("t")).alias("p")).collect()} == cases
+
+
+def test_overclaims(spark):
+    cases = {"This is a healthy sample.": True, "The subject is disease-free.": True, "A normal profile with no disease.": True, "No confirmed evidence of cardiovascular disease.": False, "It is definitely raised.": False, None: None}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
-    assert {r["t"]: r["p"] for r in df.select("t", answers.polarity("t").alias("p")).collect()} == cases
+    assert {r["t"]: r["p"] for r in df.select("t", answers.overclaims(F.col("t")).alias("p")).collect()} == cases
+
+
+def test_last_choice(spark):
+    options = {"A": "heart failure", "B": "myocarditis"}
+    cases = {"(A) or rather (B)": "B", "It is B": "B", "A. Because": "A", "we think it is myocarditis and then heart failure": "A", "BAD Apple": None, None: None}
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, t string")
+    got = {r["t"]: r["p"] for r in df.select("t", answers.last_choice(F.col("t"), options, F.col("k")).alias("p")).collect()}
+    assert {t: got[t] for t, c in cases.items() if c} == {t: c for t, c in cases.items() if c} and set(got.values()) <= {"A", "B"}
+
+
+def test_strict_integers(spark):
+    cases = {"5": 5, " 7 ": 7, "0": None, "101": None, "2.5": None, "true": None, "five": None, "1e2": None, "99999999999": None, None: None}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r["t"]: r["n"] for r in df.select("t", questions.strict_integer(F.col("t"), 1, 100).alias("n")).collect()} == cases
 
 
 def test_completions(spark):
@@ -124,28 +148,22 @@ def test_sizes_and_directions(spark):
 def test_refusals_name_the_first_gate(spark):
     de = spark.createDataFrame([(1, " gsm1", "ok", ["A", "B"], ["C"], [3.0, 2.0], [-1.0], "large", 7), (2, "GSM2", "insufficient_data", None, None, None, None, "unknown", None)], "sample_index long, geo_accession string, status string, top_up_genes array<string>, top_down_genes array<string>, top_up_z array<float>, top_down_z array<float>, magnitude_bucket string, n_genes_abs_z_gt2 int")
     lab = spark.createDataFrame([(1, "ischemic", True), (2, "", False)], "sample_index long, cvd_subtype string, is_cvd_disease boolean")
-    edges = spark.createDataFrame([("A", "B", 1), ("A", "Z", 2), ("Q", "Z", 1)], "gene string, partner string, rank int")
-    R = "row long, category string, sample string, gene string, n string, direction string"
-    rows = [
-        (1, "direct_abundance_query", "GSM1", "A", None, None), (2, "direct_abundance_query", "GSM1", "X", None, None), (3, "direct_abundance_query", "NOBODY", "A", None, None), (4, "threshold_query", "GSM1", "B", None, None),
-        (5, "ranking_ordering_query", "GSM1", None, "2", None), (6, "ranking_ordering_query", "GSM1", None, "9", None), (7, "interaction_network_query", "GSM1", "A", None, None), (8, "interaction_network_query", "GSM1", "Q", None, None), (9, "interaction_network_query", "GSM1", "X", None, None),
-        (10, "disease_subtype_classification", "GSM2", None, None, None), (11, "gene_driver_reasoning", "GSM2", None, "1", "up"), (12, "gene_driver_reasoning", "GSM1", None, "1", "up"), (13, "comparative_differential_reasoning", "GSM2", None, "1", "up"), (14, "magnitude_reasoning", "GSM1", None, None, None), (15, "poetry", "GSM1", None, None, None), (16, None, None, None, None, None),
-    ]
-    got = {r["row"]: r["answer"] if r["status"] == "ok" else r["reason"] for r in questions.answer(spark.createDataFrame(rows, R), questions.context(de, lab, edges)).collect()}
-    assert got == {
-        1: "3.0000", 2: "gene_not_in_matrix", 3: "unknown_sample", 4: "A", 5: "A,B", 6: "bad_size", 7: "B", 8: "no_partner_in_sample", 9: "gene_not_in_graph", 10: "outside_pool", 11: "not_diseased", 12: "A",
-        13: "de_unavailable", 14: "large 7", 15: "unknown_category", 16: "unknown_category",
+    edges = spark.createDataFrame([("A", "B", 0.9), ("A", "Z", 0.8), ("A", "A", 1.0), ("A", "X", 7.0), ("Q", "Z", 0.5)], "gene string, partner string, pearson_r float")
+    R = "row long, category string, sample string, gene string, gene_b string, n string, direction string, threshold double"
+    ask = {
+        ("direct_abundance_query", "GSM1", "A"): "3.0000", ("direct_abundance_query", "GSM1", "X"): "gene_not_in_matrix", ("direct_abundance_query", "NOBODY", "A"): "unknown_sample", ("direct_abundance_query", "GSM1", None): "no_gene",
+        ("threshold_query", "GSM1", None, None, None, "above", 1.5): "2 of 3: A,B", ("threshold_query", "GSM1", None, None, None, "under", 2.0): "1 of 3: C", ("threshold_query", "GSM1", None, None, None, "over", 9.0): "0 of 3: *", ("threshold_query", "GSM1", None, None, None, "over", -9.0): "3 of 3: A,B,C*",
+        ("threshold_query", "GSM1", None, None, None, "over", None): "bad_threshold", ("threshold_query", "GSM1", None, None, None, "over", float("nan")): "bad_threshold", ("threshold_query", "GSM1", None, None, None, "aside", 1.0): "bad_direction", ("threshold_query", "GSM2", None, None, None, "over", 1.0): "not_in_matrix",
+        ("ranking_ordering_query", "GSM1", None, None, "2", "top"): "A,B", ("ranking_ordering_query", "GSM1", None, None, "34%", "bottom"): "C,B", ("ranking_ordering_query", "GSM1", None, None, "9", "top"): "bad_size", ("ranking_ordering_query", "GSM1", None, None, None, "top"): "bad_size", ("ranking_ordering_query", "GSM1", None, None, "2", None): "bad_direction",
+        ("comparative_query", "GSM1", "A", "B"): "A 1.0000 1.4427", ("comparative_query", "GSM1", "C", "B"): "B 3.0000 -4.3281", ("comparative_query", "GSM1", "A", "A"): "equal 0.0000 0.0000", ("comparative_query", "GSM1", "A", None): "second_gene_not_in_matrix", ("comparative_query", "GSM1", "Z", "A"): "gene_not_in_matrix",
+        ("interaction_network_query", "GSM1", "A", None, "2"): "B=2.0000,Z=na", ("interaction_network_query", "GSM1", "A", None, None): "bad_size", ("interaction_network_query", "GSM1", "A", None, "3"): "bad_size", ("interaction_network_query", "GSM1", "A", None, "1.0"): "bad_size", ("interaction_network_query", "GSM1", "Q", None, "1"): "no_partner_in_sample", ("interaction_network_query", "GSM1", "X", None, "1"): "gene_not_in_graph",
+        ("disease_subtype_classification", "GSM2"): "outside_pool", ("magnitude_reasoning", "GSM1"): "large 7", ("comparative_differential_reasoning", "GSM2", None, None, "1", "up"): "de_unavailable", ("poetry", "GSM1"): "unknown_category", (None, None): "unknown_category",
+        ("gene_driver_reasoning", "GSM2", None, None, "1", "up"): "not_diseased", ("gene_driver_reasoning", "GSM1", None, None, "1", "up"): "A 3.000", ("gene_driver_reasoning", "GSM1", None, None, "2", "abs"): "A 3.000,B 2.000", ("gene_driver_reasoning", "GSM1", None, None, "5", "down"): "C -1.000",
+        ("gene_driver_reasoning", "GSM1", None, None, "5", "top"): "bad_direction", ("gene_driver_reasoning", "GSM1", None, None, "0", "up"): "bad_size",
     }
-
-
-def test_partners_of_any_rank_and_number(spark):
-    up = ["H", *(f"P{k:02d}" for k in range(48, 58))]
-    de = spark.createDataFrame([(1, "GSM1", "ok", up, ["C"], [1.0] * len(up), [-1.0], "large", 7)], "sample_index long, geo_accession string, status string, top_up_genes array<string>, top_down_genes array<string>, top_up_z array<float>, top_down_z array<float>, magnitude_bucket string, n_genes_abs_z_gt2 int")
-    lab = spark.createDataFrame([(1, "ischemic", True)], "sample_index long, cvd_subtype string, is_cvd_disease boolean")
-    edges = spark.createDataFrame([("H", f"P{k:02d}", k) for k in range(1, 61)] + [("K", "P57", 900), ("K", "X", 1)], "gene string, partner string, rank int")
-    rows = [(k, "interaction_network_query", "GSM1", g, n, None) for k, (g, n) in enumerate([("H", None), ("H", "7"), ("H", "61"), ("K", None), ("K", "1"), ("H", "none")])]
-    got = questions.answer(spark.createDataFrame(rows, "row long, category string, sample string, gene string, n string, direction string"), questions.context(de, lab, edges), ["interaction_network_query"])
-    assert {r["row"]: r["answer"] or r["reason"] for r in got.collect()} == {0: "P48,P49,P50,P51,P52", 1: "P48,P49,P50,P51,P52,P53,P54", 2: "bad_size", 3: "P57", 4: "P57", 5: "bad_size"}
+    rows = [(k, *a, *[None] * (7 - len(a))) for k, a in enumerate(ask)]
+    got = {r["row"]: r["answer"] if r["status"] == "ok" else r["reason"] for r in questions.answer(spark.createDataFrame(rows, R), questions.context(de, lab, edges)).collect()}
+    assert {a: got[k] for k, a in enumerate(ask)} == ask
 
 
 def test_text_helpers(spark):
