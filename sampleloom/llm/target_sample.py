@@ -40,10 +40,15 @@ def _candidates(rows: DataFrame, batch: str, category: str, keys: list[str], see
     return named.dropna(subset=["batch", "cat", "k0"]).dropDuplicates(["batch", "cat", *ids]).withColumn("h", hash63("batch", "cat", *ids, seed=seed))
 
 
-def target_report(rows: DataFrame, targets: DataFrame, batch: str, category: str, keys: list[str]) -> DataFrame:
+def _counted(rows: DataFrame, targets: DataFrame, batch: str, category: str, keys: list[str], seed: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Targets, candidates with their hash bucket, and candidates by category and bucket; the last two are written once."""
+    have = cut(_candidates(rows, batch, category, keys, seed).withColumn("b", bucket(F.col("h"))))
+    return _targets(targets, batch, category), have, cut(have.groupBy("batch", "cat", "b").agg(F.count("*").alias("n")))
+
+
+def target_report(goal: DataFrame, sums: DataFrame, batch: str, category: str) -> DataFrame:
     """Per target: batch, category as named there, target, min_rows, available candidates and the shortfall."""
-    goal = _targets(targets, batch, category)
-    have = _candidates(rows, batch, category, keys, "").groupBy("batch", "cat").agg(F.count("*").alias("available"))
+    have = sums.groupBy("batch", "cat").agg(F.sum("n").alias("available"))
     need = F.greatest("target", "least")
     full = goal.join(have, ["batch", "cat"], "left").withColumn("available", F.coalesce("available", F.lit(0)))
     return full.select(F.col("batch").alias(batch), F.col("name").alias(category), "target", F.col("least").alias("min_rows"), "available", F.greatest(need - F.col("available"), F.lit(0)).alias("shortfall"))
@@ -95,12 +100,9 @@ def _batch_seats(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["batch", "cat", "name"]].assign(seats=pdf["cat"].map(given))
 
 
-def draw(rows: DataFrame, targets: DataFrame, batch: str, category: str, keys: list[str], seed: str = "draw") -> DataFrame:
-    """The drawn candidates: batch, category as named in targets, the keys, and their rank in the category."""
-    goal = _targets(targets, batch, category)
-    ids = [f"k{i}" for i in range(len(keys))]
-    have = _candidates(rows, batch, category, keys, seed).withColumn("b", bucket(F.col("h")))
-    sums = cut(have.groupBy("batch", "cat", "b").agg(F.count("*").alias("n")))
+def _drawn(goal: DataFrame, have: DataFrame, sums: DataFrame) -> DataFrame:
+    """The drawn rows of have, with the target's name and their rank in the category."""
+    ids = [c for c in have.columns if c not in ("batch", "cat", "h", "b")]
     available = sums.groupBy("batch", "cat").agg(F.sum("n").alias("available"))
     kinds = goal.join(available, ["batch", "cat"]).select("batch", "cat", "name", "available", F.col("target").cast("long").alias("target"), F.col("least").cast("long").alias("least"), F.col("draw").cast("long").alias("draw"))
     given = kinds.groupBy("batch").applyInPandas(_batch_seats, f"batch {kinds.schema['batch'].dataType.simpleString()}, cat string, name string, seats long")  # a row a target
@@ -108,11 +110,17 @@ def draw(rows: DataFrame, targets: DataFrame, batch: str, category: str, keys: l
     first = sums.withColumn("before", F.coalesce(before, F.lit(0))).join(given, ["batch", "cat"]).where("before < seats")
     near = join_dimension(have, first.select("batch", "cat", "b", "before", "name", "seats"), ["batch", "cat", "b"])
     ranked = near.withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("batch", "cat", "b").orderBy("h", *ids)))
-    return ranked.where("rank <= seats").select(F.col("batch").alias(batch), F.col("name").alias(category), *(F.col(i).alias(k) for i, k in zip(ids, keys)), "rank")
+    return ranked.where("rank <= seats")
+
+
+def draw(rows: DataFrame, targets: DataFrame, batch: str, category: str, keys: list[str], seed: str = "draw") -> DataFrame:
+    """The drawn candidates: batch, category as named in targets, the keys, and their rank in the category."""
+    drawn = _drawn(*_counted(rows, targets, batch, category, keys, seed))
+    return drawn.select(F.col("batch").alias(batch), F.col("name").alias(category), *(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), "rank")
 
 
 def draw_report(rows: DataFrame, targets: DataFrame, batch: str, category: str, keys: list[str], seed: str = "draw") -> DataFrame:
     """target_report with the rows drawn of each category."""
-    drawn = draw(rows, targets, batch, category, keys, seed).groupBy(batch, category).agg(F.count("*").alias("drawn"))
-    return target_report(rows, targets, batch, category, keys).join(drawn, [batch, category], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
-
+    goal, have, sums = _counted(rows, targets, batch, category, keys, seed)
+    drawn = _drawn(goal, have, sums).groupBy(F.col("batch").alias(batch), F.col("name").alias(category)).agg(F.count("*").alias("drawn"))
+    return target_report(goal, sums, batch, category).join(drawn, [batch, category], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
