@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sampleloom.operators.joins import with_scalars
+from sampleloom.operators.order import quantiles, with_quantiles
 
 
 def composition(df: DataFrame, groupings: dict[str, Column]) -> DataFrame:
@@ -16,32 +17,39 @@ def composition(df: DataFrame, groupings: dict[str, Column]) -> DataFrame:
 
 def mad(df: DataFrame, value: str) -> DataFrame:
     """median and the median absolute deviation from it."""
-    centre = with_scalars(df.select(value), F.median(value).alias("centre"))
-    return centre.agg(F.first("centre").alias("centre"), F.median(F.abs(F.col(value) - F.col("centre"))).alias("mad"))
+    centre = quantiles(df, value, [0.5]).select(F.col("q")[0].alias("centre"))
+    away = df.select(F.col(value).cast("double").alias("_v")).crossJoin(F.broadcast(centre)).select(F.abs(F.col("_v") - F.col("centre")).alias("_d"))  # one row
+    return centre.crossJoin(F.broadcast(quantiles(away, "_d", [0.5]).select(F.col("q")[0].alias("mad"))))
 
 
 def mad_flags(df: DataFrame, value: str, detected: str, times: float = 3.0) -> DataFrame:
     """is_low, is_high: log10(max(value, 1)) beyond times x 1.4826 x MAD; is_poor: few detected by the same measure."""
     x = df.withColumn("_x", F.log10(F.greatest(F.col(value).cast("double"), F.lit(1.0)))).withColumn("_d", F.col(detected).cast("double"))
-    x = with_scalars(x, F.median("_x").alias("_xm"), F.median("_d").alias("_dm"))
-    x = x.crossJoin(F.broadcast(x.agg(F.greatest(F.median(F.abs(F.col("_x") - F.col("_xm"))), F.lit(1e-9)).alias("_xs"), F.greatest(F.median(F.abs(F.col("_d") - F.col("_dm"))), F.lit(1e-9)).alias("_ds"))))
+    one = lambda c, m, s: mad(x, c).select(F.col("centre").alias(m), F.greatest("mad", F.lit(1e-9)).alias(s))
+    x = x.crossJoin(F.broadcast(one("_x", "_xm", "_xs"))).crossJoin(F.broadcast(one("_d", "_dm", "_ds")))  # single rows
     wide = lambda s: F.lit(times * 1.4826) * F.col(s)
     return x.withColumn("is_low", F.col("_x") < F.col("_xm") - wide("_xs")).withColumn("is_high", F.col("_x") > F.col("_xm") + wide("_xs")).withColumn("is_poor", F.col("_d") < F.col("_dm") - wide("_ds")).drop("_x", "_d", "_xm", "_dm", "_xs", "_ds")
 
 
 def distribution(value: str, stem: str) -> list[Column]:
-    """mean, median, quartiles and maximum of a column, as aggregates; all null for no values."""
-    q = lambda p: F.percentile(F.col(value).cast("double"), p)
-    return [F.round(F.avg(value), 6).alias(f"{stem}_mean"), F.round(q(0.5), 6).alias(f"{stem}_median"), F.round(q(0.25), 6).alias(f"{stem}_q1"), F.round(q(0.75), 6).alias(f"{stem}_q3"), F.max(value).cast("double").alias(f"{stem}_max")]
+    """mean and maximum of a column, as aggregates; null for no values."""
+    return [F.round(F.avg(value), 6).alias(f"{stem}_mean"), F.max(value).cast("double").alias(f"{stem}_max")]
+
+
+def quartiles(value: str, stem: str) -> dict[str, tuple[str, float]]:
+    """What with_quantiles adds to distribution."""
+    return {f"{stem}_median": (value, 0.5), f"{stem}_q1": (value, 0.25), f"{stem}_q3": (value, 0.75)}
 
 
 def group_metrics(df: DataFrame, group: str, patient: str, series: str, resolved: Column, value: str) -> DataFrame:
     """Per group: patients, samples, series, samples per patient (distribution), value (distribution), resolved patients."""
-    per_patient = df.groupBy(group, patient).agg(F.count("*").alias("k")).where(F.col(patient).isNotNull()).groupBy(group).agg(F.count("*").alias("n_patients"), *distribution("k", "samples_per_patient"))
+    counts = df.groupBy(group, patient).agg(F.count("*").alias("k")).where(F.col(patient).isNotNull())
+    per_patient = with_quantiles(counts.groupBy(group).agg(F.count("*").alias("n_patients"), *distribution("k", "samples_per_patient")), [group], counts, quartiles("k", "samples_per_patient"))
     whole = df.groupBy(group).agg(
         F.count("*").alias("n_samples"), F.countDistinct(series).alias("n_series"), *distribution(value, value), F.count(value).alias(f"{value}_n"),
         F.count_if(resolved).alias("n_resolved_samples"), F.countDistinct(F.when(resolved, F.col(patient))).alias("n_resolved_patients"),
     )
+    whole = with_quantiles(whole, [group], df, quartiles(value, value))
     return whole.join(per_patient.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g").withColumn("n_patients", F.coalesce("n_patients", F.lit(0))).withColumn("resolution_pct", F.round(F.col("n_resolved_samples") * 100.0 / F.col("n_samples"), 4))
 
 
@@ -101,9 +109,9 @@ def eta_squared(df: DataFrame, item: str, group: str, x: str) -> DataFrame:
 
 def matched_contrast(df: DataFrame, stratum: Column, side: str, value: str, least: int) -> DataFrame:
     """Medians of value on either side (a boolean) within strata that have at least `least` rows on both."""
-    s = df.withColumn("stratum", stratum).groupBy("stratum").agg(
-        F.count_if(F.col(side)).alias("n_in"), F.count_if(~F.col(side)).alias("n_out"), F.median(F.when(F.col(side), F.col(value))).alias("median_in"), F.median(F.when(~F.col(side), F.col(value))).alias("median_out")
-    )
+    v = df.select(stratum.alias("stratum"), F.col(side).alias("_side"), F.when(F.col(side), F.col(value)).alias("_in"), F.when(~F.col(side), F.col(value)).alias("_out"))
+    s = v.groupBy("stratum").agg(F.count_if("_side").alias("n_in"), F.count_if(~F.col("_side")).alias("n_out"))
+    s = with_quantiles(s, ["stratum"], v, {"median_in": ("_in", 0.5), "median_out": ("_out", 0.5)}, digits=None)
     return s.where((F.col("n_in") >= least) & (F.col("n_out") >= least))
 
 
@@ -135,14 +143,14 @@ def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int) -> Dat
 def melt_distribution(df: DataFrame, metrics: list[str]) -> DataFrame:
     """A row per metric: n, mean, median, p05, p95."""
     rows = df.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics))).alias("r")).select("r.*").where("v is not null and not isnan(v)")
-    q = lambda p: F.round(F.percentile("v", p), 6)
-    return rows.groupBy("metric").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), q(0.5).alias("median"), q(0.05).alias("p05"), q(0.95).alias("p95"))
+    grouped = rows.groupBy("metric").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
+    return with_quantiles(grouped, ["metric"], rows, {"median": ("v", 0.5), "p05": ("v", 0.05), "p95": ("v", 0.95)})
 
 
-def sanity(df: DataFrame, value: str, rank: str) -> DataFrame:
-    """nulls, NaNs, infinities and negatives of a value, and whether the ranks are 1..N, in one pass."""
+def sanity(df: DataFrame, value: str, rank: str, by: list[str] = ()) -> DataFrame:
+    """nulls, NaNs, infinities and negatives of a value, and whether the ranks are 1..N, for each group."""
     v = F.col(value).cast("double")
-    return df.agg(
+    return df.groupBy(*by).agg(
         F.count("*").alias("n"), F.count_if(v.isNull()).alias("n_null"), F.count_if(F.isnan(v)).alias("n_nan"), F.count_if(F.abs(v) == float("inf")).alias("n_inf"), F.count_if(v < 0).alias("n_negative"),
-        ((F.min(rank) == 1) & (F.max(rank) == F.count("*")) & (F.countDistinct(rank) == F.count("*"))).alias("is_permutation"),
+        F.coalesce((F.min(rank) == 1) & (F.max(rank) == F.count("*")) & (F.countDistinct(rank) == F.count("*")), F.lit(False)).alias("is_permutation"),
     )

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sampleloom.operators.order import global_rank
 from sampleloom.operators.windows import ranked
 
 
@@ -27,7 +28,7 @@ def per_class(df: DataFrame, label: str, key: str, k: int, seed: str) -> DataFra
 def negatives(df: DataFrame, label: str, key: str, ratio: float, seed: str) -> DataFrame:
     """All positives and min(ratio x positives, available) negatives."""
     need = df.agg(F.floor(F.count_if(F.col(label) == 1) * F.lit(ratio)).alias("_need"))
-    r = ranked(df.where(F.col(label) == 0).withColumn("_h", draw_key(seed, key)), F.col("_h"), F.col(key), out="_k")
+    r = global_rank(df.where(F.col(label) == 0).withColumn("_h", draw_key(seed, key)), F.col("_h"), F.col(key), out="_k")
     drawn = r.crossJoin(F.broadcast(need)).where("_k <= _need").select(*df.columns)
     return df.where(F.col(label) == 1).unionByName(drawn)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sampleloom.operators.order import global_rank, quantiles
+
 
 def ranked(df: DataFrame, *order: Column, by: list[str] = (), out: str = "rank") -> DataFrame:
     """1..N in the given order, within `by`."""
@@ -61,8 +63,7 @@ def zscore(df: DataFrame, value: str, by: list[str], out: str = "z") -> DataFram
 
 def tertiles(df: DataFrame, value: str, names: tuple[str, str, str] = ("minimal", "moderate", "large"), unknown: str = "unknown", out: str = "bucket") -> DataFrame:
     """Buckets cut at the population's tertile values (not at counts); null or NaN values are unknown."""
-    good = df.where(F.col(value).isNotNull() & ~F.isnan(value))
-    cuts = good.agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_c"))
+    cuts = quantiles(df, value, [1 / 3, 2 / 3]).withColumnRenamed("q", "_c")
     v = F.col(value)
     b = F.when(v.isNull() | F.isnan(v), unknown).when(v <= F.col("_c")[0], names[0]).when(v <= F.col("_c")[1], names[1]).otherwise(names[2])
     return df.crossJoin(F.broadcast(cuts)).withColumn(out, b).drop("_c")
@@ -93,13 +94,13 @@ def capped(df: DataFrame, group: list[str], key: str, cap: int, seed: str) -> Da
 def chunks(df: DataFrame, key: str, n: int) -> DataFrame:
     """The chunk of each row when rows in key order are cut into n pieces of ceil(N / n)."""
     one = df.agg(F.ceil(F.count("*") / F.lit(n)).alias("_size"))
-    return ranked(df, F.asc(key), out="_r").crossJoin(F.broadcast(one)).withColumn("chunk", F.floor((F.col("_r") - 1) / F.col("_size")).cast("int")).drop("_r", "_size")
+    return global_rank(df, F.asc(key), out="_r").crossJoin(F.broadcast(one)).withColumn("chunk", F.floor((F.col("_r") - 1) / F.col("_size")).cast("int")).drop("_r", "_size")
 
 
 def length_batches(df: DataFrame, key: str, length: str, batch: int, workers: int, seed: str) -> DataFrame:
     """Random megabatches of batch x workers rows, sorted by length downwards, dealt to the workers in turn."""
     h = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")))
-    mega = ranked(df.withColumn("_h", h), F.col("_h"), out="_r").withColumn("megabatch", F.floor((F.col("_r") - 1) / F.lit(batch * workers)).cast("int"))
+    mega = global_rank(df.withColumn("_h", h), F.col("_h"), F.col(key), out="_r").withColumn("megabatch", F.floor((F.col("_r") - 1) / F.lit(batch * workers)).cast("int"))
     dealt = ranked(mega, F.desc(length), F.asc(key), by=["megabatch"], out="place")
     return dealt.withColumn("worker", F.pmod(F.col("place") - 1, F.lit(workers)).cast("int")).drop("_h", "_r")
 

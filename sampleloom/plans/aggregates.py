@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sampleloom.operators.order import with_quantiles
 from sampleloom.operators import aggregates as op
 from sampleloom.operators.windows import ranked
 from sampleloom.plans.common import DE, EMB, EXPR, LAB, de, emb, expr, lab
@@ -65,7 +66,8 @@ def a06(s, d):
 
 @query("a07_distribution", f"WITH {DE} SELECT round(avg(max_abs_z::DOUBLE), 6) AS z_mean, round(quantile_cont(max_abs_z::DOUBLE, .5), 6) AS z_median, round(quantile_cont(max_abs_z::DOUBLE, .25), 6) AS z_q1, round(quantile_cont(max_abs_z::DOUBLE, .75), 6) AS z_q3, max(max_abs_z)::DOUBLE AS z_max FROM de")
 def a07(s, d):
-    return de(s, d).select(F.col("max_abs_z").cast("double").alias("z")).agg(*op.distribution("z", "z"))
+    z = de(s, d).select(F.col("max_abs_z").cast("double").alias("z"))
+    return with_quantiles(z.agg(*op.distribution("z", "z")), [], z, op.quartiles("z", "z"))
 
 
 @query("a08_total_row", f"WITH {LAB} SELECT CASE WHEN grouping(disease_category) = 1 THEN 'total' ELSE disease_category END AS category, count(*) AS n, count_if(is_cvd_pool) AS n_pool FROM lab GROUP BY ROLLUP (disease_category)")
@@ -146,8 +148,9 @@ def a19(s, d):
 
 @query("a20_arm_summary", f"WITH {_ETA} SELECT gene < 32 AS arm, round(median(eta2), 8) AS median, round(avg(eta2), 8) AS mean, round(quantile_cont(eta2, .9), 8) AS p90, round(avg((eta2 > 0.05)::INTEGER), 8) AS over FROM eta GROUP BY 1")
 def a20(s, d):
-    e = op.eta_squared(emb(s, d), "gene", "label", "v")
-    return e.groupBy((F.col("gene") < 32).alias("arm")).agg(F.round(F.median("eta2"), 8).alias("median"), F.round(F.avg("eta2"), 8).alias("mean"), F.round(F.percentile("eta2", 0.9), 8).alias("p90"), F.round(F.avg((F.col("eta2") > 0.05).cast("int")), 8).alias("over"))
+    e = op.eta_squared(emb(s, d), "gene", "label", "v").withColumn("arm", F.col("gene") < 32)
+    g = e.groupBy("arm").agg(F.round(F.avg("eta2"), 8).alias("mean"), F.round(F.avg((F.col("eta2") > 0.05).cast("int")), 8).alias("over"))
+    return with_quantiles(g, ["arm"], e, {"median": ("eta2", 0.5), "p90": ("eta2", 0.9)}, digits=8)
 
 
 @query("a21_matched_contrast", f"""WITH {DE}, {LAB}, x AS (SELECT greatest(ceil(frac_genes_abs_z_gt2::DOUBLE / 0.02), 1)::INTEGER AS stratum, is_cvd_disease AS side, mean_abs_z::DOUBLE AS v FROM de JOIN lab USING (sample_index) WHERE status = 'ok'),
@@ -241,7 +244,10 @@ def a31(s, d):
 SELECT category, count(*) AS n, count(DISTINCT a) AS n_unique, round(avg(l), 6) AS mean_length, round(quantile_cont(l::DOUBLE, .95), 6) AS p95_length, max(l) AS max_length, round(count(DISTINCT a) / count(*), 8) AS distinct_ratio FROM g GROUP BY 1""")
 def a32(s, d):
     g = table(s, d, "generation_results").where("status = 'ok'").select("category", F.length("paraphrased_answer").cast("long").alias("l"), F.col("paraphrased_answer").alias("a"))
-    return g.groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("a").alias("n_unique"), F.round(F.avg("l"), 6).alias("mean_length"), F.round(F.percentile("l", 0.95), 6).alias("p95_length"), F.max("l").alias("max_length"), F.round(F.countDistinct("a") / F.count("*"), 8).alias("distinct_ratio"))
+    # answers are told apart by 128 bits of their digest, so texts aren't shuffled
+    a = F.substring(F.sha2("a", 256), 1, 32)
+    c = g.select("category", "l", a.alias("a")).groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("a").alias("n_unique"), F.round(F.avg("l"), 6).alias("mean_length"), F.max("l").alias("max_length"), F.round(F.countDistinct("a") / F.count("*"), 8).alias("distinct_ratio"))
+    return with_quantiles(c, ["category"], g, {"p95_length": ("l", 0.95)})
 
 
 @query("a33_token_frequency", "WITH t AS (SELECT line_no, unnest(list_distinct(regexp_extract_all(lower(paraphrased_answer), '[a-z]+'))) AS token FROM generation_results), n AS (SELECT count(*) AS n FROM generation_results) SELECT token, count(*) AS n_lines, round(count(*) * 100.0 / n.n, 6)::DOUBLE AS pct FROM t, n GROUP BY token, n.n")
@@ -380,11 +386,10 @@ def a53(s, d):
     return op.melt_distribution(de(s, d), _M)
 
 
-@query("a54_sanity", "WITH x AS (SELECT pearson_r::DOUBLE AS v, row_number() OVER () AS r FROM coexpression_edges) SELECT count(*) AS n, count_if(v IS NULL) AS n_null, count_if(isnan(v)) AS n_nan, count_if(isinf(v)) AS n_inf, count_if(v < 0) AS n_negative, true AS is_permutation FROM x")
+@query("a54_sanity", "SELECT gene, count(*) AS n, count_if(pearson_r IS NULL) AS n_null, coalesce(count_if(isnan(pearson_r)), 0) AS n_nan, coalesce(count_if(isinf(pearson_r)), 0) AS n_inf, coalesce(count_if(pearson_r < 0), 0) AS n_negative, coalesce(min(rank) = 1 AND max(rank) = count(*) AND count(DISTINCT rank) = count(*), false) AS is_permutation FROM coexpression_edges GROUP BY 1")
 def a54(s, d):
-    e = table(s, d, "coexpression_edges").select("pearson_r")
-    ids = e.select("pearson_r", F.monotonically_increasing_id().alias("i"))
-    return op.sanity(ranked(ids, F.asc("i"), out="r"), "pearson_r", "r")
+    """The ranks as they are stored, which are stale, repeated or null for many genes."""
+    return op.sanity(table(s, d, "coexpression_edges"), "pearson_r", "rank", ["gene"])
 
 
 @query("a55_spot_check", f"WITH {EMB}, v AS (SELECT gene, var_samp(v) AS var FROM emb GROUP BY 1), r AS (SELECT gene, round(var, 8) AS variance, row_number() OVER (ORDER BY var DESC, gene)::INTEGER AS rank FROM v), w AS (SELECT unnest([3, 17, 63, 99])::INTEGER AS gene) SELECT w.gene, r.gene IS NOT NULL AS present, variance, rank FROM w LEFT JOIN r USING (gene)")

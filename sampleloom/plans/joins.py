@@ -57,13 +57,7 @@ def j08(s, d):
     return table(s, d, "embeddings").select("vec_id", F.posexplode(z).alias("place", "z")).select("vec_id", "place", F.col("z.a").cast("double").alias("a"), F.col("z.b").cast("double").alias("b"))
 
 
-@query("j09_vocabulary", f"WITH {EXPR} SELECT p_partkey AS gene, coalesce(x.n, -10)::DOUBLE AS n FROM part LEFT JOIN (SELECT gene, n FROM expr WHERE sample_index = 7) x ON x.gene = p_partkey")
-def j09(s, d):
-    one = expr(s, d).where("sample_index = 7").select("gene", F.col("n").cast("double").alias("n"), F.col("sample_index").alias("pos"))
-    return op.aligned(table(s, d, "part").select(F.col("p_partkey").alias("gene")), one, "gene", "n", -10.0)
-
-
-@query("j09_vocabulary_samples", f"WITH {EXPR}, g AS (SELECT DISTINCT sample_index FROM expr) SELECT g.sample_index, p_partkey AS gene, coalesce(x.n, -10)::DOUBLE AS n, round(avg((x.gene IS NULL)::INTEGER) OVER (PARTITION BY g.sample_index), 8) AS missing_share FROM g CROSS JOIN part LEFT JOIN expr x ON x.sample_index = g.sample_index AND x.gene = p_partkey")
+@query("j09_vocabulary", f"WITH {EXPR}, g AS (SELECT DISTINCT sample_index FROM expr) SELECT g.sample_index, p_partkey AS gene, coalesce(x.n, -10)::DOUBLE AS n, round(avg((x.gene IS NULL)::INTEGER) OVER (PARTITION BY g.sample_index), 8) AS missing_share FROM g CROSS JOIN part LEFT JOIN expr x ON x.sample_index = g.sample_index AND x.gene = p_partkey")
 def j09_samples(s, d):
     rows = expr(s, d).select("sample_index", "gene", F.col("n").cast("double").alias("n"), F.lit(0).alias("pos"))
     return op.aligned(table(s, d, "part").select(F.col("p_partkey").alias("gene")), rows, "gene", "n", -10.0, by=["sample_index"]).withColumn("missing_share", F.round("missing_share", 8))

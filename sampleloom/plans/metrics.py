@@ -125,20 +125,36 @@ def m26(s, d):
     return auc.roc_auc(scored(s, d).join(seen, "series_id", "left_anti"), "y", "score").select("n_pos", "n_neg", F.round("auc", 8).alias("auc"))
 
 
-@query("m27_phrasing", "WITH f AS (SELECT DISTINCT * FROM fold_result WHERE NOT skipped) SELECT pool, round(min(roc_auc), 8) AS least, round(max(roc_auc), 8) AS most, round(max(roc_auc) - min(roc_auc), 8) AS spread, round(avg(CASE WHEN fold % 2 = 0 THEN roc_auc END) - avg(CASE WHEN fold % 2 = 1 THEN roc_auc END), 8) AS order_gap FROM f GROUP BY 1")
+@query("m27_phrasing", """WITH p AS (SELECT category, template_index // 2 AS phrase, template_index % 2 AS ordering, is_positive::INTEGER AS v FROM generation_plan WHERE template_index >= 0 AND is_positive IS NOT NULL),
+f AS (SELECT category, phrase, avg(v) AS m, avg(CASE WHEN ordering = 0 THEN v END) - avg(CASE WHEN ordering = 1 THEN v END) AS gap FROM p GROUP BY 1, 2)
+SELECT category, count(*) AS n_phrasings, round(min(m), 8) AS least, round(max(m), 8) AS most, round(max(m) - min(m), 8) AS spread, round(max(abs(gap)), 8) AS order_gap, round(avg(gap), 8) AS mean_shift FROM f GROUP BY 1""")
 def m27(s, d):
-    f = table(s, d, "fold_result").distinct().where("not skipped")
-    half = lambda k: F.avg(F.when(F.col("fold") % 2 == k, F.col("roc_auc")))
-    return f.groupBy("pool").agg(F.round(F.min("roc_auc"), 8).alias("least"), F.round(F.max("roc_auc"), 8).alias("most"), F.round(F.max("roc_auc") - F.min("roc_auc"), 8).alias("spread"), F.round(half(0) - half(1), 8).alias("order_gap"))
+    """Templates come in pairs that ask the same in two orders: the spread over phrasings and the gap of the orders."""
+    p = table(s, d, "generation_plan").where("template_index >= 0 and is_positive is not null")
+    p = p.select("category", F.floor(F.col("template_index") / 2).alias("phrase"), F.pmod("template_index", F.lit(2)).alias("ordering"), F.col("is_positive").cast("int").alias("v"))
+    half = lambda k: F.avg(F.when(F.col("ordering") == k, F.col("v")))
+    f = p.groupBy("category", "phrase").agg(F.avg("v").alias("m"), (half(0) - half(1)).alias("gap"))
+    return f.groupBy("category").agg(F.count("*").alias("n_phrasings"), F.round(F.min("m"), 8).alias("least"), F.round(F.max("m"), 8).alias("most"), F.round(F.max("m") - F.min("m"), 8).alias("spread"), F.round(F.max(F.abs("gap")), 8).alias("order_gap"), F.round(F.avg("gap"), 8).alias("mean_shift"))
 
 
-@query("m28_shuffled_control", f"WITH {DE} SELECT count(*) AS n, round(avg(abs(mean_abs_z::DOUBLE - frac_genes_abs_z_gt2::DOUBLE)) / stddev_pop(mean_abs_z::DOUBLE), 6) AS sensitivity, CASE WHEN avg(abs(mean_abs_z::DOUBLE - frac_genes_abs_z_gt2::DOUBLE)) / stddev_pop(mean_abs_z::DOUBLE) < 0.25 THEN 'ignored' WHEN avg(abs(mean_abs_z::DOUBLE - frac_genes_abs_z_gt2::DOUBLE)) / stddev_pop(mean_abs_z::DOUBLE) < 0.6 THEN 'weak' ELSE 'used' END AS verdict FROM de WHERE status = 'ok'")
-def m28(s, d):
-    from sampleloom.plans.common import de
+_LINEAR = """e AS (SELECT vec_id, label, unnest(range(len(embedding)))::INTEGER AS gene, unnest(embedding)::DOUBLE AS v FROM embeddings), w AS (SELECT gene, avg(CASE WHEN label < 5 THEN v END) - avg(CASE WHEN label >= 5 THEN v END) AS w FROM e GROUP BY 1),
+x AS (SELECT vec_id, sum(v * w) AS score, row_number() OVER (ORDER BY md5('shuffle|' || vec_id), vec_id) AS r, count(*) OVER () AS n FROM e JOIN w USING (gene) GROUP BY vec_id), c AS (SELECT a.score, b.score AS other FROM x a JOIN x b ON b.r = a.r % a.n + 1)"""
 
-    x = de(s, d).where("status = 'ok'").select(F.col("mean_abs_z").cast("double").alias("a"), F.col("frac_genes_abs_z_gt2").cast("double").alias("b"))
-    g = x.agg(F.count("*").alias("n"), (F.avg(F.abs(F.col("a") - F.col("b"))) / F.stddev_pop("a")).alias("r"))
-    return g.select("n", F.round("r", 6).alias("sensitivity"), F.when(F.col("r") < 0.25, "ignored").when(F.col("r") < 0.6, "weak").otherwise("used").alias("verdict"))
+
+@query("m28_shuffled_control", f"WITH {_LINEAR}, g AS (SELECT count(*) AS n, avg(abs(score - other)) / stddev_pop(score) AS s, avg(abs(0.0)) AS ignoring FROM c) SELECT n, round(s, 6) AS sensitivity, CASE WHEN s < 0.25 THEN 'ignored' WHEN s < 0.6 THEN 'weak' ELSE 'used' END AS verdict FROM g")
+def m28(s, d):
+    """Scores of a linear scorer on each sample's own vector and on another one's: every sample gets the next one's vector
+    in an order by hash."""
+    from sampleloom.operators.order import global_rank
+    from sampleloom.operators.sampling import draw_key
+    from sampleloom.plans.common import emb
+
+    e = emb(s, d)
+    half = lambda c: F.avg(F.when(c, F.col("v")))
+    w = e.groupBy("gene").agg((half(F.col("label") < 5) - half(F.col("label") >= 5)).alias("w"))
+    own = e.join(w, "gene").groupBy("sample_index").agg(F.sum(F.col("v") * F.col("w")).alias("score"))
+    x = global_rank(own.withColumn("h", draw_key("shuffle", "sample_index")), F.col("h"), F.col("sample_index"), out="r")
+    return auc.shuffled_control(x, "score", "r")
 
 
 @query("m41_headline", "SELECT arg_max(run_id, auc) AS best_run, arg_min(run_id, auc) AS worst_run, round(max(auc), 8) AS best, round(min(auc), 8) AS worst FROM (SELECT run_id, avg(roc_auc) AS auc FROM (SELECT DISTINCT * FROM fold_result) WHERE NOT skipped GROUP BY 1)")

@@ -154,11 +154,12 @@ def w22(s, d):
 
 @query("w23_roc_points", f"WITH {DE}, {LAB}, {SCORED}, v AS (SELECT score, sum(y)::BIGINT AS p, count(*) - sum(y)::BIGINT AS n FROM scored GROUP BY 1) SELECT score, round(sum(n) OVER (ORDER BY score DESC) / sum(n) OVER (), 8) AS fpr, round(sum(p) OVER (ORDER BY score DESC) / sum(p) OVER (), 8) AS tpr FROM v")
 def w23(s, d):
-    from pyspark.sql import Window
+    from sampleloom.operators.order import running
 
     v = scored(s, d).groupBy("score").agg(F.sum("y").alias("p"), (F.count("*") - F.sum("y")).alias("n"))
-    w, a = Window.orderBy(F.desc("score")), Window.partitionBy()  # a row per distinct score
-    return v.select("score", F.round(F.sum("n").over(w) / F.sum("n").over(a), 8).alias("fpr"), F.round(F.sum("p").over(w) / F.sum("p").over(a), 8).alias("tpr"))
+    all_ = v.agg(F.sum("n").alias("all_n"), F.sum("p").alias("all_p"))
+    upto = running(v, [F.desc("score")], {"fp": F.col("n"), "tp": F.col("p")}).crossJoin(F.broadcast(all_))  # one row
+    return upto.select("score", F.round(F.col("fp") / F.col("all_n"), 8).alias("fpr"), F.round(F.col("tp") / F.col("all_p"), 8).alias("tpr"))
 
 
 @query("w24_calibration", f"WITH {DE}, {LAB}, {SCORED}, e AS (SELECT quantile_cont(score, [.1, .2, .3, .4, .5, .6, .7, .8, .9]) AS e FROM scored) SELECT len(list_filter(e, lambda x: score > x))::INTEGER AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(y), 6) AS share_positive FROM scored, e GROUP BY 1")

@@ -46,3 +46,12 @@ def contract(df: DataFrame, key: str, text: str, vector: str, width: int) -> Dat
     """One row: vectors of another width, keys whose rows disagree on the vector, and keys whose texts repeat."""
     per = df.groupBy(key).agg(F.count("*").alias("n"), F.countDistinct(F.xxhash64(vector)).alias("v"), F.countDistinct(text).alias("t"), F.count_if(F.size(vector) != width).alias("w"))
     return per.agg(F.count("*").alias("n_keys"), F.sum("w").alias("wrong_width"), F.count_if(F.col("v") > 1).alias("vector_conflicts"), F.count_if(F.col("t") < F.col("n")).alias("repeated_texts"))
+
+
+def unchanged(before: DataFrame, after: DataFrame, key: str, group: str) -> DataFrame:
+    """Per group: rows, how many of them differ (or are in one version only), and whether the checksums of both versions
+    agree. before has columns key, group and a text, after the same under another name of the text."""
+    (x,), (y,) = ([c for c in df.columns if c not in (key, group)] for df in (before, after))
+    both = before.where(F.col(group).isNotNull()).join(after.where(F.col(group).isNotNull()), [key, group], "full")
+    digest = lambda c: F.bit_xor(F.xxhash64(F.col(key), F.col(c)))
+    return both.groupBy(group).agg(F.count("*").alias("n"), F.count_if(~F.col(x).eqNullSafe(F.col(y))).alias("n_changed"), (digest(x) == digest(y)).alias("unchanged"))

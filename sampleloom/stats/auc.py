@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sampleloom.operators.order import quantiles, running, with_quantiles
 from sampleloom.operators.windows import average_rank, zscore
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by: list[str] = ()) -> DataFrame:
     """by, n_pos, n_neg, auc: rank-sum with ties counting half; null where a class is missing.
 
-    Scores are first made one row per distinct value, so the window runs over values, not rows.
+    Scores are first made one row per distinct value, whose running sums are taken over ranges of values.
     """
     v = df.groupBy(*by, F.col(score).alias("_s")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
-    w = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    v = v.withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    v = running(v, [F.col("_s")], {"_upto": F.col("_n")}, by).withColumn("_below", F.col("_upto") - F.col("_n"))
     g = v.groupBy(*by).agg(F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"), F.sum((F.col("_p") * (F.col("_below") * 2 + F.col("_n"))).cast("double")).alias("_w"))
     return g.withColumn("auc", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("_w") / (2.0 * F.col("n_pos") * F.col("n_neg")))).drop("_w")
 
@@ -23,10 +23,9 @@ def roc_auc(df: DataFrame, label: str, score: str, by: list[str] = ()) -> DataFr
 def pr_auc(df: DataFrame, label: str, score: str, by: list[str] = ()) -> DataFrame:
     """by, average_precision (steps) and pr_trapezoid (trapezoids from recall 0 at precision 1), by distinct threshold."""
     v = df.groupBy(*by, F.col(score).alias("_s")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count("*").alias("_a"))
-    w = Window.partitionBy(*by).orderBy(F.desc("_s"))
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    v = v.withColumn("_tp", F.sum("_p").over(upto)).withColumn("_pr", F.sum("_p").over(upto) / F.sum("_a").over(upto))
-    v = v.withColumn("_last", F.coalesce(F.lag("_pr").over(w), F.lit(1.0)))
+    v = running(v, [F.desc("_s")], {"_tp": F.col("_p"), "_all": F.col("_a")}, by).withColumn("_pr", F.col("_tp") / F.col("_all"))
+    # the threshold before; none: precision 1
+    v = v.withColumn("_last", F.when(F.col("_all") > F.col("_a"), (F.col("_tp") - F.col("_p")) / (F.col("_all") - F.col("_a"))).otherwise(1.0))
     g = v.groupBy(*by).agg(F.sum("_p").alias("_t"), F.sum(F.col("_p") * F.col("_pr")).alias("_ap"), F.sum(F.col("_p") * (F.col("_pr") + F.col("_last")) / 2).alias("_tz"))
     some = lambda c: F.when(F.col("_t") > 0, F.col(c) / F.col("_t"))
     return g.select(*by, some("_ap").alias("average_precision"), some("_tz").alias("pr_trapezoid"))
@@ -49,7 +48,8 @@ def within_groups(df: DataFrame, label: str, score: str, group: str, least: int
     """One row: AUC within groups of at least `least` rows and both classes: pair-weighted, mean, deviation, median."""
     g = roc_auc(df, label, score, [group]).where((F.col("n_pos") + F.col("n_neg") >= least) & F.col("auc").isNotNull())
     pairs = F.col("n_pos") * F.col("n_neg")
-    return g.agg(F.count("*").alias("n_groups"), F.round(F.sum(F.col("auc") * pairs) / F.sum(pairs), 8).alias("pair_weighted"), F.round(F.avg("auc"), 8).alias("mean_auc"), F.round(F.stddev_pop("auc"), 8).alias("sd_auc"), F.round(F.median("auc"), 8).alias("median_auc"), F.count_if(F.col("auc") > 0.5).alias("n_above_half"))
+    one = g.agg(F.count("*").alias("n_groups"), F.round(F.sum(F.col("auc") * pairs) / F.sum(pairs), 8).alias("pair_weighted"), F.round(F.avg("auc"), 8).alias("mean_auc"), F.round(F.stddev_pop("auc"), 8).alias("sd_auc"), F.count_if(F.col("auc") > 0.5).alias("n_above_half"))
+    return with_quantiles(one, [], g, {"median_auc": ("auc", 0.5)}, digits=8)
 
 
 def skipped_groups(df: DataFrame, label: str, score: str, group: str, least: int = 6) -> DataFrame:
@@ -77,9 +77,21 @@ def shortcut_diagnostics(df: DataFrame, label: str, score: str, group: str, leas
 
 def calibration(df: DataFrame, label: str, score: str, bins: int = 10) -> DataFrame:
     """Mean score and share of positives in bins between the score's quantiles."""
-    edges = df.agg(F.percentile(score, F.array(*(F.lit(k / bins) for k in range(1, bins)))).alias("_e"))
+    edges = quantiles(df, score, [k / bins for k in range(1, bins)]).withColumnRenamed("q", "_e")
     b = F.aggregate("_e", F.lit(0), lambda acc, x: acc + (F.col(score) > x).cast("int"))
     return df.crossJoin(F.broadcast(edges)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg(score), 6).alias("mean_score"), F.round(F.avg(label), 6).alias("share_positive"))
 
 
-__all__ = ["average_rank", "brier", "calibration", "confusion", "pairwise_auc", "pr_auc", "roc_auc", "shortcut_diagnostics", "skipped_groups", "within_groups"]
+def shuffled_control(df: DataFrame, score: str, rank: str) -> DataFrame:
+    """One row: how far scores move when every row is given the next one's input, in deviations of the scores, and the
+    verdict: below 0.25 the input is ignored, below 0.6 its use is weak."""
+    n = df.agg(F.count("*").alias("_n"))
+    own = df.select(F.col(score).alias("_a"), F.col(rank).alias("_r")).crossJoin(F.broadcast(n))  # one row
+    other = df.select(F.col(score).alias("_b"), F.col(rank).alias("_next"))
+    both = own.withColumn("_next", F.pmod(F.col("_r"), F.col("_n")) + 1).join(other, "_next")
+    g = both.agg(F.count("*").alias("n"), (F.avg(F.abs(F.col("_a") - F.col("_b"))) / F.nullif(F.stddev_pop("_a"), F.lit(0.0))).alias("_s"))
+    s = F.coalesce("_s", F.lit(0.0))
+    return g.select("n", F.round(s, 6).alias("sensitivity"), F.when(s < 0.25, "ignored").when(s < 0.6, "weak").otherwise("used").alias("verdict"))
+
+
+__all__ = ["average_rank", "brier", "calibration", "confusion", "pairwise_auc", "pr_auc", "roc_auc", "shortcut_diagnostics", "shuffled_control", "skipped_groups", "within_groups"]
