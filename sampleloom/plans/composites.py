@@ -146,21 +146,6 @@ def q01t(s, d):
     return expression.per_sample_scores(scored, 8, F.abs("lfc") >= 0.05).select("sample_index", "top_up", "top_down")
 
 
-@query("q03_regen_plan", "WITH p AS (SELECT plan_row, batch_id, category, patient, md5('regen|' || plan_row) AS h FROM generation_plan WHERE patient IS NOT NULL AND upper(trim(patient)) NOT IN (SELECT upper(trim(geo_accession)) FROM per_sample_de WHERE in_holdout AND geo_accession IS NOT NULL)) SELECT plan_row, category, batch_id FROM p QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY h, plan_row) <= 50")
-def q03(s, d):
-    held = table(s, d, "per_sample_de").where("in_holdout and geo_accession is not null").select(F.upper(F.trim("geo_accession")).alias("a")).distinct()
-    p = table(s, d, "generation_plan").where("patient is not null").join(held, F.upper(F.trim("patient")) == F.col("a"), "left_anti")
-    return windows.ranked(p, sampling.draw_key("regen", "plan_row"), F.asc("plan_row"), by=["batch_id"], out="k").where("k <= 50").select("plan_row", "category", "batch_id")
-
-
-@query("q04_discriminative_plan", f"""WITH {LAB}, c AS (SELECT *, row_number() OVER (PARTITION BY upper(trim(series_id)), is_cvd_tissue ORDER BY md5('cap|' || sample_index)) AS k FROM lab WHERE series_id IS NOT NULL), x AS (SELECT sample_index, is_cvd_tissue::INTEGER AS y, disease_category AS c FROM c WHERE k <= 10),
-n AS (SELECT c, least(count_if(y = 1), count_if(y = 0)) AS p FROM x GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY c, y ORDER BY md5('disc|' || sample_index), sample_index) AS k FROM x) SELECT sample_index, y, c FROM r JOIN n USING (c) WHERE k <= p""")
-def q04(s, d):
-    x = lab(s, d).where("series_id is not null").select("sample_index", F.col("is_cvd_tissue").cast("int").alias("y"), F.col("disease_category").alias("c"), F.upper(F.trim("series_id")).alias("g"))
-    x = windows.capped(x, ["g", "y"], "sample_index", 10, "cap").drop("g")
-    return sampling.matched_classes(x, "c", "y", "sample_index", 1, "disc")
-
-
 @query("q05_filled", f"""WITH {_CTX}, {_ANSWERED} SELECT req."row", req.category, req.sample, CASE WHEN status = 'ok' THEN (CASE req."row" % 2 WHEN 0 THEN 'Give ' ELSE 'State ' END) || req.category || ': ' || coalesce(req.gene, '') || ' ' || coalesce(req.n, '') || ' ' || coalesce(req.direction, '') || ' in ' || coalesce(req.sample, '') || '?' END AS question, answer, reason AS excluded
 FROM req JOIN answered USING ("row")""")
 def q05(s, d):
@@ -180,13 +165,6 @@ def q07(s, d):
     return corpus.duplicate_ids(table(s, d, "generation_results"), "id")
 
 
-@query("q08_bundle_routes", f"""WITH {DE}, h AS (SELECT DISTINCT upper(trim(geo_accession)) || '.npy' AS image FROM de WHERE in_holdout), g AS (SELECT *, list_distinct(regexp_extract_all(coalesce(gt_answer, ''), '[0-9]+(?:[.][0-9]+)?')) AS gn, list_distinct(regexp_extract_all(coalesce(paraphrased_answer, ''), '[0-9]+(?:[.][0-9]+)?')) AS an FROM generation_results)
-SELECT line_no, category, CASE WHEN status IN ('skip', 'skipped') THEN 'skipped' WHEN status <> 'ok' THEN 'error' WHEN image IN (SELECT image FROM h) THEN 'leak' WHEN trim(coalesce(paraphrased_answer, ''), ' ') = '' THEN 'no_answer' WHEN len(list_filter(gn, lambda x: NOT list_contains(an, x))) > 0 THEN 'factual_reject' ELSE 'pair' END AS route FROM g""")
-def q08(s, d):
-    held = de(s, d).where("in_holdout").select(F.concat(F.upper(F.trim("geo_accession")), F.lit(".npy")).alias("image"))
-    return corpus.route(table(s, d, "generation_results"), held)
-
-
 _RETUNED = "tuned AS (SELECT sample, (v + nx) / 2 AS t FROM (SELECT sample, v, row_number() OVER (PARTITION BY sample ORDER BY v DESC, gene) AS m, lead(v) OVER (PARTITION BY sample ORDER BY v DESC, gene) AS nx FROM val) WHERE m = 3 AND v > nx), req2 AS (SELECT req.* REPLACE (coalesce(tuned.t, threshold) AS threshold) FROM req LEFT JOIN tuned USING (sample))"
 _RE_ASKED = _OUT.format(_ASK["threshold_query"].replace("FROM req WHERE", "FROM req2 WHERE"))
 
@@ -215,12 +193,6 @@ def q11(s, d):
     return provenance_union("gene", up=top(up), graph=top(graph)).where(~F.rlike("gene", F.lit("^ENSG[0-9]+$")))
 
 
-@query("q12_confound_report", f"WITH {LAB}, b AS (SELECT disease_category AS b, count(*) AS n, avg(is_cvd_tissue::INTEGER) AS f, count(DISTINCT upper(trim(series_id))) AS k FROM lab GROUP BY 1) SELECT b, n, k, round(f, 8) AS pos_share, f <= 0.02 OR f >= 0.98 AS pure, round(n / k, 6) AS per_series FROM b")
-def q12(s, d):
-    b = lab(s, d).groupBy(F.col("disease_category").alias("b")).agg(F.count("*").alias("n"), F.avg(F.col("is_cvd_tissue").cast("int")).alias("f"), F.countDistinct(F.upper(F.trim("series_id"))).alias("k"))
-    return b.select("b", "n", "k", F.round("f", 8).alias("pos_share"), ((F.col("f") <= 0.02) | (F.col("f") >= 0.98)).alias("pure"), F.round(F.col("n") / F.col("k"), 6).alias("per_series"))
-
-
 @query("q13_loader_contract", "SELECT count(*) AS n_keys, sum(w)::BIGINT AS wrong_width, count_if(v > 1) AS vector_conflicts, count_if(t < n) AS repeated_texts FROM (SELECT label, count(*) AS n, count(DISTINCT embedding) AS v, count(DISTINCT vec_id) AS t, count_if(len(embedding) <> 64) AS w FROM embeddings GROUP BY 1)")
 def q13(s, d):
     return corpus.contract(table(s, d, "embeddings"), "label", "vec_id", "embedding", 64)

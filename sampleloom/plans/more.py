@@ -193,15 +193,6 @@ def m38(s, d):
     return g.select("variant", F.round("neg_hard", 8).alias("neg_hard"), F.round("other", 8).alias("other"))
 
 
-@query("q02_generation_plan", f"""WITH {LAB}, c AS (SELECT unnest(['direct_abundance_query', 'magnitude_reasoning', 'threshold_query']) AS category, unnest([300, 200, 100]) AS quota), x AS (SELECT category, sample_index, row_number() OVER (PARTITION BY category ORDER BY md5(concat_ws('|', 'plan', category, sample_index::VARCHAR))) AS k, quota FROM lab, c WHERE is_cvd_pool)
-SELECT category, sample_index, (k - 1) % 5 AS template FROM x WHERE k <= quota""")
-def q02(s, d):
-    quotas = {"direct_abundance_query": 300, "magnitude_reasoning": 200, "threshold_query": 100}
-    x = lab(s, d).where("is_cvd_pool").select("sample_index", F.explode(F.array(*(F.struct(F.lit(c).alias("category"), F.lit(n).alias("quota")) for c, n in quotas.items()))).alias("q")).select("sample_index", "q.*")
-    x = windows.ranked(x, sampling.draw_key("plan", "category", "sample_index"), by=["category"], out="k").where("k <= quota")
-    return x.select("category", "sample_index", F.pmod(F.col("k") - 1, F.lit(5)).cast("long").alias("template"))
-
-
 @query("q10_vector_check", "SELECT count(*) AS n, 0::BIGINT AS missing, 0::BIGINT AS mismatched, count_if(len(list_filter(embedding, lambda x: round(x::DOUBLE, 3)::FLOAT <> x)) > 0) AS mismatched_rounded FROM embeddings")
 def q10(s, d):
     """Vectors written and read again are equal byte for byte; a copy with three decimals isn't, and the check says so."""
