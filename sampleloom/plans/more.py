@@ -13,29 +13,27 @@ from sampleloom.plans.common import DE, EMB, LAB, de, emb, lab
 from sampleloom.qa import questions
 from sampleloom.registry import query
 from sampleloom.session import shared_dir, table
-from sampleloom.sources import sinks
+from sampleloom.sources import sinks, store, vectors
 from sampleloom.stats import benchmarks, embedding, expression, learn
 
 
 @query("s25_vector_folder", "SELECT vec_id, len(embedding)::INTEGER AS width, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings")
 def s25(s, d):
-    from sampleloom.sources.vectors import read_vectors
-
     folder = f"{shared_dir(s)}/vectors-{uuid.uuid4().hex[:10]}"
-    where = folder.removeprefix("file://")
+    store.write_vectors(table(s, d, "embeddings"), "vec_id", "embedding", folder).write.format("noop").mode("overwrite").save()
+    x = vectors.read_vectors(s, folder, 64)
+    return x.select(F.col("key").cast("long").alias("vec_id"), F.size("features").alias("width"), F.round(F.col("features")[0], 6).alias("first"))
 
-    def write(batches):
-        import os
 
-        os.makedirs(where, exist_ok=True)
-        for pdf in batches:
-            for k, v in zip(pdf["vec_id"], pdf["embedding"]):
-                np.save(f"{where}/{k}.npy", np.asarray(v, np.float32))
-            yield pdf[["vec_id"]]
+@query("x17_strict_integers", "SELECT plan_row, CASE WHEN regexp_matches(trim(entities['n']), '^[+-]?[0-9]+$') AND TRY_CAST(entities['n'] AS BIGINT) BETWEEN 1 AND 8 THEN entities['n']::INTEGER END AS n, CASE WHEN regexp_matches(trim(entities['gene']), '^[+-]?[0-9]+$') THEN 1 END AS gene FROM generation_plan")
+def x17(s, d):
+    e = F.col("entities")
+    return table(s, d, "generation_plan").select("plan_row", questions.strict_integer(e["n"], 1, 8).alias("n"), questions.strict_integer(e["gene"]).alias("gene"))
 
-    table(s, d, "embeddings").select("vec_id", "embedding").mapInPandas(write, "vec_id long").write.format("noop").mode("overwrite").save()
-    x = read_vectors(s, folder, 64)
-    return x.select(F.col("key").cast("long").alias("vec_id"), F.size("features").alias("width"), F.round(F.col("features")[0], 6).alias("first"))
+
+@query("ask01_registry", "SELECT category, count(*) AS n, category IN ('direct_abundance_query', 'threshold_query', 'ranking_ordering_query', 'comparative_query', 'interaction_network_query', 'disease_subtype_classification', 'comparative_differential_reasoning', 'gene_driver_reasoning', 'magnitude_reasoning') AS known FROM generation_plan GROUP BY 1")
+def p01(s, d):
+    return table(s, d, "generation_plan").groupBy("category").agg(F.count("*").alias("n")).withColumn("known", F.col("category").isin(sorted(questions.REGISTRY)))
 
 
 @query("s34_axis_agreement", f"WITH {DE} SELECT (SELECT count(*) FROM de) = (SELECT count(DISTINCT sample_index) FROM per_sample_de) AS same_samples, (SELECT count(*) FROM de WHERE len(top_up_genes) <> len(top_up_z)) = 0 AS same_lengths")

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import json
 import uuid
-from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from sampleloom.plans.common import DE, EMB, EXPR, de, emb, expr
 from sampleloom.registry import query
-from sampleloom.session import shared_dir, table
-from sampleloom.sources import files, sinks
+from sampleloom.session import cut, shared_dir, table
+from sampleloom.sources import files, sinks, store, vectors
 
 
 def _folder(s) -> str:
@@ -19,12 +18,7 @@ def _folder(s) -> str:
 
 
 def _write_text(s, folder: str, name: str, text: str) -> str:
-    """A small text file in the shared folder, written through Spark's file system."""
-    path = s._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    out = path.getFileSystem(s._jsc.hadoopConfiguration()).create(path, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    return f"{folder}/{name}"
+    return store.write_text(s, f"{folder}/{name}", text)
 
 
 @query("s02_shape", f"WITH {EMB} SELECT (max(gene) + 1)::INTEGER AS n_genes, (max(sample_index) + 1)::BIGINT AS n_samples FROM emb")
@@ -106,18 +100,22 @@ def s16(s, d):
     return files.read_csv(s, _write_text(s, _folder(s), "region.csv", text), "r_regionkey int, r_name string", comment="#")
 
 
-_MAP = "hsa:1\tCDS\t1:2\tABC1, XY2; a gene\nhsa:2\tCDS\t1:9\tunmapped thing\nhsa:3\tRNA\t2:1\tQQ7; other\n"
-
-
-@query("s17_symbol_map", "SELECT * FROM (VALUES ('hsa:1', 'ABC1', 'XY2'), ('hsa:2', NULL, NULL), ('hsa:3', 'QQ7', '')) v(id, symbol, aliases)")
+@query("s17_symbol_map", "SELECT 'hsa:' || gene AS id, CASE WHEN gene LIKE '%-AS%' THEN gene END AS symbol, CASE WHEN gene LIKE '%-AS%' THEN regexp_replace(gene, '-AS.*$', '') || ',' || lower(gene) END AS aliases FROM (SELECT DISTINCT gene FROM coexpression_edges WHERE gene IS NOT NULL)")
 def s17(s, d):
-    m = files.read_symbol_map(s, _write_text(s, _folder(s), "map.tsv", _MAP))
-    return m.select("id", "symbol", F.array_join("aliases", ",").alias("aliases"))
+    """Genes with a suffix are written with their stem and lower case as aliases, the others without a symbol."""
+    path, g = _folder(s), F.col("gene")
+    names = F.when(F.contains(g, F.lit("-AS")), F.concat(g, F.lit(", "), F.regexp_replace(g, "-AS.*$", ""), F.lit(","), F.lower(g), F.lit("; antisense gene"))).otherwise("no symbol, no alias")
+    line = F.concat_ws("\t", F.concat(F.lit("hsa:"), g), F.lit("CDS"), F.lit("1:2"), names)
+    table(s, d, "coexpression_edges").where("gene is not null").select("gene").distinct().select(line.alias("value")).write.text(path)
+    return files.read_symbol_map(s, path).select("id", "symbol", F.array_join("aliases", ",").alias("aliases"))
 
 
-@query("s18_links", "SELECT * FROM (VALUES ('hsa:1', 'path:5'), ('hsa:3', 'path:6')) v(source, target)")
+@query("s18_links", "SELECT 'hsa:' || c_custkey AS source, 'path:' || c_nationkey AS target FROM customer WHERE c_nationkey < 20")
 def s18(s, d):
-    return files.read_links(s, _write_text(s, _folder(s), "links.tsv", "hsa:1\tpath:5\nmmu:2\tpath:5\nhsa:3\tpath:6\n"), "hsa:")
+    path = _folder(s)
+    t = table(s, d, "customer").select(F.concat(F.when(F.col("c_nationkey") < 20, "hsa:").otherwise("mmu:"), F.col("c_custkey").cast("string"), F.lit("\tpath:"), F.col("c_nationkey").cast("string")).alias("value"))
+    t.write.text(path)
+    return files.read_links(s, path, "hsa:")
 
 
 @query("s19_json_document", "SELECT r_name AS name, r_regionkey AS id FROM region")
@@ -134,9 +132,13 @@ def s20(s, d):
     return files.read_jsonl(s, path, "line_no long, id string, status string")
 
 
-@query("s21_jsonl_cut_off", "SELECT 1::BIGINT AS k, 'a' AS v UNION ALL SELECT 2, 'b'")
+@query("s21_jsonl_cut_off", "SELECT line_no, id, status FROM generation_results")
 def s21(s, d):
-    return files.read_jsonl(s, _write_text(s, _folder(s), "log.jsonl", '{"k":1,"v":"a"}\n{"k":2,"v":"b"}\n{"k":3,"v":'), "k long, v string", strict=False)
+    """Each part of the log ends in a line that is cut off."""
+    path = _folder(s)
+    t = table(s, d, "generation_results").select(F.to_json(F.struct("line_no", "id", "status")).alias("value"))
+    t.unionByName(t.select(F.expr("left(value, length(value) - 3)").alias("value")).limit(8)).write.text(path)
+    return files.read_jsonl(s, path, "line_no long, id string, status string", strict=False)
 
 
 @query("s22_several_jsonl", "SELECT s_suppkey, s_name FROM supplier")
@@ -148,14 +150,11 @@ def s22(s, d):
     return files.read_jsonl(s, [one, two], "s_suppkey long, s_name string")
 
 
-@query("s23_templates", "SELECT * FROM (VALUES ('ask', 0, 'What is {x}?'), ('ask', 1, 'Name {x}.'), ('rate', 0, 'How large is {x}?')) v(category, template_index, text)")
+@query("s23_templates", "SELECT r_name AS category, unnest([0, 1])::INTEGER AS template_index, unnest(['What is {x} in ' || r_name || '?', 'Name \"{x}\": ' || r_regionkey]) AS text FROM region")
 def s23(s, d):
-    import tempfile
-
-    with tempfile.TemporaryDirectory() as folder:  # read on the driver at once; a dictionary of a few lines
-        path = Path(folder) / "t.json"
-        path.write_text(json.dumps({"ask": ["What is {x}?", "Name {x}."], "rate": ["How large is {x}?"]}))
-        return files.read_templates(s, str(path))
+    rows = table(s, d, "region").collect()  # five rows
+    text = "# templates\n" + "".join(f"{r['r_name']}:\n  - What is {{x}} in {r['r_name']}?\n  - {json.dumps(chr(78) + 'ame ' + chr(34) + '{x}' + chr(34) + ': ' + str(r['r_regionkey']))}\n" for r in rows)
+    return files.read_templates(s, _write_text(s, _folder(s), "templates.yaml", text))
 
 
 @query("s24_long_bundle", f"WITH {DE} SELECT sample_index, unnest(range(len(top_up_genes)))::INTEGER AS place, unnest(top_up_genes) AS gene, round(unnest(top_up_z)::DOUBLE, 6) AS z FROM de")
@@ -179,15 +178,101 @@ def s28(s, d):
     return s.read.schema("folds array<struct<fold:int,roc_auc:double>>, run_id long").json(path).select("run_id", F.explode("folds").alias("f")).select("run_id", "f.fold", "f.roc_auc")
 
 
-@query("s29_log_scrape", "SELECT * FROM (VALUES (1.5::DOUBLE), (0.25::DOUBLE)) v(loss)")
+@query("s29_log_scrape", "SELECT round(value::DOUBLE, 4) AS loss FROM events WHERE value IS NOT NULL")
 def s29(s, d):
-    return files.scrape_log(s, _write_text(s, _folder(s), "run.log", "start\n{'loss': 1.5, 'lr': 0.1}\nx {'loss': 2.5e-1}\n"), "loss")
+    path = _folder(s)
+    t = table(s, d, "events").where("value is not null").select(F.concat(F.lit("step {'loss': "), F.format_string("%.4f", F.col("value").cast("double")), F.lit(", 'lr': 0.1}")).alias("value"))
+    t.unionByName(s.createDataFrame([("started",), ("{'eval': 1.5}",)], "value string")).write.text(path)
+    return files.scrape_log(s, path, "loss")
 
 
-@query("s30_trainer_history", "SELECT * FROM (VALUES (1::BIGINT, 0.9::DOUBLE), (2::BIGINT, 0.5::DOUBLE)) v(step, loss)")
+@query("s30_trainer_history", "SELECT DISTINCT run_id, fold::BIGINT AS step, brier AS loss FROM fold_result WHERE brier IS NOT NULL AND NOT isnan(brier)")
 def s30(s, d):
-    doc = {"log_history": [{"step": 1, "loss": 0.9}, {"step": 2, "loss": 0.5}, {"step": 2, "eval": 1}]}
-    return files.trainer_history(s, _write_text(s, _folder(s), "state.json", json.dumps(doc, indent=1)))
+    """A state document for each run, its folds as steps, with entries that have no loss."""
+    path = _folder(s)
+    f = table(s, d, "fold_result").where("brier is not null and not isnan(brier)").select("run_id", F.col("fold").cast("long").alias("step"), F.col("brier").alias("loss")).distinct()
+    entry = lambda loss: F.struct("step", loss.alias("loss"))
+    doc = f.groupBy("run_id").agg(F.collect_list(F.array(entry(F.col("loss")), entry(F.lit(None).cast("double")))).alias("l"))  # five folds a run
+    doc.select("run_id", F.to_json(F.struct(F.flatten("l").alias("log_history"))).alias("value")).repartition("run_id").write.partitionBy("run_id").text(path)
+    state = s.read.schema("log_history array<struct<step:bigint,loss:double>>, run_id long").option("multiLine", True).json(path)
+    return files.trainer_steps(state, "run_id")
+
+
+@query("s10_ordered_column", "SELECT row_number() OVER (ORDER BY md5('order|' || plan_row), plan_row) - 1 AS pos, plan_row, category FROM generation_plan")
+def s10(s, d):
+    """All rows are asked for, in an order by hash."""
+    from sampleloom.operators.order import global_rank
+    from sampleloom.operators.sampling import draw_key
+
+    p = table(s, d, "generation_plan")
+    wanted = global_rank(p.select("plan_row", draw_key("order", "plan_row").alias("h")), F.col("h"), F.col("plan_row"), out="r").select((F.col("r") - 1).cast("long").alias("pos"), "plan_row")
+    return files.ordered_column(wanted, p, "plan_row", "category")
+
+
+@query("s27_embedding_numbers", "SELECT vec_id, len(embedding)::INTEGER AS width, round(embedding[2]::DOUBLE, 6) AS second, round(embedding[11]::DOUBLE, 6) AS eleventh FROM embeddings")
+def s27(s, d):
+    """Columns dim_0, dim_1, ... dim_63 in any order are sorted by number, so dim_10 doesn't come before dim_2."""
+    wide = table(s, d, "embeddings").select("vec_id", *(F.col("embedding")[k].alias(f"dim_{k}") for k in sorted(range(64), key=str)))
+    x = files.embedding_array(wide, "dim_")
+    return x.select("vec_id", F.size("features").alias("width"), F.round(F.get("features", F.lit(1)).cast("double"), 6).alias("second"), F.round(F.get("features", F.lit(10)).cast("double"), 6).alias("eleventh"))
+
+
+def _raised(f) -> str:
+    try:
+        f()
+    except (files.MissingArtifact, ValueError) as e:
+        return type(e).__name__
+    return "passed"
+
+
+@query("s31_s33_gates", "SELECT * FROM (VALUES ('there', 'passed'), ('too small', 'MissingArtifact'), ('missing', 'MissingArtifact')) v(gate, outcome)")
+def s31(s, d):
+    """A table that was written passes the gates of existence and size; a floor above its size or another name does not."""
+    path = _folder(s)
+    table(s, d, "supplier").write.parquet(path)
+    size = store.size_of(s, path)
+    gates = {"there": (path, size), "too small": (path, size + 1), "missing": (f"{path}-no", 0)}
+    return s.createDataFrame([(k, _raised(lambda p=p, n=n: files.require(s, p, "suppliers", n))) for k, (p, n) in gates.items()], "gate string, outcome string")
+
+
+@query("s34_provenance", "WITH n AS (SELECT count(DISTINCT sample_index) AS n, count(*) AS rows FROM per_sample_de) SELECT pool, n AS n_samples, outcome FROM n, (VALUES ('cvd', 'passed'), ('other', 'ValueError')) v(pool, outcome) UNION ALL SELECT 'cvd', rows, CASE WHEN rows = n THEN 'passed' ELSE 'ValueError' END FROM n")
+def s34p(s, d):
+    """The manifest of a pool is refused for another pool, and where rows are taken for samples."""
+    n = table(s, d, "per_sample_de").agg(F.countDistinct("sample_index").alias("n"), F.count("*").alias("rows")).first()
+    path = f"{_folder(s)}/manifest.json"
+    sinks.write_manifest(s, path, 0.0, {"pool": "cvd", "n_samples": n["n"]}, {"counted": True})
+    manifest = json.loads(store.read_text(s, path))
+    rows = [(p, k, _raised(lambda p=p, k=k: files.check_provenance(manifest, p, k))) for p, k in (("cvd", n["n"]), ("other", n["n"]), ("cvd", n["rows"]))]
+    return s.createDataFrame(rows, "pool string, n_samples long, outcome string")
+
+
+@query("k06_manifest", "SELECT 'no_nulls' AS check_name, count_if(sample_index IS NULL) = 0 AS ok FROM per_sample_de UNION ALL SELECT 'one_row_a_sample', count(*) = count(DISTINCT sample_index) FROM per_sample_de UNION ALL SELECT 'passed', count_if(sample_index IS NULL) = 0 AND count(*) = count(DISTINCT sample_index) FROM per_sample_de")
+def k06(s, d):
+    t = table(s, d, "per_sample_de").agg(F.count_if(F.col("sample_index").isNull()).alias("nulls"), F.count("*").alias("n"), F.countDistinct("sample_index").alias("k")).first()
+    path = f"{_folder(s)}/manifest.json"
+    _raised(lambda: sinks.write_manifest(s, path, 0.0, {"rows": t["n"]}, {"no_nulls": t["nulls"] == 0, "one_row_a_sample": t["n"] == t["k"]}))
+    m = json.loads(store.read_text(s, path))
+    return s.createDataFrame([*((k, v) for k, v in m["sanity_checks"].items() if k != "failures"), ("passed", m["passed"])], "check_name string, ok boolean")
+
+
+@query("k16_artifacts", "SELECT * FROM (VALUES ('nation', true), ('region', true), ('report', false)) v(name, present)")
+def k16(s, d):
+    path = _folder(s)
+    for n in ("nation", "region"):
+        table(s, d, n).write.parquet(f"{path}/{n}")
+    return sinks.collect_artifacts(s, {n: f"{path}/{n}" for n in ("nation", "region", "report")}).select("name", F.col("bytes").isNotNull().alias("present"))
+
+
+@query("k05_k08_vector_files", "SELECT vec_id, 'new' AS first, CASE WHEN round(embedding[1]::DOUBLE, 2)::FLOAT = embedding[1] THEN 'identical' ELSE 'mismatch' END AS again, round(embedding[1]::DOUBLE, 6) AS kept FROM embeddings")
+def k05(s, d):
+    """Files are written once; a second call finds those of rounded vectors changed and leaves the files as they are."""
+    folder = _folder(s)
+    t = table(s, d, "embeddings").select("vec_id", "embedding")
+    rounded = F.transform("embedding", lambda x, k: F.when(k == 0, F.round(x.cast("double"), 2).cast("float")).otherwise(x))
+    first = cut(store.write_vectors(t, "vec_id", "embedding", folder)).select(F.col("key").alias("vec_id"), F.col("state").alias("first"))
+    again = cut(store.write_vectors(t.withColumn("embedding", rounded), "vec_id", "embedding", folder)).select(F.col("key").alias("vec_id"), F.col("state").alias("again"))
+    kept = vectors.read_vectors(s, folder, 64).select(F.col("key").cast("long").alias("vec_id"), F.round(F.get("features", F.lit(0)), 6).alias("kept"))
+    return first.join(again, "vec_id").join(kept, "vec_id")
 
 
 # sinks ------------------------------------------------------------------------------------------------------------

@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sampleloom.sources.store import read_text, size_of
+
 
 class MissingArtifact(FileNotFoundError):
     """An input is missing; the message names the step that makes it."""
 
 
-def require(path: str, produced_by: str, least_bytes: int = 0) -> str:
-    """The path, if a file of at least least_bytes is there."""
-    p = Path(path.removeprefix("file://"))
-    if not p.exists() or (p.is_file() and p.stat().st_size < least_bytes):
+def require(spark: SparkSession, path: str, produced_by: str, least_bytes: int = 0) -> str:
+    """The path, if files of at least least_bytes are there."""
+    size = size_of(spark, path)
+    if size is None or size < least_bytes:
         raise MissingArtifact(f"{path} is missing or too small; it is made by: {produced_by}")
     return path
 
@@ -83,19 +84,37 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str, strict:
     return rows.withColumn("_bad", F.col("_corrupt_record").isNotNull()).where("not _bad").drop("_bad", "_corrupt_record")
 
 
+def _plain_yaml(text: str) -> dict[str, list[str]]:
+    """The lists of texts of a YAML file that holds nothing else: "name:" lines and "- text" lines below them."""
+    given: dict[str, list[str]] = {}
+    for n, line in enumerate(text.splitlines(), 1):
+        bare = line.strip()
+        if not bare or bare.startswith("#"):
+            continue
+        if bare.startswith("- ") and given:
+            item = bare[2:].strip()
+            given[next(reversed(given))].append(json.loads(item) if item[:1] == '"' else item.strip("'"))
+        elif line == line.lstrip() and bare.endswith(":"):
+            given[bare[:-1].strip("'\"")] = []
+        else:
+            raise ValueError(f"line {n} is neither a name nor an item: {line!r}")
+    return given
+
+
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
     """A small JSON or YAML dictionary category -> list of texts, as (category, template_index, text)."""
-    text = Path(path.removeprefix("file://")).read_text()
-    if path.endswith((".yaml", ".yml")):
-        import yaml
-
-        given = yaml.safe_load(text)
-    else:
-        given = json.loads(text)
+    text = read_text(spark, path)
+    given = _plain_yaml(text) if path.endswith((".yaml", ".yml")) else json.loads(text)
     rows = [(c, i, t) for c, texts in given.items() for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, "category string, template_index int, text string")
 
 
+def ordered_column(wanted: DataFrame, df: DataFrame, key: str, value: str, partitions: int = 16) -> DataFrame:
+    """(pos, key, value): one column of df for the wanted (pos, key), read in parallel and given back in the order of pos."""
+    found = wanted.join(df.select(key, value), key, "left").select("pos", key, value)
+    return found.repartitionByRange(partitions, "pos").sortWithinPartitions("pos")
+
+
 def embedding_array(df: DataFrame, stem: str = "e", out: str = "features") -> DataFrame:
     """Fold wide columns e0000, e0001, ... into one array; refuses gaps and near misses of the name."""
     import re
@@ -114,7 +133,11 @@ def scrape_log(spark: SparkSession, path: str, field: str) -> DataFrame:
     return found.select(F.col(field).cast("double").alias(field))
 
 
+def trainer_steps(states: DataFrame, *keys: str) -> DataFrame:
+    """keys, step and loss of trainers' state documents; entries without a loss are left out."""
+    return states.select(*keys, F.explode("log_history").alias("h")).select(*keys, "h.step", "h.loss").where("loss is not null")
+
+
 def trainer_history(spark: SparkSession, path: str) -> DataFrame:
     """(step, loss) of a trainer's state document."""
-    state = read_json_document(spark, path, "log_history array<struct<step:bigint,loss:double>>")
-    return state.select(F.explode("log_history").alias("h")).select("h.step", "h.loss").where("loss is not null")
+    return trainer_steps(read_json_document(spark, path, "log_history array<struct<step:bigint,loss:double>>"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import time
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sampleloom.sources.store import size_of, write_text
+
 
 def write_with_schema(df: DataFrame, path: str, schema: str) -> None:
     """Parquet after a checked cast to the contract's schema."""
@@ -36,20 +37,19 @@ def classify_write(new: DataFrame, existing: DataFrame, key: str, value: str) ->
     return new.join(old, key, "left").select(key, value, state.alias("state"))
 
 
-def write_manifest(path: str, started: float, parameters: dict, checks: dict[str, bool]) -> dict:
+def write_manifest(spark: SparkSession, path: str, started: float, parameters: dict, checks: dict[str, bool]) -> dict:
     """A JSON sidecar with times, parameters and the checks; raises after writing if one failed."""
     failures = sorted(k for k, ok in checks.items() if not ok)
-    manifest = {"started": started, "finished": time.time(), "parameters": parameters, "sanity_checks": {**checks, "passed": not failures, "failures": failures}, "passed": not failures}
-    Path(path).write_text(json.dumps(manifest, indent=1))
+    manifest = {"started": started, "finished": time.time(), **parameters, "sanity_checks": {**checks, "failures": failures}, "passed": not failures}
+    write_text(spark, path, json.dumps(manifest, indent=1))
     if failures:
         raise ValueError(f"checks failed: {failures}")
     return manifest
 
 
-def collect_artifacts(wanted: dict[str, str]) -> dict[str, list[str]]:
-    """Which of the named paths are there and which are missing."""
-    there = {k: Path(p).exists() for k, p in wanted.items()}
-    return {"present": sorted(k for k, v in there.items() if v), "missing": sorted(k for k, v in there.items() if not v)}
+def collect_artifacts(spark: SparkSession, wanted: dict[str, str]) -> DataFrame:
+    """(name, path, bytes): the named artifacts; bytes is null for those that are missing."""
+    return spark.createDataFrame([(k, p, size_of(spark, p)) for k, p in wanted.items()], "name string, path string, bytes long")
 
 
 def conversations_json(df: DataFrame, key: str, question: str, answer: str, image: str | None = None) -> DataFrame:

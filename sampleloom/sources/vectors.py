@@ -1,54 +1,27 @@
-"""A Spark data source for folders with one .npy vector per record: spark.read.format("npy_vectors").load(folder)."""
+"""Folders with one .npy vector per record, read from any file system through Spark's binary files."""
 
 from __future__ import annotations
 
-from pathlib import Path
+import io
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import ArrayType, DoubleType
 
 
-class _Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
-
-
-class VectorReader(DataSourceReader):
-    """Files in groups of `filesPerTask`; a task opens its own files, the driver lists names only."""
-
-    def __init__(self, options: dict):
-        self.folder, self.group = options["path"].removeprefix("file://"), int(options.get("filespertask", 256))
-
-    def partitions(self):
-        names = sorted(str(p) for p in Path(self.folder).glob("*.npy"))
-        return [_Files(names[k : k + self.group]) for k in range(0, len(names), self.group)]
-
-    def read(self, partition):
-        from pathlib import Path
-
-        import numpy as np
-
-        for p in partition.paths:
-            yield Path(p).stem, [float(x) for x in np.load(p).ravel()]
-
-
-class VectorSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "npy_vectors"
-
-    def schema(self) -> str:
-        return "key string, features array<double>"
-
-    def reader(self, schema) -> VectorReader:
-        return VectorReader(self.options)
+@F.pandas_udf(ArrayType(DoubleType()))
+def decoded(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in contents:
+        yield s.map(lambda b: np.load(io.BytesIO(b)).ravel().astype(float))
 
 
 def read_vectors(spark: SparkSession, folder: str, width: int | None = None) -> DataFrame:
-    """The vectors of a folder; rows of another width are refused when read."""
-    spark.dataSource.register(VectorSource)
-    df = spark.read.format("npy_vectors").load(folder)
+    """(key, features) of the .npy files of a folder; rows of another width are refused when read."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folder).select("path", "content")
+    df = raw.select(F.regexp_extract("path", r"([^/]+)\.npy$", 1).alias("key"), decoded("content").alias("features"))
     if width is not None:
         fits = F.when(F.size("features") == width, F.col("features")).otherwise(F.raise_error(F.concat(F.lit("wrong width of "), "key")).cast("array<double>"))
         df = df.select("key", fits.alias("features"))

@@ -241,13 +241,13 @@ def test_filters(spark):
 
 def test_sources(spark, tmp_path):
     with pytest.raises(files.MissingArtifact, match="made by: labels"):
-        files.require(str(tmp_path / "no.parquet"), "labels")
+        files.require(spark, str(tmp_path / "no.parquet"), "labels")
     with pytest.raises(ValueError, match="pool"):
         files.check_provenance({"pool": "x", "n_samples": 1, "passed": True}, "y", 1)
     with pytest.raises(ValueError, match="gaps"):
         files.embedding_array(spark.createDataFrame([(1.0, 2.0)], "e0000 double, e0002 double"))
     with pytest.raises(ValueError, match="checks failed"):
-        sinks.write_manifest(str(tmp_path / "m.json"), 0.0, {}, {"a": True, "b": False})
+        sinks.write_manifest(spark, str(tmp_path / "m.json"), 0.0, {}, {"a": True, "b": False})
     import numpy as np
 
     from sampleloom.sources import vectors
