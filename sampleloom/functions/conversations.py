@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,35 @@ def prompt(question: Column, answer: Column, system: str = "") -> Column:
     return F.concat(F.lit(system + " " if system else ""), F.lit("USER: "), hoisted, F.lit(" ASSISTANT: "), answer, F.lit("</s>"))
 
 
+#: Name of a prompt format -> function (question, answer) -> text.
+FORMATS: dict[str, Callable[[Column, Column], Column]] = {}
+
+
+def prompt_format(name: str):
+    def add(f):
+        if name in FORMATS:
+            raise ValueError(f"two formats named {name}")
+        FORMATS[name] = f
+        return f
+
+    return add
+
+
+@prompt_format("chat")
+def chat(question: Column, answer: Column) -> Column:
+    return prompt(question, answer)
+
+
+@prompt_format("plain")
+def plain(question: Column, answer: Column) -> Column:
+    return F.concat(question, F.lit("\n"), answer)
+
+
+@prompt_format("instruction")
+def instruction(question: Column, answer: Column) -> Column:
+    return F.concat(F.lit("### Instruction:\n"), question, F.lit("\n### Response:\n"), answer)
+
+
 def tokens(text: Column) -> Column:
     """Words between blanks, standing in for a tokenizer."""
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sampleloom.operators.order import global_rank
+from sampleloom.operators.order import global_rank, running
 from sampleloom.operators.windows import ranked
 
 
@@ -88,11 +88,30 @@ def exact_thresholds(df: DataFrame, by: str, value: str, least: int = 5, most: i
     return cut.where((F.col("m").between(least, most)) & (F.col(value) > F.col("threshold")) & (F.col("_next") <= F.col("threshold"))).select(by, F.col("m").cast("int").alias("m"), "threshold")
 
 
+#: Steps through the pairs of a group; the first that shares no factor with their number visits each once.
+STEPS = (7919, 104729, 1299709, 15485863, 179424673)
+
+
 def unordered_pairs(df: DataFrame, by: str, name: str, k: int, seed: str) -> DataFrame:
-    """k different unordered pairs of each group, by hash; meant for groups of a few dozen names at most."""
-    a, b = df.select(by, F.col(name).alias("a")).distinct(), df.select(by, F.col(name).alias("b")).distinct()
-    pairs = a.join(b, by).where("a < b").withColumn("_h", draw_key(seed, by, "a", "b"))
-    return ranked(pairs, F.col("_h"), by=[by], out="_k").where(F.col("_k") <= k).drop("_h", "_k")
+    """k different unordered pairs of each group (all, if there are fewer), by hash; no other pair is ever made.
+
+    The n (n - 1) / 2 pairs of a group are numbered; from a start by hash, a step prime to their number gives k different
+    numbers, and each number names its two places in the order of names. Null names are left out.
+    """
+    names = df.select(by, name).where(F.col(name).isNotNull() & F.col(by).isNotNull()).distinct()
+    placed = running(names, [F.col(name)], {"_i": F.lit(1).cast("long")}, [by])
+    groups = placed.groupBy(by).agg(F.max("_i").alias("_n")).withColumn("_m", F.expr("(_n * (_n - 1)) div 2")).where("_m > 0")
+    start = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(by).cast("string"))), 1, 15), 16, 10).cast("long"), F.col("_m"))
+    step = F.coalesce(*(F.when(F.col("_m") % p != 0, F.lit(p)) for p in STEPS), F.lit(1)).cast("long")
+    turns = F.sequence(F.lit(0).cast("long"), F.least(F.col("_m"), F.lit(k)) - 1)
+    picked = groups.select(by, "_n", "_m", start.alias("_s"), step.alias("_t"), F.explode(turns).alias("_j")).withColumn("_p", F.pmod(F.col("_s") + F.col("_j") * F.col("_t"), F.col("_m")))
+    m = 2 * F.col("_n") - 1
+    a = F.floor((m - F.sqrt((m * m - 8 * F.col("_p")).cast("double"))) / 2)
+    first = lambda c: F.expr(f"({c} * (2 * _n - {c} - 1)) div 2")
+    x = picked.withColumn("_a", a).withColumn("_a", F.when(first("_a") > F.col("_p"), F.col("_a") - 1).when(first("(_a + 1)") <= F.col("_p"), F.col("_a") + 1).otherwise(F.col("_a")))
+    x = x.select(by, (F.col("_a") + 1).alias("_x"), (F.col("_p") - first("_a") + F.col("_a") + 2).alias("_y"))
+    left, right = (placed.select(by, F.col("_i").alias(c), F.col(name).alias(n)) for c, n in (("_x", "a"), ("_y", "b")))
+    return x.join(left, [by, "_x"]).join(right, [by, "_y"]).select(by, "a", "b")
 
 
 def longest_match(text: str, df: DataFrame, vocabulary: list[str]) -> DataFrame:

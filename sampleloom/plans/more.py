@@ -36,6 +36,14 @@ def p01(s, d):
     return table(s, d, "generation_plan").groupBy("category").agg(F.count("*").alias("n")).withColumn("known", F.col("category").isin(sorted(questions.REGISTRY)))
 
 
+@query("ask13_formats", """SELECT line_no, unnest(['chat', 'instruction', 'plain']) AS format, unnest(['USER: ' || trim(filled_question, ' ') || ' ASSISTANT: ' || gt_answer || '</s>', '### Instruction:' || chr(10) || filled_question || chr(10) || '### Response:' || chr(10) || gt_answer, filled_question || chr(10) || gt_answer]) AS text FROM generation_results""")
+def p13(s, d):
+    from sampleloom.functions.conversations import FORMATS
+
+    texts = F.array(*(F.struct(F.lit(n).alias("format"), f(F.col("filled_question"), F.col("gt_answer")).alias("text")) for n, f in sorted(FORMATS.items())))
+    return table(s, d, "generation_results").select("line_no", F.explode(texts).alias("p")).select("line_no", "p.*")
+
+
 @query("s34_axis_agreement", f"WITH {DE} SELECT (SELECT count(*) FROM de) = (SELECT count(DISTINCT sample_index) FROM per_sample_de) AS same_samples, (SELECT count(*) FROM de WHERE len(top_up_genes) <> len(top_up_z)) = 0 AS same_lengths")
 def s34(s, d):
     x = de(s, d)
@@ -169,6 +177,17 @@ _SYMBOLS = r"list_filter(list_distinct(regexp_extract_all(coalesce({}, ''), '[A-
 _A, _T = _SYMBOLS.format("paraphrased_answer"), _SYMBOLS.format("gt_answer")
 
 
+_WORDS_A, _WORDS_T = (f"list_distinct(string_split({_PLAIN.format(c)}, ' '))" for c in ("paraphrased_answer", "gt_answer"))
+
+
+@query("ask12_scorers", f"""SELECT line_no, unnest(['exact', 'overlap', 'symbols']) AS scorer, round(unnest([({_PLAIN.format('paraphrased_answer')} = {_PLAIN.format('gt_answer')})::INTEGER::DOUBLE, len(list_intersect({_WORDS_A}, {_WORDS_T})) / len(list_distinct(list_concat({_WORDS_A}, {_WORDS_T}))), len(list_intersect({_A}, {_T})) / greatest(len({_T}), 1)]), 8) AS score FROM generation_results WHERE status = 'ok'""")
+def p12(s, d):
+    from sampleloom.qa.scorers import scored as by_scorers
+
+    g = table(s, d, "generation_results").where("status = 'ok'")
+    return by_scorers(g, "line_no", "paraphrased_answer", "gt_answer").withColumn("score", F.round("score", 8))
+
+
 @query("m36_generation_metrics", f"SELECT category, count(*) AS n, round(avg(({_PLAIN.format('paraphrased_answer')} = {_PLAIN.format('gt_answer')})::INTEGER), 6) AS exact, round(avg(len(list_intersect({_A}, {_T})) / greatest(len({_T}), 1)), 6) AS symbol_recall, round(avg((trim(coalesce(paraphrased_answer, ''), ' ') <> '')::INTEGER), 6) AS parse_rate FROM generation_results WHERE status = 'ok' GROUP BY 1")
 def m36(s, d):
     g = table(s, d, "generation_results").where("status = 'ok'")

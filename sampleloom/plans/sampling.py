@@ -108,7 +108,12 @@ def t15(s, d):
     return op.longest_match("text", table(s, d, "documents"), ["heart", "heart failure", "heart failure with"]).select("doc_id", "match")
 
 
-@query("t16_pairs", "WITH n AS (SELECT DISTINCT batch_id, tissue_coarse AS t FROM plan_target), p AS (SELECT a.batch_id, a.t AS a, b.t AS b FROM n a JOIN n b ON a.batch_id = b.batch_id AND a.t < b.t) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY md5(concat_ws('|', 'pair', batch_id::VARCHAR, a, b))) <= 4")
+@query(
+    "t16_pairs",
+    """WITH n AS (SELECT DISTINCT batch_id, tissue_coarse AS t FROM plan_target WHERE batch_id IS NOT NULL AND tissue_coarse IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY t) AS i FROM n), g AS (SELECT batch_id, (count(*) * (count(*) - 1)) // 2 AS m FROM n GROUP BY 1),
+    q AS (SELECT batch_id, m, ('0x' || substr(md5('pair|' || batch_id), 1, 15))::BIGINT % m AS s, CASE WHEN m % 7919 <> 0 THEN 7919 ELSE 104729 END AS st FROM g WHERE m > 0), k AS (SELECT batch_id, (s + j * st) % m AS p FROM q, (SELECT unnest(range(4)) AS j) WHERE j < m),
+    a AS (SELECT x.batch_id, x.t AS a, y.t AS b, row_number() OVER (PARTITION BY x.batch_id ORDER BY x.i, y.i) - 1 AS p FROM r x JOIN r y ON x.batch_id = y.batch_id AND x.i < y.i) SELECT batch_id, a, b FROM a JOIN k USING (batch_id, p)""",
+)
 def t16(s, d):
     return op.unordered_pairs(table(s, d, "plan_target"), "batch_id", "tissue_coarse", 4, "pair")
 

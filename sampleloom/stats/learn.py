@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml import Estimator
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sampleloom.operators.sampling import snake_folds
+from sampleloom.session import cut
 from sampleloom.stats.auc import pr_auc, roc_auc
 
 
@@ -25,12 +28,13 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return df.join(n, label).crossJoin(F.broadcast(total)).withColumn("_w", F.col("_t") / (F.col("_k") * F.col("_c"))).drop("_c", "_t", "_k")
 
 
-def probe(df: DataFrame, features: str, label: str, fold: str, folds: int, least: int = 25, elastic: float = 0.0, reg: float = 1e-3, pca: int | None = None, key: str = "key", layers: list[int] | None = None) -> DataFrame:
+def probe(df: DataFrame, features: str, label: str, fold: str, folds: int, least: int = 25, elastic: float = 0.0, reg: float = 1e-3, pca: int | None = None, key: str = "key", layers: list[int] | None = None, estimator: Callable[[str], Estimator] | None = None) -> DataFrame:
     """Out-of-fold (key, fold, label, score): scaled (and PCA-reduced) features, balanced weights, a fit per fold.
 
-    A fold whose training part has fewer than `least` rows of a class is skipped. `layers` fits a perceptron instead.
+    A fold whose training part has fewer than `least` rows of a class is skipped. `layers` fits a perceptron instead,
+    `estimator` (name of the features column -> estimator of column "label") any other.
     """
-    x = vectors(df.select(F.col(key).alias("key"), features, F.col(label).cast("double").alias("label"), F.col(fold).alias("fold")), features).drop(features).persist()
+    x = cut(vectors(df.select(F.col(key).alias("key"), features, F.col(label).cast("double").alias("label"), F.col(fold).alias("fold")), features).drop(features))
     out = None
     for k in range(folds):
         train, test = x.where(F.col("fold") != k), x.where(F.col("fold") == k)
@@ -42,7 +46,9 @@ def probe(df: DataFrame, features: str, label: str, fold: str, folds: int, least
         if pca:
             p = PCA(k=pca, inputCol="_s", outputCol="_p").fit(train)
             train, test, col = p.transform(train), p.transform(test), "_p"
-        if layers:
+        if estimator:
+            model = estimator(col).fit(balanced(train, "label"))
+        elif layers:
             model = MultilayerPerceptronClassifier(layers=layers, featuresCol=col, labelCol="label", seed=7, maxIter=30).fit(train)
         else:
             model = LogisticRegression(featuresCol=col, labelCol="label", weightCol="_w", regParam=reg, elasticNetParam=elastic, standardization=False, maxIter=60).fit(balanced(train, "label"))
@@ -59,7 +65,7 @@ def searched_probe(df: DataFrame, features: str, label: str, group: str, fold: s
     Inner folds are dealt over the training groups only (fewer where these are few); the pair with the largest mean average
     precision, the first of equal ones, is fitted again to the whole training part.
     """
-    x = vectors(df.select(F.col(key).alias("key"), features, F.col(label).cast("double").alias("label"), F.col(group).alias("group"), F.col(fold).alias("fold")), features).drop(features).persist()
+    x = cut(vectors(df.select(F.col(key).alias("key"), features, F.col(label).cast("double").alias("label"), F.col(group).alias("group"), F.col(fold).alias("fold")), features).drop(features))
     pairs = [(r, e) for e in elastics for r in regs]
 
     def fitted(train: DataFrame, reg: float, elastic: float):
@@ -96,7 +102,7 @@ def searched_probe(df: DataFrame, features: str, label: str, group: str, fold: s
 
 def multiclass_probe(df: DataFrame, features: str, label: str, fold: str, folds: int, pca: int, reg: float, key: str = "key") -> DataFrame:
     """Out-of-fold (key, fold, label, p): scaled and PCA-reduced features, a multinomial fit per fold, each row scored once."""
-    x = vectors(df.select(F.col(key).alias("key"), features, F.col(label).cast("int").alias("label"), F.col(fold).alias("fold")), features).drop(features).persist()
+    x = cut(vectors(df.select(F.col(key).alias("key"), features, F.col(label).cast("int").alias("label"), F.col(fold).alias("fold")), features).drop(features))
     out = None
     for k in range(folds):
         train, test = x.where(F.col("fold") != k), x.where(F.col("fold") == k)

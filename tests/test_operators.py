@@ -294,3 +294,42 @@ def test_correlation_with_missing_cells_against_brute_force(spark):
         assert {g: [x[1:] for x in sorted(v)] for g, v in got.items()} == {g: [(x[0] + 0.0, x[1]) for x in v] for g, v in want.items() if v}
     assert want["a"][0] == (-1.0, "b")
     assert expression.pearson_top(df.limit(0), 4).count() == 0
+
+
+def test_pairs_are_different_and_all_if_there_are_few(spark):
+    df = spark.createDataFrame([(g, f"n{k:03d}") for g, n in (("one", 1), ("two", 2), ("five", 5), ("many", 300)) for k in range(n)] + [("five", "n000"), ("five", None), (None, "x")], "g string, name string")
+    got = {}
+    for r in sampling.unordered_pairs(df, "g", "name", 40, "s").collect():
+        got.setdefault(r["g"], []).append((r["a"], r["b"]))
+    assert {g: len(v) for g, v in got.items()} == {"two": 1, "five": 10, "many": 40} and all(len(set(v)) == len(v) and all(a < b for a, b in v) for v in got.values())
+
+
+def test_ranks_and_quantiles_over_ranges(spark):
+    from sampleloom.operators import order
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, float("nan"), *(float(k) for k in range(20))]), k) for k in range(3000)] + [("c", 5.0, -1), ("d", None, -2)]
+    df = spark.createDataFrame(rows, "g string, v double, k long")
+    ranked = order.global_rank(df, F.asc("v"), F.asc("k"), out="r").orderBy("r").collect()
+    key = lambda r: (r["v"] is not None, r["v"] is not None and r["v"] != r["v"], r["v"] if r["v"] == r["v"] else 0, r["k"])
+    assert [r["r"] for r in ranked] == list(range(1, len(rows) + 1)) and ranked == sorted(ranked, key=key)
+    got = {r["g"]: r["q"] for r in order.quantiles(df, "v", [0.0, 1 / 3, 0.5, 0.9, 1.0], ["g"]).collect()}
+    for g in ("a", "b", None, "c"):
+        v = sorted(x for h, x, _ in rows if h == g and x is not None and x == x)
+        for p, q in zip((0.0, 1 / 3, 0.5, 0.9, 1.0), got[g]):
+            at = p * (len(v) - 1)
+            low, high = v[math.floor(at)], v[math.ceil(at)]
+            assert abs(q - (low + (at - math.floor(at)) * (high - low))) < 1e-9
+    assert set(got) == {"a", "b", "c", None}
+    assert order.quantiles(df.limit(0), "v", [0.5]).first()["q"] == [None] and order.global_rank(df.limit(0), F.asc("k")).count() == 0
+
+
+def test_a_probe_with_an_estimator_of_ones_own(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    from sampleloom.stats import learn
+
+    df = spark.createDataFrame([(k, [float(k % 2), float(k % 7)], k % 2, k % 3) for k in range(300)], "key long, x array<double>, y int, fold int")
+    p = learn.probe(df, "x", "y", "fold", 3, estimator=lambda col: DecisionTreeClassifier(featuresCol=col, labelCol="label", seed=1))
+    rows = p.collect()
+    assert len(rows) == 300 and all((r["score"] > 0.5) == (r["label"] == 1) for r in rows)
