@@ -1,4 +1,5 @@
-"""Small dense kernels that Spark lacks: average linkage and exact t-SNE, both for bounded numbers of points."""
+"""Small dense kernels that Spark lacks: average linkage of a bounded number of items; exact t-SNE of a bounded number of
+landmarks, by which any number of rows is placed."""
 
 from __future__ import annotations
 
@@ -8,8 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-#: Most points of either kernel.
+from sampleloom.session import cut
+
+#: Most items of a clustering, which sees all their pairs.
 MOST = 2000
+#: Rows that are embedded exactly; where there are more, the others are placed among so many by hash.
+LANDMARKS = 5000
+#: Landmarks by which a row is placed.
+NEAREST = 10
 
 
 def average_linkage(distance: np.ndarray) -> list[tuple[int, int, float, int]]:
@@ -61,7 +68,7 @@ def tsne(x: np.ndarray, perplexity: float = 20.0, steps: int = 250, seed: int =
     n = len(x)
     s = (x * x).sum(1)
     d = np.maximum(s[:, None] + s[None, :] - 2 * x @ x.T, 0)
-    p = np.zeros((n, n))
+    x, d, p = x.astype(np.float32), d.astype(np.float32), np.zeros((n, n), np.float32)
     for i in range(n):
         lo, hi, beta, row = 0.0, np.inf, 1.0, np.delete(d[i], i)
         for _ in range(50):
@@ -74,7 +81,7 @@ def tsne(x: np.ndarray, perplexity: float = 20.0, steps: int = 250, seed: int =
         p[i, np.arange(n) != i] = w / w.sum()
     p = np.maximum((p + p.T) / (2 * n), 1e-12)
     c = x - x.mean(0)
-    y = (np.linalg.svd(c, full_matrices=False)[0][:, :2]) * 1e-2
+    y = ((np.linalg.svd(c, full_matrices=False)[0][:, :2]) * 1e-2).astype(np.float32)
     v = np.zeros_like(y)
     for k in range(steps):
         t = y @ y.T
@@ -88,16 +95,38 @@ def tsne(x: np.ndarray, perplexity: float = 20.0, steps: int = 250, seed: int =
     return y
 
 
-def embedded(df: DataFrame, key: str, features: str) -> DataFrame:
-    """(key, x, y) by t-SNE in one task; refuses more than MOST rows."""
-    n = df.count()
-    if n > MOST:
-        raise ValueError(f"{n} rows; t-SNE takes {MOST} at most")
+def placed(x: np.ndarray, landmarks: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Each row at the mean of its nearest landmarks' places, weighted by a Gaussian of the distance to the farthest of them."""
+    d = np.maximum((x * x).sum(1)[:, None] + (landmarks * landmarks).sum(1)[None, :] - 2 * x @ landmarks.T, 0)
+    k = min(NEAREST, len(landmarks))
+    near = np.argpartition(d, k - 1, axis=1)[:, :k]
+    own = np.take_along_axis(d, near, 1)
+    w = np.exp(-own / np.maximum(own.max(1, keepdims=True), 1e-12) * 4)
+    return (w[:, :, None] * y[near]).sum(1) / w.sum(1)[:, None]
+
+
+def embedded(df: DataFrame, key: str, features: str, landmarks: int = LANDMARKS) -> DataFrame:
+    """(key, x, y) of every row by t-SNE: the `landmarks` rows of least hash are embedded exactly in one task (all rows, if
+    there are no more), the others are placed by their nearest landmarks. Rows without features have null places."""
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(features).cast("array<double>").alias("f"))
+    chosen = cut(rows.where("f is not null").orderBy(F.xxhash64("key"), "key").limit(landmarks))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key")
         y = tsne(np.stack(pdf["f"].to_list()).astype(float), min(20.0, max(2.0, (len(pdf) - 1) / 3)))
-        return pd.DataFrame({"key": pdf["key"], "x": y[:, 0], "y": y[:, 1]})
+        return pd.DataFrame({"key": pdf["key"], "f": pdf["f"], "x": y[:, 0].astype(float), "y": y[:, 1].astype(float)})
+
+    known = cut(chosen.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(run, "key long, f array<double>, x double, y double"))
+    table = known.toPandas()  # at most `landmarks` rows
+    places, at = np.stack(table["f"].to_list()) if len(table) else np.zeros((0, 1)), table[["x", "y"]].to_numpy()
+
+    def place(batches):
+        for pdf in batches:
+            out = np.full((len(pdf), 2), np.nan)
+            has = pdf["f"].notna().to_numpy()
+            if has.any():
+                out[has] = placed(np.stack(pdf["f"][has].to_list()).astype(float), places, at)
+            yield pd.DataFrame({"key": pdf["key"], "x": out[:, 0], "y": out[:, 1]})
 
-    one = df.select(F.col(key).cast("long").alias("key"), F.col(features).cast("array<double>").alias("f"), F.lit(1).alias("g"))
-    return one.groupBy("g").applyInPandas(run, "key long, x double, y double").withColumnRenamed("key", key)
+    others = rows.join(known.select("key"), "key", "left_anti").mapInPandas(place, "key long, x double, y double")
+    return known.select("key", "x", "y").unionByName(others).select(F.col("key").alias(key), F.nanvl("x", F.lit(None)).alias("x"), F.nanvl("y", F.lit(None)).alias("y"))

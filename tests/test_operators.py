@@ -333,3 +333,16 @@ def test_a_probe_with_an_estimator_of_ones_own(spark):
     p = learn.probe(df, "x", "y", "fold", 3, estimator=lambda col: DecisionTreeClassifier(featuresCol=col, labelCol="label", seed=1))
     rows = p.collect()
     assert len(rows) == 300 and all((r["score"] > 0.5) == (r["label"] == 1) for r in rows)
+
+
+def test_rows_beyond_the_landmarks_are_placed(spark):
+    from sampleloom.stats import embedding
+
+    rng = random.Random(12)
+    df = spark.createDataFrame([(k, [10.0 * (k % 2) + rng.random(), rng.random(), 5.0 * (k % 2)]) for k in range(240)] + [(999, None)], "k long, f array<double>")
+    rows = {r["k"]: (r["x"], r["y"]) for r in embedding.embedded(df, "k", "f", landmarks=80).collect()}
+    assert len(rows) == 241 and rows[999] == (None, None)
+    centre = [tuple(sum(rows[k][i] for k in range(240) if k % 2 == c) / 120 for i in (0, 1)) for c in (0, 1)]
+    near = lambda p, c: (p[0] - c[0]) ** 2 + (p[1] - c[1]) ** 2
+    assert sum(near(rows[k], centre[k % 2]) < near(rows[k], centre[1 - k % 2]) for k in range(240)) >= 230
+    assert embedding.embedded(df.limit(0), "k", "f").count() == 0
