@@ -3,8 +3,8 @@
 T is the sum of the sizes of all documents. A source's budget in a mix is target_weight x T, or max_repeat times its size
 where that is less (the mix can't be met then). It takes floor(budget / size) whole copies of each document and, for what
 is left, the documents below a hash threshold: sizes are summed by source and hash bucket, the bucket in which the rest
-ends is found, and only documents of that boundary bucket are ranked; all others are kept or not by comparing their
-bucket. No document is sorted, and thresholds of one source nest over mixes.
+ends is found and refined, and only documents of the boundary bucket are ranked; all others are kept or not by comparing
+their bucket. No document is sorted, and thresholds of one source nest over mixes.
 
 A null size counts 0 (such documents go with their hash like any other), a negative one too. Sources are compared in
 lower case without outer blanks; documents without a source count for T only. A null weight or max_repeat counts 0.
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sampleloom.functions.text import clean_lower
-from sampleloom.llm.hash_budget import boundaries, bucket, hash63
+from sampleloom.llm.hash_budget import boundaries, fine_bucket, hash63
 from sampleloom.operators.skew import join_dimension
 
 
@@ -47,9 +47,9 @@ def mix_selection(docs: DataFrame, mixes: DataFrame, doc: str = "doc_id", source
     plan = mix_plan(docs, mixes, doc, source, size)
     ends = boundaries(rows, plan.where("rest > 0").select("mix_id", "src", F.col("rest").alias("budget")), ["src"], ["mix_id"])
     plan = plan.select("mix_id", "src", "copies").join(ends, ["mix_id", "src"], "left").withColumn("b", F.coalesce("b", F.lit(-1)))
-    used = join_dimension(rows.withColumn("bucket", bucket(F.col("h"))), plan, ["src"]).where((F.col("copies") > 0) | (F.col("bucket") <= F.col("b")))
+    used = join_dimension(rows.withColumn("bucket", fine_bucket(F.col("h"))), plan, ["src"]).where((F.col("copies") > 0) | (F.col("bucket") <= F.col("b")))
     sure = used.where("bucket <> b").select("mix_id", "doc", "src", "weight", (F.col("copies") + (F.col("bucket") < F.col("b")).cast("int")).alias("times"))
-    upto = Window.partitionBy("mix_id", "src").orderBy("h", "doc").rowsBetween(Window.unboundedPreceding, 0)  # one bucket of 4096
+    upto = Window.partitionBy("mix_id", "src").orderBy("h", "doc").rowsBetween(Window.unboundedPreceding, 0)  # one fine bucket of a source
     edge = used.where("bucket = b").withColumn("sum", F.col("before") + F.sum("weight").over(upto))
     # a document goes in while at least half of it fits the budget
     edge = edge.select("mix_id", "doc", "src", "weight", (F.col("copies") + (F.col("sum") - F.col("weight") / 2 <= F.col("budget")).cast("int")).alias("times"))
