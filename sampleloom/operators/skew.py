@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,7 +152,8 @@ def join_dimension(rows: DataFrame, small: DataFrame, keys: list[str], how: str
     if broadcastable(small):
         return rows.join(F.broadcast(small), keys, how)
     packed = fresh_name("key", [*rows.columns, *small.columns])
-    whole = lambda df: df.withColumn(packed, F.to_json(F.struct(*keys)))
+    known = reduce(Column.__and__, (F.col(k).isNotNull() for k in keys))
+    whole = lambda df: df.withColumn(packed, F.when(known, F.to_json(F.struct(*keys))))
     return fragment_replicate_join(whole(rows), whole(small).drop(*keys), packed, how).drop(packed)
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from sampleloom.operators import sampling, windows
-from sampleloom.operators.joins import provenance_union
+from sampleloom.operators.joins import alias_rescue, provenance_union
 from sampleloom.plans.common import DE, EMB, LAB, de, emb, lab
 from sampleloom.qa import corpus, questions
 from sampleloom.registry import query
@@ -185,12 +185,20 @@ def q09(s, d):
 
 
 @query("q11_curated_pool", f"""WITH {DE}, up AS (SELECT gene, row_number() OVER (ORDER BY n DESC, gene) AS r FROM (SELECT gene, count(*) AS n FROM (SELECT unnest(top_up_genes) AS gene FROM de) GROUP BY 1)), gr AS (SELECT partner AS gene, row_number() OVER (ORDER BY k DESC, partner) AS r FROM (SELECT partner, count(DISTINCT gene) AS k FROM coexpression_edges WHERE partner IS NOT NULL GROUP BY 1)),
-u AS (SELECT gene, 'up' AS w FROM up WHERE r <= 100 UNION SELECT gene, 'graph' FROM gr WHERE r <= 100) SELECT gene, bool_or(w = 'up') AS in_up, bool_or(w = 'graph') AS in_graph, count(*) AS n_sources FROM u WHERE NOT regexp_matches(gene, '^ENSG[0-9]+$') GROUP BY 1""")
+uni AS (SELECT DISTINCT partner AS gene FROM coexpression_edges WHERE partner IS NOT NULL), asked AS (SELECT g, regexp_replace(g, '-AS.*$', '') AS stem, row_number() OVER (ORDER BY n DESC, g) AS r FROM (SELECT entities['gene'] AS g, count(*) AS n FROM generation_plan GROUP BY 1) WHERE g IS NOT NULL),
+res AS (SELECT coalesce(a.gene, b.gene) AS gene FROM asked LEFT JOIN uni a ON a.gene = g LEFT JOIN uni b ON b.gene = stem WHERE r <= 100),
+u AS (SELECT gene, 'up' AS w FROM up WHERE r <= 100 UNION SELECT gene, 'graph' FROM gr WHERE r <= 100 UNION SELECT gene, 'asked' FROM res WHERE gene IS NOT NULL)
+SELECT gene, bool_or(w = 'up') AS in_up, bool_or(w = 'graph') AS in_graph, bool_or(w = 'asked') AS in_asked, count(*) AS n_sources FROM u WHERE NOT regexp_matches(gene, '^ENSG[0-9]+$') GROUP BY 1""")
 def q11(s, d):
+    """The genes raised most often, those most in the lists of others, and those asked for most, the last ones resolved to the
+    graph's names by themselves or by their stem; unannotated ones are left out."""
     up = de(s, d, "top_up_genes").select(F.explode("top_up_genes").alias("gene")).groupBy("gene").agg(F.count("*").alias("n"))
     graph = table(s, d, "coexpression_edges").where("partner is not null").groupBy(F.col("partner").alias("gene")).agg(F.countDistinct(F.col("gene")).alias("n"))
-    top = lambda x: windows.ranked(x, F.desc("n"), F.asc("gene"), out="r").where("r <= 100")
-    return provenance_union("gene", up=top(up), graph=top(graph)).where(~F.rlike("gene", F.lit("^ENSG[0-9]+$")))
+    asked = table(s, d, "generation_plan").select(F.col("entities")["gene"].alias("gene")).where("gene is not null").groupBy("gene").agg(F.count("*").alias("n"))
+    top = lambda x: x.orderBy(F.desc("n"), "gene").limit(100)  # noqa: E731  (a report of the first hundred)
+    named = top(asked).select("gene", F.array(F.regexp_replace("gene", "-AS.*$", "")).alias("aliases"))
+    resolved = alias_rescue(named, graph.select("gene"), "gene", "aliases").where("match is not null").select(F.col("match").alias("gene")).distinct()
+    return provenance_union("gene", up=top(up), graph=top(graph), asked=resolved).where(~F.rlike("gene", F.lit("^ENSG[0-9]+$")))
 
 
 @query("q13_loader_contract", "SELECT count(*) AS n_keys, sum(w)::BIGINT AS wrong_width, count_if(v > 1) AS vector_conflicts, count_if(t < n) AS repeated_texts FROM (SELECT label, count(*) AS n, count(DISTINCT embedding) AS v, count(DISTINCT vec_id) AS t, count_if(len(embedding) <> 64) AS w FROM embeddings GROUP BY 1)")

@@ -51,14 +51,31 @@ def s34(s, d):
     return x.agg(F.count("*").alias("n"), F.count_if(F.size("top_up_genes") != F.size("top_up_z")).alias("bad")).crossJoin(n).select((F.col("n") == F.col("m")).alias("same_samples"), (F.col("bad") == 0).alias("same_lengths"))
 
 
-@query("s32_synthetic_counts")
+def _unit_sql(*parts: str) -> str:
+    return f"((('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656)"
+
+
+def _normal_sql(*parts: str) -> str:
+    a, b = (_unit_sql(*parts, f"'{x}'") for x in "ab")
+    return f"sqrt(-2 * ln({a})) * cos(2 * pi() * {b})"
+
+
+_G, _S = "gene::VARCHAR", "sample_index::VARCHAR"
+
+
+@query("s32_synthetic_counts", f"WITH g AS (SELECT unnest(range(200)) AS sample_index), c AS (SELECT sample_index, unnest(range(50))::INTEGER AS gene FROM g), m AS (SELECT *, exp(1.8 * {_normal_sql(_G, chr(39) + 'g' + chr(39))}) * exp(0.5 * {_normal_sql(_S, chr(39) + 's' + chr(39))}) AS mean FROM c) SELECT sample_index, gene, greatest(floor(mean + sqrt(mean) * {_normal_sql(_S, _G)} + 0.5), 0)::BIGINT AS n FROM m")
 def s32(s, d):
     """Counts of a synthetic cohort: log-normal gene means and sample scales from hashes, so the same everywhere."""
-    u = lambda *c: (F.pmod(F.xxhash64(*c), F.lit(1 << 30)).cast("double") + 0.5) / F.lit(float(1 << 30))
-    normal = lambda *c: F.sqrt(-2 * F.ln(u(*c, F.lit("a")))) * F.cos(F.lit(2 * np.pi) * u(*c, F.lit("b")))
+    def unit(*c):
+        return (F.conv(F.substring(F.md5(F.concat_ws("|", *(x.cast("string") for x in c))), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
+
+    def normal(*c):
+        return F.sqrt(-2 * F.ln(unit(*c, F.lit("a")))) * F.cos(F.lit(2 * np.pi) * unit(*c, F.lit("b")))
+
+    gene, sample = F.col("gene"), F.col("sample_index")
     grid = s.range(200).withColumnRenamed("id", "sample_index").select("sample_index", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("gene"))
-    mean = F.exp(1.8 * normal(F.col("gene"), F.lit("g"))) * F.exp(0.5 * normal(F.col("sample_index"), F.lit("s")))
-    return grid.select("sample_index", "gene", F.greatest(F.round(mean + F.sqrt(mean) * normal(F.col("sample_index"), F.col("gene"))), F.lit(0.0)).cast("long").alias("n"))
+    mean = F.exp(1.8 * normal(gene, F.lit("g"))) * F.exp(0.5 * normal(sample, F.lit("s")))
+    return grid.withColumn("mean", mean).select("sample_index", "gene", F.greatest(F.floor(F.col("mean") + F.sqrt("mean") * normal(sample, gene) + 0.5), F.lit(0)).cast("long").alias("n"))
 
 
 @query("k09_resumed_scan", "SELECT doc_id, length(text)::BIGINT AS n FROM documents")

@@ -74,7 +74,7 @@ def test_only_what_is_small_in_bytes_is_broadcast(spark, monkeypatch):
 
 def test_join_with_a_dimension(spark, monkeypatch):
     left = spark.createDataFrame([(1, "a", k) for k in range(3000)] + [(2, "b", 1), (None, "a", 2)], "b int, c string, x long")
-    small = spark.createDataFrame([(1, "a", 7), (2, "b", 8), (3, "z", 9)], "b int, c string, y int")
+    small = spark.createDataFrame([(1, "a", 7), (2, "b", 8), (3, "z", 9), (None, "a", 5)], "b int, c string, y int")
     want = left.join(small, ["b", "c"])
     for most in (100_000, 1):
         monkeypatch.setattr(skew, "MAX_HEAVY", most)
