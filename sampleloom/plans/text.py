@@ -108,7 +108,21 @@ def x21(s, d):
     return table(s, d, "generation_results").select("line_no", an.fill(F.lit("Rewrite. QUESTION: {q} ANSWER: {a}"), {"q": F.col("filled_question"), "a": F.col("gt_answer")}).alias("prompt"))
 
 
-@query("x22_completion")
+_LABEL = r"(?i)^[^\p{L}\p{N}]*(question|answer)[^\p{L}\p{N}]*:[\s\x{A0}]*"
+_BLANKS = r"(E' \t\n\r' || chr(160))"
+
+
+@query(
+    "x22_completion",
+    f"""WITH t AS (SELECT line_no, '**QUESTION:** ' || paraphrased_question || chr(10) || 'ANSWER: ' || paraphrased_answer AS t FROM generation_results),
+    l AS (SELECT line_no, unnest(range(len(string_split(t, chr(10))))) AS i, unnest(string_split(t, chr(10))) AS line FROM t WHERE t IS NOT NULL),
+    m AS (SELECT *, lower(regexp_extract(line, '{_LABEL}', 1)) AS lab, trim(regexp_replace(line, '{_LABEL}', ''), {_BLANKS}) AS rest FROM l),
+    c AS (SELECT *, last_value(nullif(lab, '') IGNORE NULLS) OVER (PARTITION BY line_no ORDER BY i ROWS UNBOUNDED PRECEDING) AS part FROM m WHERE lab <> '' OR trim(line, {_BLANKS}) <> ''),
+    p AS (SELECT line_no, trim(trim(coalesce(string_agg(rest, ' ' ORDER BY i) FILTER (part = 'question'), ''), {_BLANKS}), ' *_') AS q, trim(trim(coalesce(string_agg(rest, ' ' ORDER BY i) FILTER (part = 'answer'), ''), {_BLANKS}), ' *_') AS a FROM c GROUP BY 1)
+    SELECT t.line_no, CASE WHEN t IS NULL THEN 'error' WHEN q = '' OR a = '' THEN 'error' WHEN regexp_matches(a, '(?i)^[^\\p{{L}}\\p{{N}}_]*skip\\b') THEN 'skip' ELSE 'ok' END AS status, nullif(q, '') AS question,
+      CASE WHEN regexp_matches(a, '(?i)^[^\\p{{L}}\\p{{N}}_]*skip\\b') AND q <> '' THEN NULL ELSE nullif(a, '') END AS answer, CASE WHEN t IS NULL THEN 'empty' WHEN q = '' OR a = '' THEN 'missing label' WHEN regexp_matches(a, '(?i)^[^\\p{{L}}\\p{{N}}_]*skip\\b') THEN 'skip in answer' END AS anomaly
+    FROM t LEFT JOIN p USING (line_no)""",
+)
 def x22(s, d):
     g = table(s, d, "generation_results").select("line_no", F.concat(F.lit("**QUESTION:** "), "paraphrased_question", F.lit("\nANSWER: "), "paraphrased_answer").alias("t"))
     return g.select("line_no", an.parse_completion("t").alias("p")).select("line_no", "p.*")
