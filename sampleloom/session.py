@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables that `cut` has written and nobody has discarded.
+_WRITTEN: set[str] = set()
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings its own."""
     return (
@@ -52,16 +56,30 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    _WRITTEN.add(path)
     return out
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.discard(path)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the table that `cut` wrote for df, which must not be read any more."""
     path = getattr(df, "_cut_path", None)
     if path is not None:
-        sc = df.sparkSession.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        _remove(df.sparkSession, path)
+
+
+def discard_all(spark: SparkSession) -> int:
+    """Remove every table that `cut` has written in this process and that is still there, once no result is read any more."""
+    paths = list(_WRITTEN)
+    for path in paths:
+        _remove(spark, path)
+    return len(paths)
 
 
 def fresh_name(stem: str, taken: list[str]) -> str:

@@ -346,3 +346,14 @@ def test_rows_beyond_the_landmarks_are_placed(spark):
     near = lambda p, c: (p[0] - c[0]) ** 2 + (p[1] - c[1]) ** 2
     assert sum(near(rows[k], centre[k % 2]) < near(rows[k], centre[1 - k % 2]) for k in range(240)) >= 230
     assert embedding.embedded(df.limit(0), "k", "f").count() == 0
+
+
+def test_cuts_can_be_discarded(spark):
+    from sampleloom import session
+    from sampleloom.sources import store
+
+    session.discard_all(spark)
+    a, b = session.cut(spark.range(5)), session.cut(spark.range(0).selectExpr("id", "map('a', id) as m"))
+    assert a.count() == 5 and b.count() == 0 and b.columns == ["id", "m"] and store.size_of(spark, a._cut_path) > 0
+    session.discard(a)
+    assert store.size_of(spark, a._cut_path) is None and session.discard_all(spark) == 1 and store.size_of(spark, b._cut_path) is None
