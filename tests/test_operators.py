@@ -203,7 +203,7 @@ def test_every_fold_is_nested_and_scored(spark):
     import __spark_entry__ as entry
 
     d = "/root/testdata/sf0.001"
-    nested = entry.queries()["m02_nested_folds_all"](spark, d).collect()
+    nested = entry.queries()["m02_nested_folds"](spark, d).collect()
     n = spark.read.parquet(f"{d}/embeddings.parquet").count()
     assert {(r["outer_fold"], r["inner_fold"]) for r in nested} == {(o, i) for o in range(3) for i in range(2)} and sum(r["n"] for r in nested) == 2 * n
     scored = entry.queries()["m06_multiclass_probe"](spark, d).collect()
