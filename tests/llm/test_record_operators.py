@@ -65,6 +65,14 @@ def test_components_of_a_long_chain(spark):
     assert len(roots) == n + 3 and {roots[k] for k in roots if k[0] == "k"} == {"k000"} and roots["z2"] == "z1"
 
 
+def test_components_of_a_large_star(spark):
+    """The root's cluster is large enough to be joined apart."""
+    star = spark.range(1, 12_001).selectExpr("'k00000' as a", "concat('k', lpad(id, 5, '0')) as b")
+    edges = star.unionByName(spark.createDataFrame([("z1", "z2"), ("z2", "z3"), ("z1", "z2")], "a string, b string"))
+    roots = split_groups.hash_to_min(edges).groupBy("root").count().collect()
+    assert {r["root"]: r["count"] for r in roots} == {"k00000": 12_001, "z1": 3}
+
+
 def test_splits_keep_ties_and_shares(spark):
     samples = [(k, f"A{k}", f"GSE{k // 3}") for k in range(3000)] + [(5000, "A1", None), (5001, None, None)]
     labels = [(k, f"P{k // 6}", True) for k in range(600)]
