@@ -304,9 +304,12 @@ def test_pairs_are_different_and_all_if_there_are_few(spark):
     assert {g: len(v) for g, v in got.items()} == {"two": 1, "five": 10, "many": 40} and all(len(set(v)) == len(v) and all(a < b for a, b in v) for v in got.values())
 
 
-def test_ranks_and_quantiles_over_ranges(spark):
+@pytest.mark.parametrize("small", [0, 1 << 62])
+def test_ranks_and_quantiles_over_ranges(spark, monkeypatch, small):
     from sampleloom.operators import order
 
+    monkeypatch.setattr(order, "_estimated_bytes", lambda df: 1)
+    monkeypatch.setattr(order, "SMALL", small)
     rng = random.Random(6)
     rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, float("nan"), *(float(k) for k in range(20))]), k) for k in range(3000)] + [("c", 5.0, -1), ("d", None, -2)]
     df = spark.createDataFrame(rows, "g string, v double, k long")
