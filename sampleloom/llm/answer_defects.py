@@ -99,7 +99,7 @@ def facts(c: Column) -> Column:
 
 def _still_missing(missing: Column, answer: Column, words: Column) -> Column:
     """Missing facts that the answer doesn't have in words, with a decimal comma or with commas between thousands either."""
-    said = F.create_map(*(F.lit(x) for pair in NUMBER_WORDS.items() for x in pair))
+    said = F.expr(f"map({_listed(x for pair in NUMBER_WORDS.items() for x in pair)})")
     padded = F.concat(F.lit(" "), words, F.lit(" "))
     left = F.filter(missing, lambda x: ~F.coalesce(F.contains(padded, F.concat(F.lit(" "), F.element_at(said, x), F.lit(" "))), F.lit(False)))
     left = F.array_except(left, facts(F.regexp_replace(answer, "(?<=[0-9]),(?=[0-9]{3}(?![0-9]))", "")))
@@ -116,16 +116,23 @@ def _values_missing(truth: Column, words: Column) -> Column:
     return F.when(F.rlike(truth, F.lit(r"(?s)[:=].*[;|\r\n].*[:=]")) & (F.size(parts) >= 2), F.size(lost)).otherwise(0)
 
 
-def _hits(words: Column, vocabulary: list[str]) -> Column:
-    return F.size(F.filter(F.array_distinct(F.split(words, " ")), lambda x: x.isin(vocabulary)))
+def _listed(words) -> str:
+    """A list of plain words as SQL: parsed at once, where a literal each would take a call each."""
+    return ", ".join(f"'{w}'" for w in words)
 
 
-def _unlike_english(words: Column, known: Column) -> Column:
+def _hits(words: str, vocabulary: list[str]) -> Column:
+    """How many different words of a column the vocabulary has."""
+    return F.expr(f"size(filter(array_distinct(split({words}, ' ')), x -> x in ({_listed(vocabulary)})))")
+
+
+def _unlike_english(words: str, known: Column) -> Column:
     """Four words or more that the pair hasn't elsewhere, with few of the three-letter sequences of English."""
-    own = F.array_except(F.filter(F.array_distinct(F.split(words, " ")), lambda x: F.rlike(x, F.lit(r"^[\p{L}\p{M}]{2,}$"))), F.split(known, " "))
+    own = F.array_except(F.expr(rf"filter(array_distinct(split({words}, ' ')), x -> x rlike r'^[\p{{L}}\p{{M}}]{{2,}}$')"), F.split(known, " "))
     parts = F.flatten(F.transform(own, lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda k: F.substring(F.concat(F.lit(" "), x, F.lit(" ")), k, F.lit(3)))))
-    english = sorted(trigrams(ENGLISH_TEXT))
-    share = F.size(F.filter(parts, lambda x: x.isin(english))) / F.size(parts)
+    english = F.split(F.lit("|".join(sorted(trigrams(ENGLISH_TEXT)))), "[|]")
+    # common parts by hash, not one by one
+    share = 1 - F.size(F.array_except(parts, english)) / F.greatest(F.size(F.array_distinct(parts)), F.lit(1))
     return ((F.size(own) >= 4) & (share < 0.36)) | ((F.size(own) >= 6) & (share < 0.48))
 
 
@@ -143,9 +150,9 @@ def with_features(df: DataFrame, question: str, filled: str, answer: str, truth:
     # figures that the answer has and the questions don't
     added = F.filter(F.array_except(F.array_except("_g", "_m"), facts(F.concat_ws(" ", F.col(question), F.col(filled)))), lambda x: F.rlike(x, F.lit("^[0-9]")))
     f = f.withColumn("_added", F.when(F.col("_missing") > 0, F.size(added)).otherwise(F.col("_facts")))
-    f = f.withColumn("_english", _hits(F.col("_w"), english)).withColumn("_other", _hits(F.col("_w"), others))
+    f = f.withColumn("_english", _hits("_w", english)).withColumn("_other", _hits("_w", others))
     known = F.concat_ws(" ", plain_words(F.col(question)), plain_words(F.col(filled)), plain_words(F.col(truth)))
-    return f.withColumn("_strange", F.when(F.col("_english") <= 1, _unlike_english(F.col("_w"), known)).otherwise(False))
+    return f.withColumn("_strange", F.when(F.col("_english") <= 1, _unlike_english("_w", known)).otherwise(False))
 
 
 def _rules() -> dict[str, Column]:
