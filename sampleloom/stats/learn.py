@@ -1,19 +1,19 @@
-"""Learners on our own grouped folds; all fits are pyspark.ml, sizes of what they see stay those of the inputs."""
+"""Learners on our own grouped folds; fits are pyspark.ml, those of a search step together (`elastic.py`); sizes of what they see stay those of the inputs."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.ml import Estimator
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sampleloom.operators.sampling import snake_folds
-from sampleloom.session import cut
+from sampleloom.session import cut, discard
+from sampleloom.stats import elastic as elastic_fits
 from sampleloom.stats.auc import pr_auc, roc_auc
 
 
@@ -63,41 +63,36 @@ def searched_probe(df: DataFrame, features: str, label: str, group: str, fold: s
     """Out-of-fold (key, fold, label, score, reg, elastic): an elastic net per fold, its pair the best on inner grouped folds.
 
     Inner folds are dealt over the training groups only (fewer where these are few); the pair with the largest mean average
-    precision, the first of equal ones, is fitted again to the whole training part.
+    precision, the first of equal ones, is fitted again to the whole training part. All fits of the search step together, and
+    so do the last ones, so that the passes over the rows are those of one fit (see `stats/elastic.py`).
     """
-    x = cut(vectors(df.select(F.col(key).alias("key"), features, F.col(label).cast("double").alias("label"), F.col(group).alias("group"), F.col(fold).alias("fold")), features).drop(features))
-    pairs = [(r, e) for e in elastics for r in regs]
-
-    def fitted(train: DataFrame, reg: float, elastic: float):
-        return LogisticRegression(featuresCol="_s", labelCol="label", weightCol="_w", regParam=reg, elasticNetParam=elastic, standardization=False, maxIter=60).fit(train)
-
-    def scored(model, test: DataFrame, reg: float, elastic: float) -> DataFrame:
-        return model.transform(test).select("key", "fold", F.col("label").cast("int").alias("label"), F.get(vector_to_array("probability"), F.lit(1)).alias("score"), F.lit(reg).alias("reg"), F.lit(elastic).alias("elastic"))
-
-    def split(rows: DataFrame, test: Column) -> tuple[DataFrame, DataFrame]:
-        scaler = StandardScaler(withMean=True, inputCol="_x", outputCol="_s").fit(rows.where(~test))
-        return balanced(scaler.transform(rows.where(~test)), "label").persist(), scaler.transform(rows.where(test))
-
-    out = None
+    x = cut(df.select(F.col(key).alias("key"), F.col(features).cast("array<double>").alias("x"), F.col(label).cast("double").alias("label"), F.col(group).alias("group"), F.col(fold).alias("fold")))
+    seen = x.agg(F.max(F.size("x")).alias("d"), *(F.countDistinct(F.when(F.col("fold") != k, F.struct("group"))).alias(f"n{k}") for k in range(folds))).first()
+    if seen["d"] is None:
+        return x.select("key", "fold", F.col("label").cast("int").alias("label"), *(F.lit(None).cast("double").alias(c) for c in ("score", "reg", "elastic")))
+    n_inner = [inner if seen[f"n{k}"] >= inner else max(2, seen[f"n{k}"] - 1) for k in range(folds)]
+    parts, dealt = [], x
     for k in range(folds):
-        rows = x.where(F.col("fold") != k)
-        n_groups = rows.select("group").distinct().count()
-        n_inner = inner if n_groups >= inner else max(2, n_groups - 1)
-        rows = rows.join(snake_folds(rows, "group", n_inner, "in").select("group", F.col("fold").alias("inner")), "group").persist()
-        total = dict.fromkeys(pairs, 0.0)
-        for i in range(n_inner):
-            train, test = split(rows, F.col("inner") == i)
-            tried = reduce(DataFrame.unionByName, [scored(fitted(train, *p), test, *p) for p in pairs])
-            for r in pr_auc(tried, "label", "score", ["reg", "elastic"]).collect():  # a row per pair
-                total[r["reg"], r["elastic"]] += r["average_precision"] or 0.0
-            train.unpersist()
-        best = max(pairs, key=lambda p: total[p])
-        train, test = split(x, F.col("fold") == k)
-        part = scored(fitted(train, *best), test, *best)
-        out = part if out is None else out.unionByName(part)
-        train.unpersist()
-        rows.unpersist()
-    return out
+        dealt = dealt.join(snake_folds(x.where(F.col("fold") != k), "group", n_inner[k], "in").select("group", F.col("fold").alias(f"_in{k}")), "group", "left")
+        parts.append(F.when(F.col("fold") != k, F.coalesce(f"_in{k}", F.lit(elastic_fits.NONE))).otherwise(elastic_fits.TEST))
+    rows = cut(dealt.select("key", "x", "label", "fold", F.array(*parts).alias("part")))
+    discard(x)
+
+    pairs = [(r, e) for e in elastics for r in regs]
+    sets = [(k, i) for k in range(folds) for i in [*range(n_inner[k]), None]]
+    scaled = dict(zip(sets, elastic_fits.scales(rows, sets, seen["d"])))
+    if lost := [k for k in range(folds) if not (scaled[k, None][4] or scaled[k, None][5])]:
+        raise ValueError(f"no labels to train on outside of folds {lost}")
+    fits = [(s, p) for s in sets if s[1] is not None for p in pairs]
+    own, scales = [s for s, _ in fits], [scaled[s] for s, _ in fits]
+    tried = elastic_fits.tried(rows, own, scales, elastic_fits.fitted(rows, own, scales, [p for _, p in fits]))
+    precision = {r["fit"]: r["average_precision"] or 0.0 for r in pr_auc(tried, "label", "score", ["fit"]).collect()}  # a row per fit
+    total = {(k, p): 0.0 for k in range(folds) for p in pairs}
+    for f, ((k, _), p) in enumerate(fits):
+        total[k, p] += precision.get(f, 0.0)
+    best = [max(pairs, key=lambda p: total[k, p]) for k in range(folds)]
+    last = [(k, None) for k in range(folds)]
+    return elastic_fits.scored(rows, [scaled[s] for s in last], best, elastic_fits.fitted(rows, last, [scaled[s] for s in last], best))
 
 
 def multiclass_probe(df: DataFrame, features: str, label: str, fold: str, folds: int, pca: int, reg: float, key: str = "key") -> DataFrame:

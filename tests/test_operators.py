@@ -241,6 +241,47 @@ def test_the_grid_is_searched_on_inner_folds(spark):
     assert sorted(r["key"] for r in got) == list(range(160)) and {r["reg"] for r in got} == {0.01}
 
 
+def test_fits_of_a_search_share_their_passes(spark):
+    from sampleloom.stats import learn
+
+    rng = random.Random(3)
+    rows = [(k, k // 10, k // 10 % 2, k % 2 if k > 2 else None, [3 * (k % 2) + rng.gauss(0, 1), rng.gauss(0, 1), 1.0]) for k in range(160)]
+    df = spark.createDataFrame(rows, "key int, series int, fold int, y int, v array<double>")
+    spark.sparkContext.setJobGroup("search", "search")
+    try:
+        got = learn.searched_probe(df, "v", "y", "series", "fold", 2, regs=[0.1, 0.03, 0.01, 0.003], elastics=[0.1, 0.5, 0.9], inner=2).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r["key"] for r in got) == list(range(160)) and sum(r["label"] is None for r in got) == 3
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("search")) < 100  # 48 fits and 2 refits, a job a step if alone
+    assert auc.roc_auc(spark.createDataFrame([r for r in got if r["label"] is not None]), "label", "score").first()["auc"] > 0.9
+    assert learn.searched_probe(df.limit(0), "v", "y", "series", "fold", 2, regs=[0.1], elastics=[0.5]).count() == 0
+
+
+def test_fits_in_lockstep_are_those_of_pyspark(spark, monkeypatch):
+    from sampleloom.stats import elastic
+
+    rng = random.Random(5)
+    rows = []
+    for k in range(400):
+        y, a = k % 3 % 2, rng.gauss(0, 1)
+        rows.append(([y + a, rng.gauss(a, 1), rng.gauss(5, 3), 0.1, y + rng.gauss(0, 2)], None if k == 9 else float(y), [k // 7 % 3 - (k % 50 == 0) * 3, 0 if y and k != 9 else -1]))
+    one = spark.createDataFrame([(x, y, [elastic.NONE if p[0] < 0 else p[0], p[1]]) for x, y, p in rows], "x array<double>, label double, part array<int>").coalesce(1)
+    sets = [(0, 0), (0, 0), (0, 2), (0, None), (1, None)]
+    pairs = [(0.01, 0.5), (0.3, 0.9), (0.0, 0.0), (0.001, 0.1), (0.01, 0.5)]
+    want = elastic.fitted(one, sets, elastic.scales(one, sets, 5), pairs)
+    spread = one.repartition(3)
+    scales = elastic.scales(spread, sets, 5)
+    for name, value, digits in (("SUMS", 1, 1e-7), ("WIDE", 0, 2e-3)):  # a fit at a time, sums by a shuffle; pyspark.ml
+        with monkeypatch.context() as m:
+            m.setattr(elastic, name, value)
+            got = elastic.fitted(spread, sets, scales, pairs)
+        assert abs(got[:4] - want[:4]).max() < digits and got[4, 0] == want[4, 0] == math.inf and not got[4, 1:].any()
+    assert (want[:, 4] == 0).all() and (want[1, 1:] == 0).sum() >= 3 and abs(want[1, 1:]).sum() < abs(want[0, 1:]).sum()
+    with pytest.raises(Exception, match="0 or 1"):
+        elastic.scales(one.withColumn("label", F.lit(2.0)), sets, 5)
+
+
 def test_filters(spark):
     df = spark.createDataFrame([(0.4,), (0.5,), (0.6,), (None,)], "p double")
     assert filters.keep_at_most(df, "p", 0.5).count() == 2 and filters.keep_at_most(df, "p", 0.5, False).count() == 1 and filters.keep_at_most(df, "no", 0.5).count() == 4
