@@ -203,7 +203,7 @@ def test_dense_rows_are_made_by_all_tasks(spark):
     axis = spark.range(300).select(F.concat(F.lit("g"), "id").alias("g"))
     rows = spark.range(40).select(F.col("id").alias("s"), F.concat(F.lit("g"), F.col("id") * 2).alias("g"), F.lit(1.0).alias("v"), F.lit(0).alias("pos"))
     dense = joins.aligned(axis, rows, "g", "v", -10.0, by=["s"], digits=3).withColumn("task", F.spark_partition_id()).cache()
-    assert dense.select("task").distinct().count() >= 4  # few bytes are shuffled, which one task would take
+    assert dense.select("task").distinct().count() >= 8  # more than the four shuffle partitions, which hold few bytes
     assert dense.count() == dense.select("s", "g").distinct().count() == 40 * 300 and {r["missing_share"] for r in dense.select("missing_share").distinct().collect()} == {0.997}
     assert [(r["s"], r["g"]) for r in dense.where("v = 1.0").orderBy("s").collect()] == [(k, f"g{2 * k}") for k in range(40)] and dense.where("v = -10.0").count() == 40 * 299
     assert joins.aligned(axis.limit(0), rows, "g", "v", -10.0, by=["s"]).count() == 0
