@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -209,6 +210,32 @@ def test_dense_rows_are_made_by_all_tasks(spark):
     assert joins.aligned(axis.limit(0), rows, "g", "v", -10.0, by=["s"]).count() == 0
 
 
+def test_blocks_of_dense_groups_may_have_any_size(spark, monkeypatch):
+    axis = spark.range(50).select(F.concat(F.lit("g"), "id").alias("g"))
+    rows = spark.range(400).select((F.col("id") % 20).alias("s"), F.concat(F.lit("g"), F.col("id") % 70).alias("g"), F.lit(1.0).alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([(None, "g1", 5.0), (3, "g3", 4.0), (3, None, 7.0), (99, "x", 1.0)], "s long, g string, v double")).repartition(3)
+    want = {(s, f"g{g}"): -10.0 for s in [*range(20), 99, None] for g in range(50)}
+    want |= {(k % 20, f"g{k % 70}"): sum(j % 20 == k % 20 and j % 70 == k % 70 for j in range(400)) + 4.0 * (k % 20 == 3 and k % 70 == 3) for k in range(400) if k % 70 < 50}
+    share = {s: sum(v == -10.0 for (t, _), v in want.items() if t == s) / 50 for s, _ in want}
+    for most, cells in ((256, 1 << 20), (3, 1 << 20), (256, 5), (1, 1)):  # one block a task; several, by groups and by cells
+        monkeypatch.setattr(joins, "BLOCK", most)
+        monkeypatch.setattr(joins, "CELLS", cells)
+        dense = joins.aligned(axis, rows, "g", "v", -10.0, by=["s"], digits=8, how=F.sum("v"))
+        got = dense.collect()
+        assert len(got) == len(want) and {(r["s"], r["g"]): (r["v"], r["missing_share"]) for r in got} == {k: (v, round(share[k[0]], 8)) for k, v in want.items()}
+
+
+def test_dense_groups_are_shuffled_once_and_written_in_runs(spark, tmp_path):
+    axis = spark.range(20_000).select(F.col("id").alias("g"))
+    rows = spark.range(4000).select((F.col("id") % 400).alias("s"), (F.col("id") * 7).alias("g"), F.lit(1.0).alias("v"), F.lit(0).alias("pos"))
+    dense = joins.aligned(axis, rows, "g", "v", -10.0, by=["s"], digits=3)
+    plan = dense._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\([^)]*\bs#", plan)) == 1
+    dense.write.parquet(str(tmp_path / "dense"))
+    assert spark.read.parquet(str(tmp_path / "dense")).count() == 8_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "dense").glob("*.parquet")) < 8_000_000  # under a byte a row
+
+
 def test_every_fold_is_nested_and_scored(spark):
     import __spark_entry__ as entry
 
